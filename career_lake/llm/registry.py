@@ -6,16 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from career_lake.llm.jaccard import ngram_components
 from career_lake.llm.token_counts import token_counts
 from career_lake.session import table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op6_token_counts": op6_token_counts}
+QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts}
 ORACLES: dict[str, str] = {}
