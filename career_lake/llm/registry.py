@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from career_lake.llm.jaccard import ngram_components
+from career_lake.llm.substrings import without_repeats
 from career_lake.llm.token_counts import token_counts
 from career_lake.session import table
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -22,5 +27,5 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts}
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts}
 ORACLES: dict[str, str] = {}
