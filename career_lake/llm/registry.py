@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from career_lake.llm.jaccard import ngram_components
+from career_lake.llm.sketches import as_text, edited_documents, likeness, with_sketch
 from career_lake.llm.substrings import without_repeats
 from career_lake.llm.token_counts import token_counts
 from career_lake.session import table
@@ -27,5 +28,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts}
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = edited_documents(table(spark, sf_dir, "documents"))
+    docs = with_sketch(with_sketch(docs, "text", "sketch"), "edited", "edited_sketch")
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts, "op9_fingerprints": op9_fingerprints}
 ORACLES: dict[str, str] = {}
