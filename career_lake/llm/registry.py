@@ -7,11 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from career_lake.llm.jaccard import ngram_components
+from career_lake.llm.packing import packed
 from career_lake.llm.sketches import as_text, edited_documents, likeness, with_sketch
 from career_lake.llm.substrings import without_repeats
 from career_lake.llm.token_counts import token_counts
 from career_lake.session import table
 
+BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -42,5 +44,10 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts, "op9_fingerprints": op9_fingerprints}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packed(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, with_ids=False).drop("ids")
+
+
+QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts, "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing}
 ORACLES: dict[str, str] = {}
