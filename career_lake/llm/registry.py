@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from career_lake.llm import nb_svm, toxicity
 from career_lake.llm.jaccard import ngram_components
+from career_lake.llm.labelled import fold, labelled_sample
 from career_lake.llm.packing import packed
 from career_lake.llm.sketches import as_text, edited_documents, likeness, with_sketch
 from career_lake.llm.substrings import without_repeats
@@ -17,6 +19,30 @@ BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> nb_svm.Model:
+    """Fitted to labelled documents whose crc32(doc_id) mod 3 is not 1."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return nb_svm.fit_sample(labelled_sample(docs, labels, "quality", nb_svm.SAMPLE, fold(F.col("doc_id"), 3) != 1))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted to labelled documents whose crc32(doc_id) mod 4 is not 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit_sample(labelled_sample(docs, labels, "toxic", toxicity.SAMPLE, fold(F.col("doc_id"), 4) != 2))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = nb_svm.quality_scores(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scored = toxicity.toxicity_scores(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -49,5 +75,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, with_ids=False).drop("ids")
 
 
-QUERIES = {"op3_substring_dedup": op3_substring_dedup, "op5_ngram_jaccard": op5_ngram_jaccard, "op6_token_counts": op6_token_counts, "op9_fingerprints": op9_fingerprints, "op10_packing": op10_packing}
+QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_token_counts": op6_token_counts,
+    "op7_toxicity": op7_toxicity,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_packing": op10_packing,
+}
 ORACLES: dict[str, str] = {}

@@ -134,8 +134,8 @@ class Rolling:
         return mix((self.prefix[start + length] - self.prefix[start]) * self.back[start] + length.astype(np.uint64))
 
 
-def batches(rb: pa.RecordBatch, column: str, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def batches(rb: pa.RecordBatch, column: str | int, limit: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a record batch with their bytes and offsets."""
-    buf, off = column_bytes(rb.column(rb.schema.get_field_index(column)))
+    buf, off = column_bytes(rb.column(column))
     for lo, hi in row_slices(off, limit):
         yield lo, hi, buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
