@@ -10,6 +10,7 @@ from career_lake.llm import nb_svm, toxicity
 from career_lake.llm.jaccard import ngram_components
 from career_lake.llm.labelled import fold, labelled_sample
 from career_lake.llm.packing import packed
+from career_lake.llm.pitman_yor import document_scores
 from career_lake.llm.sketches import as_text, edited_documents, likeness, with_sketch
 from career_lake.llm.substrings import without_repeats
 from career_lake.llm.token_counts import token_counts
@@ -47,6 +48,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = document_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), fold(F.col("doc_id"), 7) != 2)
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 7) == 2)
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
@@ -78,6 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_pitman_yor": op4_pitman_yor,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
