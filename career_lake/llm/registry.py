@@ -11,15 +11,23 @@ from career_lake.llm.jaccard import ngram_components
 from career_lake.llm.labelled import fold, labelled_sample
 from career_lake.llm.packing import packed
 from career_lake.llm.pitman_yor import document_scores
+from career_lake.llm.pieces import piece_ids
 from career_lake.llm.sketches import as_text, edited_documents, likeness, with_sketch
 from career_lake.llm.substrings import without_repeats
 from career_lake.llm.token_counts import token_counts
+from career_lake.llm.topk import quantised, top_k
 from career_lake.session import table
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding"), 1024.0).alias("v"))
+    return top_k(rows, rows.where("id % 100 = 0"), 10)
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> nb_svm.Model:
     """Fitted to labelled documents whose crc32(doc_id) mod 3 is not 1."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -62,6 +70,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_ids, round_trip (the decoded ids equal the text) of every document."""
+    return piece_ids(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = edited_documents(table(spark, sf_dir, "documents"))
     docs = with_sketch(with_sketch(docs, "text", "sketch"), "edited", "edited_sketch")
@@ -82,13 +95,33 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk_search": op1_topk_search,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_pitman_yor": op4_pitman_yor,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_token_counts": op6_token_counts,
     "op7_toxicity": op7_toxicity,
+    "op8_piece_encoding": op8_piece_encoding,
     "op9_fingerprints": op9_fingerprints,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: Integer inner products of all pairs (query, row), ranked.
+ORACLES: dict[str, str] = {
+    "op1_topk_search": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, r.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v r ON q.vec_id <> r.vec_id AND len(q.v) = len(r.v)
+  WHERE q.vec_id % 100 = 0
+), k AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
+}
