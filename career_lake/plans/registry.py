@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from career_lake.plans import queries_jobs
+
+QUERIES = dict(queries_jobs.QUERIES)
+ORACLES = dict(queries_jobs.ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The portfolio of every profile."""
+    return QUERIES["d06_portfolio"](spark, sf_dir)
