@@ -74,6 +74,17 @@ SELECT CAST(doc_id AS STRING) AS version_id, CAST(doc_id - doc_id % 40 + doc_id
 FROM {documents}""",
 }
 
+VIEWS |= {
+    "sync_events_v": """
+SELECT concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS run_id, concat('src', CAST(user_id % 20 AS STRING)) AS source_id,
+       CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'changed' ELSE 'seen' END AS kind, ts, concat(event_type, ' ', CAST(event_id AS STRING)) AS message, event_id
+FROM {events}""",
+    "reviews_v": """
+SELECT CAST(doc_id AS STRING) AS document_id, concat('src', CAST(doc_id % 20 AS STRING)) AS source_id, CASE WHEN toxic = 1 THEN 'fact_change' ELSE 'content_quality' END AS kind,
+       concat('review ', CAST(doc_id % 30 AS STRING)) AS message, CASE WHEN quality = 0 THEN 'pending' ELSE 'resolved' END AS status, CAST(doc_id AS STRING) AS created_at
+FROM {labels}""",
+    "pages_v": "SELECT page_id, url, html FROM {pages}",
+}
 _SPARK = {"sha256_hex(text)": "sha2(text, 256)"}
 _DUCK = {"sha256_hex(text)": "sha256(text)"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from career_lake.plans import queries_jobs
+from career_lake.plans import queries_corpus, queries_jobs
 
-QUERIES = dict(queries_jobs.QUERIES)
-ORACLES = dict(queries_jobs.ORACLES)
+QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES
+ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,3 +158,14 @@ SIGNALS = {
 }
 DEGREE_SCORE = {"secondary": 30, "vocational": 45, "associate": 50, "bachelor": 72, "master": 88, "doctorate": 100, "unknown": 50}
 READINESS_SCORE = {"missing": 35, "developing": 65, "ready": 92}
+
+# Pages and documents.
+TRACKING_KEYS = ["from", "spm", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
+UNSUPPORTED_SUFFIXES = (
+    ".7z .avi .bmp .doc .docm .docx .dps .et .flv .gif .gz .jpeg .jpg .m4a .mkv .mov .mp3 .mp4 .png .ppt .pptm .pptx .rar .tar .tif .tiff .wav .webm .webp .wps .xls .xlsm .xlsx .zip"
+).split()
+INDEX_FILE = "(?i)^index(?:_[0-9]+)*(?:\\.s?html?)?$"
+INDEX_TITLE = "(?i)^index(?:_[0-9]+)+(?:\\.s?html?)?$"
+GENERIC_TITLES = ["人事招聘", "招聘信息", "招聘公告列表", "招聘信息列表"]
+PUBLISHER_SUFFIX = "[－—-]\\s*(?:国务院国有资产监督管理委员会|中国就业网).*$"
+GOVERNED_STATUSES = ["review_pending", "superseded"]
