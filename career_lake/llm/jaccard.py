@@ -42,6 +42,8 @@ BAND = 16
 _PLACE = powers(STEP[1], BAND)
 #: Sets that one task of the trie join takes from a block at most, and elements.
 CHUNK, CHUNK_ELEMENTS = 384, 600_000
+#: Documents with a candidate partner (16 bytes each) that may be broadcast, so that no other text is shuffled.
+MOST_BROADCAST = 2_000_000
 #: Size classes: the lower ends, each 1.3 times the last.
 _CLASSES = np.unique(np.floor(1.3 ** np.arange(0, 90)).astype(np.int64))
 
@@ -261,7 +263,8 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, te
     low = F.expr("min(doc_id) over (partition by sig order by doc_id rows between unbounded preceding and current row)")
     near = sigs.select("doc_id", low.alias("b")).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
     blocks = settle(components(near, f"{label}-blocks").select(F.col("node").alias("doc_id"), F.col("component").alias("block")), f"{label}-blocks")
-    sets = _sets(docs.join(blocks, "doc_id").select("doc_id", "block", "text"), n)
+    near = F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST else blocks
+    sets = _sets(docs.join(near, "doc_id").select("doc_id", "block", "text"), n)
     links = _block_links(sets, num, den, label)
     joined = components(links, f"{label}-components")
     of_rep = classes.join(joined, classes.rep == joined.node, "left").select(*ids, F.coalesce("component", "rep").alias("component_id"))
