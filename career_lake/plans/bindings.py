@@ -74,7 +74,21 @@ SELECT CAST(doc_id AS STRING) AS version_id, CAST(doc_id - doc_id % 40 + doc_id
 FROM {documents}""",
 }
 
+_DATE = "concat(CAST(year(o_orderdate) + 30 AS STRING), '年', CAST(month(o_orderdate) AS STRING), '月', CAST(day(o_orderdate) AS STRING), '日')"
 VIEWS |= {
+    "announcements_v": f"""
+SELECT CAST(o_orderkey AS STRING) AS document_id, concat(CAST(o_orderkey AS STRING), '-', CAST(v AS STRING)) AS version_id, v AS version_no, concat('src', CAST(o_orderkey % 20 AS STRING)) AS source_id,
+       concat('https://h', CAST(o_orderkey % 7 AS STRING), '.example.com/a/', CAST(o_orderkey AS STRING)) AS canonical_url,
+       CASE WHEN o_orderkey % 10 = 0 THEN concat('关于', CASE o_orderkey % 50 WHEN 0 THEN '延期' WHEN 10 THEN '暂停' WHEN 20 THEN '恢复' WHEN 30 THEN '撤回' ELSE '更正公告：' END, c_name, '招聘的通知') ELSE concat(c_name, {_YEAR}, '年校园招聘公告') END AS title,
+       concat(CASE WHEN v = 2 AND o_orderkey % 7 = 0 THEN '' ELSE concat('报名时间：', CAST(year(o_orderdate) + 30 AS STRING), '年1月1日至', {_DATE}, CASE o_orderkey % 3 WHEN 0 THEN '17:30' WHEN 1 THEN '24时' ELSE '' END, '截止。') END,
+         CASE WHEN v = 2 AND o_orderkey % 5 = 0 THEN '学历要求：硕士研究生及以上。' WHEN o_orderkey % 9 = 0 THEN '我们欢迎本科生。' ELSE '学历要求大专、本科及以上均可。' END,
+         '面向', {_YEAR}, '届高校毕业生和退役军人招聘；', CASE WHEN o_orderkey % 6 = 0 THEN concat({_YEAR}, '-', CAST(year(o_orderdate) + 31 AS STRING), '届应届毕业生可报名。') ELSE '' END,
+         '招聘人数：', CASE o_orderkey % 4 WHEN 0 THEN '二十三' WHEN 1 THEN '一百零五' ELSE CAST(1 + (o_orderkey + v) % 90 AS STRING) END, '人。', '每人最多可投递', CAST(1 + o_orderkey % 3 AS STRING), '个岗位。',
+         CASE o_orderkey % 8 WHEN 0 THEN '工作地点：北京市、上海市和广州市。' WHEN 1 THEN '工作地点为内蒙古自治区；具体详见公告。' ELSE concat('工作城市：杭州、', n_name, '等地。') END,
+         CASE WHEN o_orderkey % 5 = 1 THEN '硕士年龄不超过35周岁，本科年龄未满30岁。' ELSE '' END,
+         CASE WHEN v = 1 AND o_orderkey % 7 = 0 THEN '{"其他说明文字。" * 60}' ELSE '其他说明。' END) AS content,
+       CASE WHEN o_orderkey % 11 = 0 THEN 'superseded' ELSE 'active' END AS status, o_orderkey % 3 <> 0 AS official, CAST(o_orderdate AS STRING) AS updated_at, o_orderkey
+FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey JOIN {{nation}} ON c_nationkey = n_nationkey CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2 AS v) AS vs""",
     "sync_events_v": """
 SELECT concat(CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) AS run_id, concat('src', CAST(user_id % 20 AS STRING)) AS source_id,
        CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'changed' ELSE 'seen' END AS kind, ts, concat(event_type, ' ', CAST(event_id AS STRING)) AS message, event_id

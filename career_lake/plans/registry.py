@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from career_lake.plans import queries_corpus, queries_jobs
+from career_lake.plans import queries_corpus, queries_facts, queries_jobs
 
-QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES
-ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES
+QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES | queries_facts.QUERIES
+ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES | queries_facts.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,3 +169,61 @@ INDEX_TITLE = "(?i)^index(?:_[0-9]+)+(?:\\.s?html?)?$"
 GENERIC_TITLES = ["人事招聘", "招聘信息", "招聘公告列表", "招聘信息列表"]
 PUBLISHER_SUFFIX = "[－—-]\\s*(?:国务院国有资产监督管理委员会|中国就业网).*$"
 GOVERNED_STATUSES = ["review_pending", "superseded"]
+
+# Facts in announcements.
+SENTENCE = "[^。！？；;\\n]{1,220}[。！？；;]?"
+FULL_DATE = "(20\\d{2})\\s*[年./-]\\s*(1[0-2]|0?[1-9])\\s*[月./-]\\s*(3[01]|[12]\\d|0?[1-9])\\s*日?"
+MONTH_DAY = "(1[0-2]|0?[1-9])\\s*月\\s*(3[01]|[12]\\d|0?[1-9])\\s*日"
+TIME_AFTER = "\\s*([01]?\\d|2[0-3])(?:[:：]([0-5]\\d)|时([0-5]\\d)?分?)"
+DEADLINE_CONTEXT = "截止|报名(?:时间|日期|期限)|网申(?:时间|日期|期限)|申请(?:时间|日期|期限)|投递(?:时间|日期|期限)"
+SINGLE_DAY_CONTEXT = "截止|(?:报名|网申|申请|投递)日期|期限"
+RANGE = "至|到|—|–|~|～"
+DEGREE_CONTEXT = "学历|学位|应聘资格|应聘要求|应聘条件|招聘条件|招聘要求|任职要求|报名条件"
+DEGREE_FACTS = [("专科", "大专|专科"), ("本科", "本科"), ("硕士", "硕士|(?<!博士)(?<!硕士)研究生及以上"), ("博士", "博士")]
+GRADUATION_CONTEXT = "应届|毕业|校园招聘|校招"
+GRADUATION_YEAR = "(20\\d{2})(?:\\s*[-—–至到]\\s*(20\\d{2}))?\\s*届"
+LIMITS = ["每人[^。；;\\n]{0,40}?(?:可|限)[^。；;\\n]{0,20}?投递\\s*(\\d+)\\s*个", "每人[^。；;\\n]{0,40}?仅有\\s*(\\d+)\\s*次投递机会", "每人[^。；;\\n]{0,40}?最多[^。；;\\n]{0,20}?投递\\s*(\\d+)\\s*个"]
+AGE = "(?:1[6-9]|[2-6]\\d|70)"
+AGE_LABEL = "([㐀-鿿（）()、及]{0,24}?)"
+AGE_PREFIX = AGE_LABEL + "年龄(?:要求)?\\s*[:：]?\\s*(?:一般)?\\s*(不超过|不高于|不得超过|不能超过|不满|未满|上限(?:为)?|可?放宽(?:至|到))\\s*(" + AGE + ")\\s*周?岁"
+AGE_SUFFIX = AGE_LABEL + "年龄(?:要求)?\\s*[:：]?\\s*(?:一般)?\\s*(?:须|应|应当)?\\s*(?:为|在)?\\s*(" + AGE + ")\\s*周?岁(?:及以下|以下|以内)"
+AGE_RANGE = "年龄(?:要求)?\\s*[:：]?\\s*(?:须|应|应当)?\\s*(?:为|在)?\\s*" + AGE + "\\s*周?岁(?:及)?以上[^。；;\\n]{0,20}?(" + AGE + ")\\s*周?岁(?:及以下|以下|以内)"
+LOCATION_LABEL = "(?:岗位所在地|工作地点|工作城市|岗位地点|招聘地点|工作区域|工作地)\\s*(?:[:：]|为|包括|包含|覆盖)\\s*([^。！？\\n]{1,220})"
+LOCATION_STOP = "[,，、；;]?\\s*(?:学历|学位|专业|年龄|工作经验|岗位职责|招聘对象|福利待遇|薪酬福利|任职资格|资格条件|报名方式|投递方式)\\s*[:：].*$"
+ADMIN_SUFFIX = "壮族自治区|回族自治区|维吾尔自治区|自治区|特别行政区|省"
+NUMBER = "([1-9]\\d{0,5}|[一二三四五六七八九十百千万两〇零]{1,10})"
+HEADCOUNTS = [
+    "(?:招聘计划人数|招聘人数|招录人数|招聘名额|招录名额)\\s*(?:[:：]|为|共计|共|合计)?\\s*" + NUMBER + "\\s*(?:人|名|个)",
+    "(?:招聘|招录)计划\\s*(?:[:：]|为|共计|共|合计)?\\s*" + NUMBER + "\\s*(?:人|名|个)",
+    "(?:(?:本次|此次|本批次)\\s*(?:计划|拟)?|(?:计划|拟)|(?:面向社会)?公开)\\s*(?:面向社会)?\\s*(?:公开|校园|社会)?\\s*(?:招聘|招录)\\s*(?:工作人员|员工|专业人才|人才|高校毕业生|应届毕业生)?\\s*(?:共计|共|合计)?\\s*" + NUMBER + "\\s*(?:人|名)",
+]
+AUDIENCE_CONTEXT = "招聘对象|招聘范围|招聘人群|应聘对象|招录对象|面向|可报名|可以报名|均可报名|社会公开招聘|校园招聘|校招|社会招聘|社招"
+UNEMPLOYED = "(?:未落实工作单位|未就业|离校未就业|择业期内)[^。！？；;\\n]{0,24}毕业生|毕业生[^。！？；;\\n]{0,24}(?:未落实工作单位|未就业)"
+OVERSEAS = "留学回国人员|留学人员|国(?:[（(]境[）)])?外高校毕业生|境外高校毕业生"
+CURRENT, COMBINED, PREVIOUS = "(?:高校)?应届(?:高校)?毕业生", "应往届(?:高校)?毕业生", "(?<!应)往届(?:高校)?毕业生"
+GENERAL = "(?:20\\d{2}届(?:高校)?|高校)毕业生"
+BOTH_SYSTEMS = "系统内外人员|系统内\\s*[、和及与/]\\s*系统外人员|系统内\\s*[、/]\\s*外人员"
+RECRUITMENT_CONTEXT = "招聘|招录|报名|网申|投递|岗位|应聘"
+LIFECYCLE = {
+    "withdrawn": "撤回|撤销|取消(?:本次|本批次|全部|整体)?(?:公开)?招聘|终止(?:本次|本批次|全部|整体)?(?:公开)?招聘|(?:取消|核减|调减)\\s*\\d+\\s*(?:个|名)?\\s*(?:招聘)?(?:岗位|计划|人数)",
+    "resumed": "恢复(?:本次|本批次)?(?:20\\d{2}年)?(?:公开)?(?:招聘|报名|网申|投递)(?:工作|报名)?|(?:重新启动|重启)[^。；;\\n]{0,20}?(?:招聘|报名|网申|投递)",
+    "paused": "(?:暂停|暂缓)[^。；;\\n]{0,24}?(?:招聘|报名|网申|投递)",
+    "delayed": "延期|延长[^。；;\\n]{0,40}?(?:报名|网申|投递)(?:时间|日期|期限)?|(?:报名|网申|投递)(?:时间|日期|期限)?[^。；;\\n]{0,12}?延长|截止时间调整",
+    "corrected": "更正公告|补充公告|修订公告|招聘信息更正",
+}
+PARTIAL_TITLE = "(?:取消|核减|调减|减少)[^。；;\\n]{0,24}?(?:岗位|招聘计划|招聘人数|招聘名额)|(?:岗位|招聘计划|招聘人数|招聘名额)[^。；;\\n]{0,24}?(?:取消|核减|调减|减少)"
+NEGATED_WITHDRAWAL = "(?:不予|不再|暂不|不)取消"
+APPLIED_CORRECTION = "(?:现|特)?(?:对|将)?[^。；;\\n]{0,30}?原公告[^。；;\\n]{0,30}?(?:作出|进行|予以)?(?:更正|修订|调整)|(?:更正|修订|调整)(?:内容)?如下|(?:相关|其他)?事项?以本(?:公告|通知)为准"
+PARTIAL_SCOPE = "部分(?:招聘)?岗位|个别(?:招聘)?岗位|(?:取消|核减|调减)[^。；;\\n]{0,20}(?:岗位|招聘人数|招聘计划)(?:数|人数)?|岗位[^。；;\\n]{0,18}(?:取消|核减|调减)"
+WHOLE_SCOPE = "(?:终止|取消|撤回|撤销)(?:本次|本批次|全部|整体)[^。；;\\n]{0,18}(?:公开)?招聘(?:工作|公告|计划)|(?:本次|本批次|全部|整体)[^。；;\\n]{0,18}(?:公开)?招聘(?:工作|公告|计划)[^。；;\\n]{0,8}(?:终止|取消|撤回|撤销)"
+RESUME_SIGNALS = [
+    "招聘[^。；;\\n]{0,50}?(?:\\d+|[一二三四五六七八九十]+)\\s*名|招聘岗位|招聘人数",
+    "(?:招聘|报考|应聘|任职)条件",
+    "报名(?:人员|材料|时间|方式|网址|邮箱)",
+    "资格审查[^。；;\\n]{0,80}?(?:考试|面试)|考试(?:分为|时间|方式)|体检[^。；;\\n]{0,40}?考察",
+]
+RELATION_GENERIC = (
+    "招聘信息更正 招聘公告 公开招聘 社会招聘 校园招聘 正式启动 截止时间 报名时间 关于 公告 通知 更正 补充 修订 撤回 撤销 取消 终止 暂停 延期 延长 调整 招聘 报名 投递 启动 恢复 暂缓 重新启动 重启"
+).split()
+COMPANY_SUFFIX = "(?:集团股份有限公司|股份有限公司|有限责任公司|集团有限公司|集团公司|有限公司|总公司|集团|公司)$"
+CONTROLLED_ENTITIES = [(["中国石油", "中石油", "中国石油天然气", "中石油天然气"], "(?:中国石油(?!化工)|中石油(?!化工))"), (["中国石化", "中石化", "中国石油化工", "中石油化工"], "(?:中国石油化工|中石油化工|中国石化|中石化)")]
