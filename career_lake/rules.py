@@ -227,3 +227,18 @@ RELATION_GENERIC = (
 ).split()
 COMPANY_SUFFIX = "(?:集团股份有限公司|股份有限公司|有限责任公司|集团有限公司|集团公司|有限公司|总公司|集团|公司)$"
 CONTROLLED_ENTITIES = [(["中国石油", "中石油", "中国石油天然气", "中石油天然气"], "(?:中国石油(?!化工)|中石油(?!化工))"), (["中国石化", "中石化", "中国石油化工", "中石油化工"], "(?:中国石油化工|中石油化工|中国石化|中石化)")]
+
+# Strategy tasks: day of the week and minutes by capability, and what a target asks for: capability, shareable, priority.
+TASK_DAYS = {"target_research": 2, "resume": 3, "project_evidence": 3, "application": 4, "academic": 4, "qualification": 4, "interview": 5, "internship": 6, "competition": 6}
+TASK_MINUTES = {"target_research": 60, "resume": 120, "project_evidence": 150, "application": 90, "academic": 180, "qualification": 180, "interview": 120, "internship": 180, "competition": 180}
+TARGET_NEEDS = [("resume", True, "high"), ("project_evidence", True, "high"), ("application", False, "high"), ("interview", False, "medium")]
+
+# Answers: citation markers and deadline wording.
+MARKERS = [("\\[资料(\\d+)(?:[：:][^\\]\\r\\n]{1,120})\\]", "[资料$1]"), ("（资料(\\d+)）", "[资料$1]"), ("根据资料(\\d+)(?=[，,:：])", "根据[资料$1]"), ("资料(\\d+)(?=(?:显示|指出|说明|提到))", "[资料$1]")]
+_DAY = "(\\d{4})年(\\d{1,2})月(\\d{1,2})日(?:\\s*([0-2]?\\d)[:：时]([0-5]\\d)?)?"
+EVIDENCE_DEADLINES = [
+    "(?:报名|投递)[^。；\\n]{0,24}?(?:截止(?:时间|日期)?|截至)[：:\\s]*" + _DAY,
+    "(?:报名|投递)[^。；\\n]{0,40}?" + _DAY + "[^。；\\n]{0,16}?截止",
+    "(?:报名|投递)(?:时间|日期)?[^。；\\n]{0,16}?(\\d{4})年\\d{1,2}月\\d{1,2}日\\s*(?:至|—|-)\\s*(\\d{1,2})月(\\d{1,2})日(?:\\s*([0-2]?\\d)[:：时]([0-5]\\d)?)?",
+    "(?:报名|投递)(?:时间|日期)?[^。；\\n]{0,16}?(?:即日起)?\\s*至\\s*" + _DAY,
+]
