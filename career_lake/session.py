@@ -48,5 +48,5 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a Parquet table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
