@@ -1,0 +1,113 @@
+"""Text, title, date, links and images of HTML pages."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+SILENT = frozenset("script style noscript svg canvas template".split())
+# Where an article's body is looked for, by id, class and tag; and its date, by preference.
+BODY_IDS, BODY_CLASSES, BODY_TAGS = frozenset(["article_inbox"]), frozenset(["zsy_content", "TRS_Editor", "article-content"]), frozenset(["article", "main"])
+DATES = ["article:published_time", "publishdate", "date", "time"]
+PAGE = "page_id long, url string, title string, content string, published_at string, links array<string>, images array<string>"
+
+
+class _Reader(HTMLParser):
+    """Collects text by open container; a container ends with its tag."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, int | None]] = []
+        self.boxes: list[dict] = [{"text": [], "images": [], "size": 0}]  # the first is the whole page
+        self.heads: dict[str, list[str]] = {"title": [], "h1": []}
+        self.dates: dict[str, str] = {}
+        self.links: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta":
+            name = a.get("property") if a.get("property") == "article:published_time" else a.get("name")
+            if name in DATES and a.get("content"):
+                self.dates.setdefault(name, a["content"])
+        if tag == "time" and a.get("datetime"):
+            self.dates.setdefault("time", a["datetime"])
+        if tag == "a" and a.get("href", "").strip():
+            self.links.append(a["href"].strip())
+        if tag == "img" and a.get("src", "").strip():
+            for i in self._inside():
+                self.boxes[i]["images"].append(a["src"].strip())
+        if tag in VOID:
+            return
+        box = None
+        if a.get("id") in BODY_IDS or BODY_CLASSES & set(a.get("class", "").split()) or tag in BODY_TAGS:
+            box = len(self.boxes)
+            self.boxes.append({"text": [], "images": [], "size": 0})
+        self.open.append((tag, box))
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i][0] == tag:
+                del self.open[i:]
+                return
+
+    def _inside(self) -> list[int]:
+        return [0, *(b for _, b in self.open if b is not None)]
+
+    def handle_data(self, data: str) -> None:
+        text = data.strip()
+        if not text:
+            return
+        tags = {t for t, _ in self.open}
+        for k in self.heads:
+            if k in tags:
+                self.heads[k].append(text)
+        for i in self._inside():
+            self.boxes[i]["size"] += len(text) + 1
+            if not tags & SILENT and "title" not in tags:
+                self.boxes[i]["text"].append(text)
+
+
+def _plain(text: str) -> str:
+    lines = (" ".join(x.split()) for x in text.replace("\x00", "").splitlines())
+    return "\n".join(x for x in lines if x)
+
+
+def extract(url: str, html: str) -> dict | None:
+    """One page's fields; None if there is too little text and no image."""
+    r = _Reader()
+    r.feed(html or "")
+    r.close()
+    box = max(r.boxes[1:], key=lambda b: b["size"] + 200 * len(b["images"]), default=r.boxes[0])
+    site = urlsplit(url).hostname
+    near = lambda xs: list(dict.fromkeys(t for t in (urljoin(url, x) for x in xs) if urlsplit(t).hostname == site))
+    content = _plain("\n".join(box["text"]))
+    images = near(x for x in box["images"] if not x.startswith("data:"))[:20]
+    if len(content) < 40 and not images:
+        return None
+    title = " ".join(r.heads["h1"]) or " ".join(r.heads["title"]) or urlsplit(url).path.rsplit("/", 1)[-1] or site or ""
+    date = next((r.dates[k].strip()[:80] for k in DATES if r.dates.get(k, "").strip()), None)
+    links = near(x for x in r.links if not x.lower().startswith(("mailto:", "tel:", "javascript:")))
+    return {"url": url, "title": _plain(title)[:500], "content": content, "published_at": date, "links": links, "images": images}
+
+
+def extract_html(pages: DataFrame) -> DataFrame:
+    """PAGE of each of pages(page_id, url, html) that has a body; a page that can't be parsed has none."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            rows = []
+            for i, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
+                try:
+                    got = extract(url or "", html or "")
+                except ValueError:
+                    got = None
+                if got:
+                    rows.append({"page_id": i} | got)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE.split(", ")])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, PAGE)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from career_lake.plans import queries_corpus, queries_facts, queries_jobs, queries_more
+from career_lake.plans import queries_corpus, queries_facts, queries_jobs, queries_more, queries_rest
 
-QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES | queries_facts.QUERIES | queries_more.QUERIES
-ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES | queries_facts.ORACLES | queries_more.ORACLES
+QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES | queries_facts.QUERIES | queries_more.QUERIES | queries_rest.QUERIES
+ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES | queries_facts.ORACLES | queries_more.ORACLES | queries_rest.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
