@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from career_lake.session import settle
+
 #: Words of a shingle; one of so many hashes is kept.
 SHINGLE, SCALE = 5, 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,11 +105,11 @@ def edited_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -
     the first code points that it needs, and its sketch.
     """
     docs = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"))
-    near = neighbours(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")))
+    near = settle(neighbours(docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))), "sketch-neighbours")
     before = near.select(F.col("id").alias("before_id"), F.col("next_id").alias("to_id"))
-    sent = with_sketch(docs.join(near, docs.doc_id == near.id), "text", "sketch")
+    sent = with_sketch(docs.join(near, docs.doc_id == near.id, "left"), "text", "sketch")  # left, so that both joins reuse one exchange of the texts
     head = sent.select(F.col("doc_id").alias("of"), F.substring("text", F.lit(1), F.floor(F.col("n_prev") / 4).cast("int")).alias("head"), F.col("sketch").alias("next_sketch"))
-    head = head.join(before, head.of == before.to_id).groupBy("before_id").agg(F.min(F.struct("head", "next_sketch")).alias("next"))
+    head = head.join(before, head.of == before.to_id, "left").groupBy("before_id").agg(F.min(F.struct("head", "next_sketch")).alias("next"))
     head = head.select("before_id", "next.head", "next.next_sketch")  # one, where an id is repeated
     mine = docs.join(head, docs.doc_id == head.before_id, "left")
     n = F.length("text")
