@@ -170,7 +170,7 @@ _add(
 )
 _add(
     "z03_request_quota",
-    lambda s, d: Z.request_quota(table(s, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).cast("string").alias("address"), F.col("user_id").cast("string").alias("session"), F.col("ts").cast("double").alias("ts"))).groupBy("allowed").agg(F.count("*").alias("requests")),
+    lambda s, d: Z.request_quota(table(s, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).cast("string").alias("address"), F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").cast("double").alias("ts"))).groupBy("allowed").agg(F.count("*").alias("requests")),
 )
 _add(
     "z06_sync_health",
