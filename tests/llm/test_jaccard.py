@@ -55,7 +55,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "num", "den", "chunk"), [(1, 3, 90, 100, 384), (2, 5, 4, 5, 384), (3, 3, 90, 100, 12), (4, 2, 6, 10, 20)])
+@pytest.mark.parametrize(("seed", "n", "num", "den", "chunk"), [(1, 3, 90, 100, 384), (2, 5, 4, 5, 384), (3, 3, 90, 100, 12), (4, 2, 6, 10, 20), (5, 3, 8, 10, 16)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, n, num, den, chunk):
     monkeypatch.setattr(jaccard, "CHUNK", chunk)
     rows = corpus(seed)
