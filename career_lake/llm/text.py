@@ -62,11 +62,11 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def row_slices(off: np.ndarray, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most `limit` bytes (one row at least), so that temporary arrays stay small."""
+def row_slices(off: np.ndarray, limit: int = 1 << 21, rows: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most `limit` bytes (one row at least) and `rows` rows, so that temporary arrays stay small."""
     lo, n = 0, len(off) - 1
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1))
         yield lo, min(hi, n)
         lo = min(hi, n)
 
