@@ -24,8 +24,10 @@ ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame
@@ -51,7 +53,10 @@ class Model:
         self.unknown = min(s for s, _ in self.vocab.values()) - UNKNOWN
         spans = any(SPACE in p.lstrip(SPACE) for p in self.vocab)
         self.cut = re.compile(r"(?s).+") if spans else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: Every beginning of a piece: the score where it is one (none is above 0), else None.
+        self.begun: dict[str, float | None] = {p[:k]: None for p in self.vocab for k in range(1, len(p))} | {p: s for p, (s, _) in self.vocab.items()}
+        self.known: dict[str, bytes] = {}
+        self.said = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
 
     def stream(self, chars: Iterator[str]) -> Iterator[list[int]]:
         """Ids of a run of characters, in the parts in which they are settled."""
@@ -85,7 +90,7 @@ class Model:
         if at > settled:
             yield self._ids(recent, back, settled, at)
 
-    def _ids(self, recent: str, back: dict[int, int], low: int, high: int) -> list[int]:
+    def _ids(self, recent: str, back: dict[int, int] | list[int], low: int, high: int) -> list[int]:
         out: list[int] = []
         while high > low:
             start = back[high]
@@ -98,40 +103,61 @@ class Model:
             high = start
         return out[::-1]
 
-    def encode(self, text: str) -> list[int]:
+    def _short(self, run: str) -> list[int]:
+        """Ids of a run whose window never closes before its end: the same recursion, read forward and without commits."""
+        begun, longest, unknown, n = self.begun, self.longest, self.unknown, len(run)
+        score, back = [0.0] + [-1e300] * n, [0] * (n + 1)
+        for at in range(n):
+            base = score[at]
+            if base + unknown > score[at + 1]:
+                score[at + 1], back[at + 1] = base + unknown, at
+            for end in range(at + 1, min(n, at + longest) + 1):
+                worth = begun.get(run[at:end], 1.0)
+                if worth is None:  # pieces begin so, but none is this
+                    continue
+                if worth == 1.0:  # no piece begins so
+                    break
+                if base + worth > score[end]:
+                    score[end], back[end] = base + worth, at
+        return self._ids(run, back, 0, n)
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as little-endian int32."""
         if not text:
-            return []
+            return b""
         if SPACE in text:  # it stays what it is, as bytes
-            parts = re.split(f"([{SPACE}])", text)
-            out = self.encode(parts[0]) if parts[0] else [self.vocab[SPACE][1]]
+            parts = re.split(f"([{SPACE}])", text)
+            out = [self.packed(parts[0]) if parts[0] else _pack([self.vocab[SPACE][1]])]
             for i in range(1, len(parts), 2):
-                out += [self.byte[b] for b in parts[i].encode()]
-                out += self._runs(parts[i + 1])
-            return out
+                out += [_pack([self.byte[b] for b in parts[i].encode()]), self._runs(parts[i + 1])]
+            return b"".join(out)
         return self._runs(" " + text)
 
-    def _runs(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for run in self.cut.findall(text.replace(" ", SPACE)):
-            ids = known.get(run)
-            if ids is None:
-                ids = tuple(i for part in self.stream(iter(run)) for i in part)
-                if len(run) <= SHORT:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[run] = ids
-            out.extend(ids)
-        return out
+    def _runs(self, text: str) -> bytes:
+        known, runs = self.known, self.cut.findall(text.replace(" ", SPACE))
+        out = list(map(known.get, runs))
+        if None in out:
+            for i, run in enumerate(runs):
+                if out[i] is None:
+                    ids = known.get(run)
+                    if ids is None:
+                        ids = _pack(self._short(run) if len(run) <= SHORT else [x for part in self.stream(iter(run)) for x in part])
+                        if len(run) <= SHORT:
+                            if len(known) >= REMEMBER:
+                                known.clear()
+                            known[run] = ids
+                    out[i] = ids
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                parts.append(bytes([self.byte_of[i]]))
-            elif i not in self.silent:
-                parts.append(self.piece[i].replace(SPACE, " ").encode())
-        return b"".join(parts).decode(errors="replace").removeprefix(" ")
+        return b"".join(map(self.said.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
+
+
+def _pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 _models: dict[str, Model] = {}
@@ -152,12 +178,13 @@ def piece_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id
             for lo in range(0, rb.num_rows, 512):
                 some = rb.slice(lo, 512)
                 texts = some.column(1).to_pylist()
-                ids = [None if x is None else m.encode(x) for x in texts]
-                same = [x is None or m.decode(i) == x for x, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i or ()) for i in ids], pa.int32()), pa.array(same)],
-                    names=["doc_id", "ids", "n_ids", "round_trip"],
-                )
+                packed = [b"" if x is None else m.packed(x) for x in texts]
+                same = [x is None or m.decode(np.frombuffer(p, "<i4").tolist()) == x for x, p in zip(texts, packed, strict=True)]
+                n = np.array([len(p) // 4 for p in packed], np.int32)
+                ends = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(packed), "<i4"))
+                ids = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in texts]))
+                yield pa.RecordBatch.from_arrays([some.column(0), ids, pa.array(n), pa.array(same)], names=["doc_id", "ids", "n_ids", "round_trip"])
 
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_ids int, round_trip boolean")
 
