@@ -51,7 +51,7 @@ class Edges:
         width, have = max(window - SEED, 0) + 1, 1
         while have < width:  # minimum of the next `width` values, by doubling
             step = min(have, width - have)
-            low = np.minimum(low[: len(low) - step], low[step:])
+            low = np.minimum(low[: max(len(low) - step, 0)], low[step:])  # no value is left of a chunk with few words
             have += step
         self.seed = low[self.at]
         self.hash = self.roll.window(window)[self.at]

@@ -3,9 +3,10 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from career_lake.llm.substrings import repeated_paths, without_repeats
+from career_lake.llm.substrings import Edges, repeated_paths, without_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +66,18 @@ def test_paths_cover_what_is_removed_and_repeat(spark):
 
 def test_empty_table(spark):
     assert without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("window", [5, 16, 17, 35])
+def test_edges_of_one_document_of_every_length(window):
+    for n in range(61):
+        for texts in ([" ".join(f"w{i}" for i in range(n))], ["w"] * n):  # one text, or texts that add up to the length
+            e = Edges(pa.table([list(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"]), window)
+            assert len(e.seed) == len(e.hash) == sum(max(len(WORD.findall(t)) - window + 1, 0) for t in texts)
+
+
+@pytest.mark.parametrize("n", [20, 21, 27, 33, 35])
+def test_table_of_one_short_document(spark, n):
+    rows = [(1, " ".join(f"w{i}" for i in range(n)))]
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in out) == brute(rows, 35)
