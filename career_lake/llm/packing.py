@@ -21,7 +21,7 @@ shares, which keep the mixture the same from the first to the last window; with
 other targets, a queue that runs empty leaves its share to the rest.
 
 Null or empty texts are one end token. A null source is a queue of its own. A
-repeated row is packed again. An empty table gives an empty result. Extra
+null doc_id stays null. A repeated row is packed again. An empty table gives an empty result. Extra
 columns are ignored, whatever their names.
 """
 
@@ -214,7 +214,7 @@ def packed(
             for lo in range(0, rb.num_rows, 1024):
                 some = rb.slice(lo, 1024)
                 ids = [np.frombuffer(x, "<u2") for x in some.column(4).to_pylist()]
-                docs_of, queues = some.column(0).to_numpy(), some.column(1).to_pylist()
+                docs_of, queues = some.column(0), some.column(1).to_pylist()
                 first, n = some.column(2).to_numpy(), some.column(3).to_numpy()
                 of = np.array([number[q] for q in queues])
                 for q in np.unique(of):
@@ -222,8 +222,8 @@ def packed(
                     doc, start, length, seq, off = schedule.pieces(int(q), first[rows], n[rows])
                     doc = rows[doc]
                     raw = [ids[d][a : a + m].astype("<u4").tobytes() for d, a, m in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
-                    cols = [docs_of[doc], start, length, np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)), n[doc], seq, off]
+                    cols = [docs_of.take(pa.array(doc)), start, length, np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)), n[doc], seq, off]
                     tail = [pa.array([queues[rows[0]]] * len(raw), pa.string()), pa.array(raw if with_ids else [None] * len(raw), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *tail], names=[f.split()[0] for f in PIECES.split(", ")])
+                    yield pa.RecordBatch.from_arrays([cols[0], *map(pa.array, cols[1:]), *tail], names=[f.split()[0] for f in PIECES.split(", ")])
 
     return placed.mapInArrow(cut, PIECES)

@@ -22,7 +22,7 @@ tables, the same samples are drawn again (the same seeds, in the order of the
 hashes) and score the tokens, so that the probabilities add up to one.
 
 Words are told apart by 64-bit hashes. Null and empty texts are one end token.
-Repeated rows are scored each, and learned each. Without training rows every
+Repeated rows are scored each, and learned each. A null doc_id stays null. Without training rows every
 token has the probability 1. An empty table gives an empty result. Extra
 columns are ignored.
 """
@@ -279,7 +279,8 @@ def _stream(docs: DataFrame, v: Vocabulary, buckets: int) -> DataFrame:
             h, row = h[order], row[order]
             ctx = (_places(v.keys, before[order]) + 1).astype(np.uint16)
             cut = _cut(_bucket(h, buckets), buckets)
-            ids, mark, learn = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            (ids, known), mark, learn = _ids(rb), rb.column(1).to_numpy(), rb.column(2).to_numpy(zero_copy_only=False)
+            learn = learn + np.uint8(2) * known
             out: list[list] = [[] for _ in range(8)]
             for b in np.flatnonzero(np.diff(cut)):
                 part = slice(cut[b], cut[b + 1])
@@ -298,10 +299,11 @@ class Bucket:
     def __init__(self, t: pa.Table) -> None:
         get = lambda name, kind: [np.frombuffer(x, kind) for x in t[name].to_pylist()]
         keys, n, self.ctx = get("keys", np.uint64), get("n", np.uint32), np.concatenate(get("ctx", np.uint16)).astype(np.int64)
-        learn = get("learn", np.bool_)
+        learn = get("learn", np.uint8)  # bit 0: to learn from; bit 1: doc_id is known
         base = np.cumsum([0, *map(len, learn)])[:-1]
         self.of = np.concatenate([o.astype(np.int64) + b for o, b in zip(get("of", np.uint16), base, strict=True)])
-        self.learn = np.concatenate(learn)
+        learn = np.concatenate(learn)
+        self.learn, self.known = learn & 1 > 0, learn & 2 > 0
         if "ids" in t.column_names:
             self.ids, self.mark = np.concatenate(get("ids", np.int64)), np.concatenate(get("mark", np.int32))
         words, inv = np.unique(np.concatenate(keys), return_inverse=True)
@@ -328,10 +330,15 @@ def _context_counts(v: Vocabulary) -> np.ndarray:
 SUMS = "doc_id long, mark int, rows long, n_tokens long, n_known long, base double, score double"
 
 
-def _sum_rows(ids: np.ndarray, mark: np.ndarray, of: np.ndarray, rows: int, count: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
+def _ids(rb: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The doc_ids (0 for null) and whether they are known."""
+    return rb.column(0).fill_null(0).to_numpy(), rb.column(0).is_valid().to_numpy(zero_copy_only=False)
+
+
+def _sum_rows(ids: np.ndarray, known: np.ndarray, mark: np.ndarray, of: np.ndarray, rows: int, count: np.ndarray, logs: np.ndarray) -> pa.RecordBatch:
     m = len(ids)
     add = lambda x: np.bincount(of, x, m).astype(np.float64)
-    cols = [ids, mark, np.full(m, rows), np.bincount(of, minlength=m), add(count > 0).astype(np.int64), add(np.log10(count + 1.0)), add(logs)]
+    cols = [pa.array(ids, mask=~known), mark, np.full(m, rows), np.bincount(of, minlength=m), add(count > 0).astype(np.int64), add(np.log10(count + 1.0)), add(logs)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in SUMS.split(", ")])
 
 
@@ -364,7 +371,7 @@ def document_scores(docs: DataFrame, learn: Column, text: str = "text", key: str
         b = Bucket(t)
         parts = predictions(b.dishes, draw(b.dishes, b.seed, False), sums, context_c, v.n_words)
         logs = token_logs(b.dish, b.ctx, b.dishes, *parts) if v.n_tokens else np.zeros(len(b.dish))
-        return pa.Table.from_batches([_sum_rows(b.ids, b.mark, b.of, 0, b.count, logs)])
+        return pa.Table.from_batches([_sum_rows(b.ids, b.known, b.mark, b.of, 0, b.count, logs)])
 
     common = predictions(frequent, draw(frequent, 1, False), sums, context_c, v.n_words) if len(v.keys) else None
 
@@ -374,8 +381,7 @@ def document_scores(docs: DataFrame, learn: Column, text: str = "text", key: str
             use = dish >= 0
             dish, ctx = dish[use], _places(v.keys, before[use]) + 1
             logs = token_logs(dish, ctx, frequent, *common) if common and len(dish) else np.zeros(len(dish))
-            ids, mark = (rb.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            yield _sum_rows(ids, mark, row[use], 1, v.counts[dish] if len(v.keys) else np.zeros(0), logs)
+            yield _sum_rows(*_ids(rb), rb.column(1).to_numpy(), row[use], 1, v.counts[dish] if len(v.keys) else np.zeros(0), logs)
 
     parts = stream.groupBy("bucket").applyInArrow(score, SUMS).union(docs.mapInArrow(score_frequent, SUMS))
     names = ["rows", "n_tokens", "n_known", "base", "score"]

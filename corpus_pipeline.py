@@ -32,14 +32,26 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of word 5-grams: that of the smallest doc_id."""
-    docs = docs.select(COLUMNS)
-    found = settle(ngram_components(docs, n=5, num=4, den=5), "pipeline-components")
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "doc_id", "left_anti").select(COLUMNS)
-    if not found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    """One document of each group linked by a Jaccard similarity of 0.8 or more of word 5-grams: that of the smallest doc_id (nulls last).
+
+    Rows are told apart by doc_id and text, so other texts of the same or of no
+    doc_id are documents of their own; equal rows of words collapse to one.
+    """
+    docs = docs.select(COLUMNS).withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    found = settle(ngram_components(docs, n=5, num=4, den=5, key="row_key").withColumnRenamed("doc_id", "key"), "pipeline-components")
+    linked = found.where("component_id <> key").select("key", "component_id").distinct()
+    linked = settle(linked.union(linked.select(F.col("component_id").alias("key"), "component_id").distinct()), "pipeline-linked")
+    near = F.broadcast(linked) if linked.count() <= MOST_BROADCAST else linked
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    first = docs.select("doc_id", "row_key").join(near, F.col("row_key") == F.col("key")).groupBy("component_id").agg(F.min_by("row_key", rank).alias("first"))
+    gone = settle(linked.join(first, "component_id").where("key <> first").select(F.col("key").alias("row_key")), "pipeline-gone")
+    kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "row_key", "left_anti")
+    again = settle(found.where("n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("row_key")), "pipeline-again")
+    n = again.count()
+    if n:
+        near = F.broadcast(again) if n <= MOST_BROADCAST else again
+        kept = kept.join(near, "row_key", "left_anti").select(COLUMNS).union(kept.join(near, "row_key", "left_semi").dropDuplicates(["row_key"]).select(COLUMNS))
+    return kept.select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,3 +72,13 @@ def test_other_targets_first_then_the_rest():
     s = Schedule(np.array([4096, 40960]), np.array([0.5, 0.5]))
     _, _, length, seq, _ = s.pieces(0, np.array([0]), np.array([4096]))
     assert seq.max() == 3 and length.sum() == 4096
+
+
+def test_null_ids_stay_null(spark):
+    rows = [(None, "first text", "a"), (None, "second longer text here", "b"), (7, "third", "a")]
+    out = packed(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), *ARGS).collect()
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t, q in rows:
+        want = [*lib.encode(t, add_special_tokens=False).ids, 1]
+        got = sorted((p.start, np.frombuffer(bytes(p.ids), "<u4").tolist()) for p in out if p.doc_id == i and p.doc_tokens == len(want))
+        assert [x for _, part in got for x in part] == want

@@ -78,3 +78,18 @@ def test_entry_registers_it():
     importlib.reload(__spark_entry__)
     names = __spark_entry__.queries()
     assert "pipeline" in names and re.match(r"op\d+_", next(n for n in names if n.startswith("op")))
+
+
+def test_rows_of_one_id_or_none_are_told_apart_by_text(spark):
+    r = random.Random(8)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (None, ""), (None, ""), (5, c), (5, d), (5, d), (3, d + " x"), (9, e), (None, e), (4, c)]
+    docs = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    want = [(None, a), (None, b), (None, ""), (None, ""), (3, d + " x"), (9, e), (4, c)]
+    key = lambda x: (str(x[0]), x[1])
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=key) == sorted(want, key=key)
+    rest = corpus_pipeline.packing(spark, corpus_pipeline.substrings(spark, out, ""), "").collect()
+    assert sum(x.start == 0 for x in rest) == len(want)

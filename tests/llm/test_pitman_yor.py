@@ -99,3 +99,10 @@ def test_tables_follow_the_seating_process():
         assert abs((t == k).mean() - w / total) < 0.02
     big = sample_tables(np.array([1, 0, 33, 100000]), np.array([1.0, 1.0, 1e-9, 2.0]), 0.8, rng)
     assert big[0] == 1 and big[1] == 0 and big[2] == 1 and 1 < big[3] < 100000
+
+
+def test_null_ids_stay_null(spark, tmp_path):
+    rows = [(None, "one two three"), (None, "four five"), (2**60 + 1, "one two"), (2**60 + 3, "five one two three")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op4_pitman_yor(spark, str(tmp_path)).collect()
+    assert Counter((x.doc_id, x.n_tokens) for x in got) == Counter((i, len(tokens(t))) for i, t in rows)
