@@ -106,3 +106,36 @@ def test_null_ids_stay_null(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = registry.op4_pitman_yor(spark, str(tmp_path)).collect()
     assert Counter((x.doc_id, x.n_tokens) for x in got) == Counter((i, len(tokens(t))) for i, t in rows)
+
+
+def test_rare_contexts_tell_as_much_at_every_size(spark, tmp_path):
+    """One word follows each of 1500 words, which are rarer than 1/CONTEXTS of the tokens; so do the first tokens of texts."""
+    r = random.Random(6)
+    after = {f"w{i}": f"w{r.randrange(3000)}" for i in range(3000)}
+    rows = []
+    for i in range(600):
+        w = ["zfirst"]
+        for _ in range(40):
+            a = f"w{r.randrange(3000)}"
+            w += [a, after[a]]
+        rows.append((i, " ".join(w)))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [x for x in registry.op4_pitman_yor(spark, str(tmp_path)).collect() if x.held_out]
+    assert sum(x.score for x in held) > 0.75 * sum(x.base_score for x in held)
+
+
+@pytest.mark.parametrize("contexts", [2048, 6, 1])
+def test_probabilities_after_every_context_add_up_to_one(spark, monkeypatch, contexts):
+    """Of all words and the end after each other: the matrix, but for a change of scale, comes from texts of up to two words."""
+    monkeypatch.setattr(pitman_yor, "CONTEXTS", contexts)
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(9)]
+    learn = [(i, " ".join(r.choice(words[: 2 + i % 8]) for _ in range(r.randrange(20)))) for i in range(80)]
+    states = [*words, "new"]
+    texts = ["", *states, *(f"{a} {b}" for a in states for b in states)]
+    rows = [*((*x, True) for x in learn), *((1000 + i, t, False) for i, t in enumerate(texts))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(4)
+    got = {x.doc_id: x.score for x in pitman_yor.document_scores(docs, docs["learn"]).collect()}
+    p = {t: 10 ** got[1000 + i] for i, t in enumerate(texts)}
+    m = np.array([[p[""], *(1.0 for _ in states)], *([p[a], *(p[f"{a} {b}"] / p[b] for b in states)] for a in states)])
+    assert math.isclose(np.abs(np.linalg.eigvals(m)).max(), 1, rel_tol=1e-9)
