@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from career_lake.session import settle
+from career_lake.session import discard, settle
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def components(edges: DataFrame, label: str) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = mark(now)
     while seen[0]:
-        now = settle(_small_star(_large_star(now)), f"{label}-star")
+        before, now = now, settle(_small_star(_large_star(now)), f"{label}-star")
+        discard(before)
         last, seen = seen, mark(now)
         if last == seen:
             break

@@ -1,26 +1,31 @@
 """N-gram Jaccard join by prefix trees (operator 5).
 
 1. Every document becomes the set of the 64-bit hashes of its distinct word
-   n-grams, ordered globally by hash. Equal sets collapse to one.
-2. Candidates without loss. Two sets x, y with Jaccard >= t differ in at most
-   (|x|+|y|)(1-t)/(1+t) elements. The hash range is cut in more slices than
-   that, so some slice is equal in both. Each set emits one signature for each
-   slice; a set whose size lies close under a size class also emits the
-   signatures of that class. Slices without elements are emitted only by sets
-   that have more of them than the spare slices allow for. Sets are blocks when
-   equal signatures connect them.
-3. In each block a trie over the ordered sets (16 elements a node, rarest
-   first) is traversed level by level for each probe: nodes share the overlap
-   of their prefix, and a subtree is pruned when its remaining length cannot
-   reach the needed overlap. Only sets that are not connected yet are probed.
-   A block of more than `chunk` sets is cut: every chunk is joined with the
-   first, then what is still apart with every chunk. Nothing unbounded meets
-   in one task.
-4. Components of the links.
+   n-grams. Equal sets collapse to one.
+2. One global order: by the number of sets that hold an n-gram, then by its
+   hash. The numbers are exact; chunks of documents ask the buckets of the hash
+   range for them (chunks.py). N-grams of one set come first in the order and
+   meet nothing, so a set keeps the rest, in order, and its size.
+3. Sets x and y with Jaccard >= t share one of the first |x| - ceil(t |x|) + 1
+   n-grams of either. These are the branches of the tree's root: a branch is
+   an n-gram with the sets that hold it among their first.
+4. In star rounds each set of a branch meets one set of the branch. Branches
+   whose sets are connected by then are done, and rounds go on while they shrink
+   the rest. In what is left, pairs of a branch that are not connected are
+   kept if their lengths, the places of the n-gram in both, and parity sketches
+   (the sets differ in at least as many elements as these in bits) allow
+   enough overlap; branches of many sets are cut into blocks that meet in turn.
+5. Pairs are verified by tries: the ordered sets that one set shall meet are
+   stored in a trie (BAND elements a node) that the set traverses; nodes
+   share the overlap of their prefix, and a subtree is pruned when its
+   remaining length cannot reach the needed overlap. Tasks take at most CHUNK
+   sets; the sets of one partner are dealt to several.
+6. Components of the links.
 
 Null or word-less texts have an empty set and no link. With fewer than n words
-the whole sequence is the one element. Repeated rows are equal sets. Extra
-columns are ignored. An empty table gives an empty result.
+the whole sequence is the one element. Repeated rows are equal sets; rows of
+one doc_id, or of none (null), are told apart by their texts. Extra columns are
+ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,22 +35,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from career_lake.llm.chunks import ANSWER, answer, answered, chunked, meet, ordered, received, send
 from career_lake.llm.graph import components
-from career_lake.llm.text import STEP, Rolling, Words, batches, mix, powers
-from career_lake.session import settle
+from career_lake.llm.text import STEP, Rolling, Words, batches, column_bytes, mix, powers
+from career_lake.session import discard, settle
 
 #: Elements of a trie node.
 BAND = 16
 _PLACE = powers(STEP[1], BAND)
-#: Sets that one task of the trie join takes from a block at most, and elements.
+#: Sets and elements that one task of the trie join takes at most.
 CHUNK, CHUNK_ELEMENTS = 384, 600_000
-#: Documents with a candidate partner (16 bytes each) that may be broadcast, so that no other text is shuffled.
-MOST_BROADCAST = 2_000_000
-#: Size classes: the lower ends, each 1.3 times the last.
-_CLASSES = np.unique(np.floor(1.3 ** np.arange(0, 90)).astype(np.int64))
+#: Sets of a branch that meet in one block.
+BLOCK = 2048
+#: Bits of a parity sketch, and rows of sketches that are compared at once.
+SKETCH, ROWS = 512, 64
 
 
 def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
@@ -62,211 +68,263 @@ def shingle_sets(w: Words, n: int) -> Iterator[np.ndarray]:
             yield grams[:0]
 
 
-def slices_of_class(c: int, num: int, den: int) -> tuple[int, int]:
-    """How many slices size class c has, and how many of them are spare.
+def first_elements(size: np.ndarray, num: int, den: int) -> np.ndarray:
+    """How many of a set's first elements hold one of any set with Jaccard >= num/den."""
+    return size - (size * num + den - 1) // den + 1
 
-    Sets of class c have sizes below its upper end; a set that is in it as a
-    guest is smaller. The differing elements are at most
-    floor(2 (end - 1) (den - num) / (den + num)).
-    """
-    end = int(_CLASSES[c + 1]) if c + 1 < len(_CLASSES) else int(_CLASSES[c] * 1.3) + 2
-    differ = 2 * (end - 1) * (den - num) // (den + num)
-    spare = differ // 16 + 1 if differ else 0
-    return differ + 1 + spare, spare
-
-
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The signatures of one sorted set."""
-    out, size = [], len(s)
-    if not size:
-        return np.zeros(0, np.int64)
-    own = int(np.searchsorted(_CLASSES, size, "right")) - 1
-    c = own - 1
-    # A partner has at most size * den / num elements; it may be of a later class.
-    while (c := c + 1) == own or c < len(_CLASSES) and size * den >= int(_CLASSES[c]) * num:
-        k, spare = slices_of_class(c, num, den)
-        at = ((s >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
-        begin = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1))
-        ids = at[begin]
-        content = np.add.reduceat(mix(s), begin)
-        if k - len(ids) > spare:
-            gone = np.setdiff1d(np.arange(k), ids, assume_unique=True)
-            ids, content = np.concatenate((ids, gone)), np.concatenate((content, np.zeros(len(gone), np.uint64)))
-        out.append(mix(content + mix((ids + (c << 40) + 1).astype(np.uint64))).astype(np.int64))
-    return np.concatenate(out)
-
-
-def _profiles(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, signatures."""
+
+def _profiles(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, row_key, n_shingles and two hashes of the whole set."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             for lo, hi, buf, off in batches(rb, "text"):
-                sizes, d1, d2, sigs = [], [], [], []
+                sizes, d1, d2 = [], [], []
                 for s in shingle_sets(Words(buf, off, lower=True), n):
                     sizes.append(len(s))
                     d1.append(int(np.bitwise_xor.reduce(mix(s))) if len(s) else 0)
                     d2.append(int(np.add.reduce(mix(s + np.uint64(1)))) if len(s) else 0)
-                    sigs.append(signatures(s, num, den))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rb.column(0)[lo:hi].cast(pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(np.array(d1, np.uint64).astype(np.int64)),
-                        pa.array(np.array(d2, np.uint64).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)), pa.array(np.concatenate(sigs))),
-                    ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "sigs"],
-                )
+                marks = (pa.array(np.array(d, np.uint64).astype(np.int64)) for d in (d1, d2))
+                yield pa.RecordBatch.from_arrays([rb.column(0)[lo:hi], rb.column(1)[lo:hi], pa.array(sizes, pa.int64()), *marks], names=["doc_id", "row_key", "n_shingles", "d1", "d2"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>")
+    return docs.select("doc_id", "row_key", "text").mapInArrow(run, "doc_id long, row_key long, n_shingles long, d1 long, d2 long")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """docs(doc_id, text, ...) with the set as bytes instead of the text."""
-    keep = [f for f in docs.schema.fields if f.name != "text"]
+class _Grams:
+    """The sets of a chunk's documents, laid end to end, and the chunk's distinct n-grams."""
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in it:
-            others = [rb.column(rb.schema.get_field_index(f.name)) for f in keep]
-            for lo, hi, buf, off in batches(rb, "text"):
-                sets = [s.tobytes() for s in shingle_sets(Words(buf, off, lower=True), n)]
-                yield pa.RecordBatch.from_arrays([*(x[lo:hi] for x in others), pa.array(sets, pa.binary())], names=[*(f.name for f in keep), "elements"])
+    def __init__(self, docs: pa.Table, n: int) -> None:
+        self.docs = ordered(docs)
+        sets = list(shingle_sets(Words(*column_bytes(self.docs["text"]), lower=True), n))
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        self.keys, self.inv, self.counts = np.unique(self.all, return_inverse=True, return_counts=True)
+
+
+def _sum_counts(t: pa.Table) -> pa.Table:
+    keys, at = received(t["keys"], np.uint64)
+    more, _ = received(t["more0"], np.uint32)
+    _, inv = np.unique(keys, return_inverse=True)
+    return answer(t, np.bincount(inv, more)[inv].astype(np.uint32) if len(keys) else np.zeros(0, np.uint32), at)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keep)
-    return docs.mapInArrow(run, f"{schema}, elements binary")
+
+def _branching_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """id, size, elements (in global order, without those of one set), heads (elements among the first), sketch.
+
+    Only sets with such heads; the others have no link.
+    """
+    docs, buckets = chunked(docs, "text", "row_key")
+
+    def ask(t: pa.Table) -> pa.Table:
+        g = _Grams(t, n)
+        return send(t["chunk"][0].as_py(), g.keys, buckets, g.counts.astype(np.uint32))
+
+    def tell(t: pa.Table, told: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {"id": [], "size": [], "elements": [], "heads": [], "sketch": []}
+        if t.num_rows:
+            g = _Grams(t, n)
+            sets = answered(told, np.uint32)[g.inv] if len(g.all) else np.zeros(0, np.uint32)
+            row = np.repeat(np.arange(len(g.sizes)), g.sizes)
+            shared = np.flatnonzero(sets > 1)
+            shared = shared[np.lexsort((g.all[shared], sets[shared], row[shared]))]
+            cut = np.searchsorted(row[shared], np.arange(len(g.sizes) + 1))
+            ids = g.docs["doc_id"].to_numpy()
+            heads = first_elements(g.sizes, num, den) - (g.sizes - np.diff(cut))
+            for r in np.flatnonzero((heads > 0) & (np.diff(cut) > 0)):
+                s = g.all[shared[cut[r] : cut[r + 1]]]
+                rows["id"].append(ids[r])
+                rows["size"].append(g.sizes[r])
+                rows["elements"].append(s.tobytes())
+                rows["heads"].append(s[: heads[r]].astype(np.int64))
+                rows["sketch"].append(sketch(s))
+        return pa.table(
+            [pa.array(rows["id"], pa.int64()), pa.array(rows["size"], pa.int64()), pa.array(rows["elements"], pa.binary()), pa.array(rows["heads"], pa.list_(pa.int64())), pa.array(rows["sketch"], pa.binary())],
+            names=list(rows),
+        )
+
+    sent = docs.groupBy("chunk").applyInArrow(ask, "bucket int, chunk long, keys binary, more0 binary")
+    told = sent.groupBy("bucket").applyInArrow(_sum_counts, ANSWER)
+    return meet(docs, told, tell, "id long, size long, elements binary, heads array<long>, sketch binary")
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Bit b is the parity of the number of elements that fall on b."""
+    odd = np.bincount((mix(s) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 class Trie:
-    """Ordered sets with shared prefixes; a node holds up to BAND elements."""
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        sizes = np.array([len(s) for s in sets])
-        _, inv, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        order = np.empty(len(cnt), np.int64)
-        order[np.argsort(cnt, kind="stable")] = np.arange(len(cnt))  # rarest first, then by hash
-        ranks, cum = order[inv], np.concatenate(([0], np.cumsum(sizes)))
-        self.sets = [np.sort(ranks[a:b]) for a, b in zip(cum[:-1], cum[1:], strict=True)]
-        self.sizes, self.width = sizes, len(cnt)
-        rows = np.arange(len(sets))
-        parent = np.zeros(len(sets), np.int64)
+    """Ordered sets with shared prefixes; a node holds up to BAND elements.
+
+    sizes: of the whole sets; their elements that no other set has are not stored.
+    """
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.keys, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        lens = np.array([len(s) for s in sets])
+        begin = np.concatenate(([0], np.cumsum(lens)))
+        self.sizes, self.lens, none = sizes, lens, len(self.keys)
+        rows, parent, depth = np.arange(len(sets)), np.zeros(len(sets), np.int64), 0
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        depth = 0
         while len(rows):
-            content = np.full((len(rows), BAND), len(cnt), np.int64)
-            for i, r in enumerate(rows):
-                piece = self.sets[r][depth : depth + BAND]
-                content[i, : len(piece)] = piece
+            at = begin[rows][:, None] + np.arange(depth, depth + BAND)
+            content = np.where(at < begin[rows + 1][:, None], codes[np.minimum(at, len(codes) - 1)], none)
             label = mix((mix(content.astype(np.uint64) + np.uint64(1)) * _PLACE).sum(1) + mix(parent.astype(np.uint64) + np.uint64(7)))
             _, first, node = np.unique(label, return_index=True, return_inverse=True)
-            top, low = np.zeros(len(first), np.int64), np.full(len(first), 1 << 60)
-            np.maximum.at(top, node, sizes[rows])
+            long, low = np.zeros(len(first), np.int64), np.full(len(first), 1 << 60)
+            np.maximum.at(long, node, lens[rows])
             np.minimum.at(low, node, sizes[rows])
-            self.levels.append((rows, node, content[first], parent[first], top, low))
+            self.levels.append((rows, node, content[first], parent[first], long, low))
             depth += BAND
-            stay = sizes[rows] > depth
+            stay = lens[rows] > depth
             rows, parent = rows[stay], node[stay]
 
-    def probe(self, i: int, wanted: np.ndarray, num: int, den: int) -> np.ndarray:
-        """Rows among wanted (a mask) whose Jaccard similarity with row i is at least num/den."""
-        size = int(self.sizes[i])
-        flag = np.zeros(self.width + 1, bool)
-        flag[self.sets[i]] = True
-        found, above, alive_rows = [], np.zeros(1, np.int64), wanted.copy()
-        for depth, (rows, node, content, parent, top, low) in enumerate(self.levels):
-            at = alive_rows[rows]
-            if not at.any():
+    def probe(self, s: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
+        """Rows whose Jaccard similarity with the set s (of `size` elements in all) is at least num/den."""
+        flag = np.zeros(len(self.keys) + 1, bool)
+        place = np.minimum(np.searchsorted(self.keys, s), len(self.keys) - 1)
+        flag[place[self.keys[place] == s]] = True
+        found, above, alive = [], np.zeros(1, np.int64), np.ones(len(self.sizes), bool)
+        for depth, (rows, node, content, parent, long, low) in enumerate(self.levels):
+            here = alive[rows]
+            if not here.any():
                 break
-            live = np.unique(node[at])
+            live = np.unique(node[here])
             overlap = np.zeros(len(content), np.int64)
             overlap[live] = (above[parent[live]] if depth else 0) + flag[content[live]].sum(1)
-            rest = np.minimum(size - overlap[live], np.maximum(top[live] - (depth + 1) * BAND, 0))
-            ok = (overlap[live] + rest) * (den + num) >= num * (size + low[live])
+            rest = np.minimum(len(s) - overlap[live], np.maximum(long[live] - (depth + 1) * BAND, 0))
             dead = np.ones(len(content), bool)
-            dead[live[ok]] = False
-            mine, of = rows[at], node[at]
-            ended = self.sizes[mine] <= (depth + 1) * BAND
-            hit = mine[ended & ~dead[of] & (overlap[of] * (den + num) >= num * (size + self.sizes[mine]))]
-            found.append(hit)
-            alive_rows[mine[ended | dead[of]]] = False
+            dead[live[(overlap[live] + rest) * (den + num) >= num * (size + low[live])]] = False
+            mine, of = rows[here], node[here]
+            ended = self.lens[mine] <= (depth + 1) * BAND
+            found.append(mine[ended & ~dead[of] & (overlap[of] * (den + num) >= num * (size + self.sizes[mine]))])
+            alive[mine[ended | dead[of]]] = False
             above = overlap
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def trie_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what any links connect, between sets of different groups.
-
-    group: what is connected already. side: sets of side 0 need not be compared
-    with each other, unless all are of side 0.
-    """
-    trie, root, links = Trie(sets), group.copy(), []
-    within = not side.any()
-    for i in np.flatnonzero(side) if not within else range(len(sets)):
-        wanted = root != root[i]
-        if not wanted.any():
-            continue
-        for j in trie.probe(int(i), wanted, num, den):
-            if root[j] != root[i]:
-                links.append((int(i), int(j)))
-                root[root == root[j]] = root[i]
-    return links
+def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs(a, b) whose sets have Jaccard >= num/den, by tries of the sets that one set meets."""
+    members = pairs.join(sets.select(F.col("id").alias("b"), "size", "elements"), "b")
+    load = members.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum(F.length("elements") / 8) / CHUNK_ELEMENTS)).cast("int").alias("cells"))
+    probes = load.join(sets, load.a == sets.id).select("a", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"), F.col("id").alias("b"), "size", "elements")
+    members = members.join(load, "a").select("a", F.pmod(F.xxhash64("b"), "cells").cast("int").alias("cell"), "b", "size", "elements")
 
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own, at = (pdf["a"] == pdf["b"]).to_numpy(), pdf["b"].to_numpy()
+        found = at[:0]
+        if own.any() and not own.all():
+            sets = [np.frombuffer(x, np.uint64) for x in pdf["elements"]]
+            size, me, rest = pdf["size"].to_numpy(), int(np.flatnonzero(own)[0]), np.flatnonzero(~own)
+            found = at[rest[Trie([sets[i] for i in rest], size[rest]).probe(sets[me], int(size[me]), num, den)]]
+        return pd.DataFrame({"a": np.full(len(found), pdf["a"].iloc[0]), "b": found}, dtype="int64")
 
-def _join(cells: DataFrame, keys: list[str], num: int, den: int) -> DataFrame:
-    """Links within each cell of cells(keys, doc_id, elements, root, side)."""
+    return probes.union(members).groupBy("a", "cell").applyInPandas(run, "a long, b long")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        ids = pdf["doc_id"].to_numpy()
-        _, group = np.unique(pdf["root"].to_numpy(), return_inverse=True)
-        links = trie_links([np.frombuffer(x, np.uint64) for x in pdf["elements"]], group, pdf["side"].to_numpy(), num, den) if len(pdf) > 1 else []
-        return pd.DataFrame({"a": [int(ids[i]) for i, _ in links], "b": [int(ids[j]) for _, j in links]}, dtype="int64")
-
-    return cells.groupBy(*keys).applyInPandas(run, "a long, b long")
-
-
-def _block_links(sets: DataFrame, num: int, den: int, label: str) -> DataFrame:
-    """Links of sets(block, doc_id, elements), block by block."""
-    load = sets.groupBy("block").agg(F.count("*").alias("m"), F.sum(F.length("elements") / 8).alias("n"))
-    load = load.select("block", F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("n") / CHUNK_ELEMENTS)).cast("int").alias("chunks"))
-    sets = settle(sets.join(load, "block").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")), f"{label}-sets")
-    first = sets.withColumn("root", F.col("doc_id")).withColumn("cell", F.when((F.col("chunk") == 0) & (F.col("chunks") > 1), F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array("chunk")))
-    first = first.withColumn("cell", F.explode("cell")).withColumn("side", F.lit(0))
-    links = settle(_join(first.select("block", "cell", "doc_id", "elements", "root", "side"), ["block", "cell"], num, den), f"{label}-links")
-    large = sets.where("chunks > 1")
-    if large.isEmpty():
-        return links
-    # What is still apart from the largest part of its block meets every chunk.
-    near = components(links, f"{label}-near")
-    rooted = large.join(near, large.doc_id == near.node, "left").select("block", "doc_id", "elements", "chunk", "chunks", F.coalesce("component", "doc_id").alias("root"))
-    parts = rooted.groupBy("block", "root").agg(F.count("*").alias("m"))
-    main = parts.groupBy("block").agg(F.max_by("root", F.struct("m", F.negative("root"))).alias("main"), F.count("*").alias("parts"))
-    rooted = settle(rooted.join(main, "block").where("parts > 1"), f"{label}-apart")
-    apart = rooted.where("root <> main")
-    n_apart = apart.groupBy("block").agg(F.ceil(F.count("*") / (CHUNK // 2)).cast("int").alias("groups"))
-    cut = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(1)), F.col("groups")).cast("int")
-    probes = apart.join(n_apart, "block").withColumn("of", cut).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(1))
-    bases = rooted.join(n_apart, "block").withColumn("of", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).withColumn("cell", F.col("chunk")).withColumn("side", F.lit(0))
-    cols = ["block", "cell", "of", "doc_id", "elements", "root", "side"]
-    return links.union(_join(bases.select(cols).union(probes.select(cols)), ["block", "cell", "of"], num, den))
 
+def _possible(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Pairs of a branch's block that are not connected and that lengths, places and sketches allow.
 
-def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id of each row: components of the links with Jaccard >= num/den."""
+    place: the n-gram's place among the set's stored elements; alone: the set's elements that no other set has.
+    """
+    pdf = pdf.sort_values(["size", "id"])
+    ids, root, size, alone, place, side = (pdf[c].to_numpy() for c in ("id", "root", "size", "alone", "place", "side"))
+    bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+    cross = side.any() and not side.all()
+    out_a, out_b = [], []
+    for lo in range(0, len(ids), ROWS):
+        hi = min(lo + ROWS, len(ids))
+        most = int(np.searchsorted(size, size[hi - 1] * den // num, "right"))  # larger sets are too long for all of these rows
+        r, c = slice(lo, hi), slice(lo + 1, most)
+        if most <= lo + 1:
+            continue
+        both = size[r, None] + size[None, c]
+        ok = (np.arange(lo, hi)[:, None] < np.arange(lo + 1, most)[None]) & (root[r, None] != root[None, c]) & (size[r, None] * den >= size[None, c] * num)
+        if cross:
+            ok &= side[r, None] != side[None, c]
+        after = size - alone - place
+        room = np.minimum(place[r, None], place[None, c]) + np.minimum(after[r, None], after[None, c])
+        ok &= room * (den + num) >= num * both
+        i, j = np.nonzero(ok)
+        for k in range(0, len(i), 1 << 17):
+            x, y = i[k : k + (1 << 17)] + lo, j[k : k + (1 << 17)] + lo + 1
+            differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) + alone[x] + alone[y]
+            fits = differ * (den + num) <= (den - num) * (size[x] + size[y])
+            out_a.append(ids[x[fits]])
+            out_b.append(ids[y[fits]])
+    a, b = (np.concatenate(o) if o else ids[:0] for o in (out_a, out_b))
+    return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}, dtype="int64")
+
+
+def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
+    """The possible pairs (a, b) of entries(gram, id, root, size, alone, place, sketch)."""
+    count = entries.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    e = entries.join(count, "gram").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    # Every two blocks of a branch meet in one cell, and each block with itself.
+    e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    e = e.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "size", "alone", "place", "sketch")
+    return e.groupBy("gram", "low", "high").applyInPandas(lambda pdf: _possible(pdf, num, den), "a long, b long").distinct()
+
+
+def _links(sets: DataFrame, num: int, den: int, label: str) -> DataFrame:
+    """Links (a, b) that connect what all links connect."""
+    alone = F.col("size") - (F.length("elements") / 8).cast("long")
+    entries = sets.select("id", "size", alone.alias("alone"), F.posexplode("heads").alias("place", "gram"))
+    links, tested, live, last, turn = None, None, None, None, 0
+    rooted, least = entries.withColumn("root", F.col("id")), 2
+    while True:
+        # A branch goes on if sets of it are apart, and if it has pairs that were not tested.
+        open_ = rooted.groupBy("gram").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by("id", _deal("id", turn)).alias("star"), F.min_by("size", _deal("id", turn)).alias("star_size"))
+        live_before, live = live, settle(rooted.join(open_.where(f"m >= {least} and r0 <> r1").select("gram", "star", "star_size"), "gram"), f"{label}-live{turn}")
+        if live_before is not None:
+            discard(live_before)
+        n = live.count()
+        if not n or (last is not None and n > last * 0.7):
+            break
+        near = live.where("id <> star").where(F.least("size", "star_size") * den >= F.greatest("size", "star_size") * num)
+        pairs = near.select(F.col("star").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = settle(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"{label}-pairs{turn}")
+        tested = pairs if tested is None else tested.union(pairs)
+        found = settle(_verified(pairs, sets, num, den), f"{label}-links{turn}")
+        links = found if links is None else links.union(found)
+        near = components(links, f"{label}-near")
+        rooted = live.select("gram", "id", "size", "alone", "place").join(near, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+        last, turn, least = n, turn + 1, 3
+    if links is None or not n:
+        return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
+    pairs = _blocks(live.join(sets.select("id", "sketch"), "id"), num, den)
+    done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = settle(pairs.join(done, ["a", "b"], "left_anti"), f"{label}-rest")
+    return links.union(settle(_verified(pairs, sets, num, den), f"{label}-links"))
+
+
+def _deal(key: str, turn: int) -> Column:
+    return F.col(key) if turn == 0 else F.xxhash64(F.col(key), F.lit(turn))
+
+
+def ngram_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, row_key, n_shingles, group of each row.
+
+    row_key: a hash of doc_id and text. group: the same number for rows that
+    links of Jaccard >= num/den connect; null for rows without words.
+    """
     label = "jaccard"
     docs = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    profile = settle(_profiles(docs, n, num, den), f"{label}-profiles")
+    docs = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    profile = settle(_profiles(docs, n), f"{label}-profiles")
     ids = ["n_shingles", "d1", "d2"]
-    full = profile.where("n_shingles > 0")
-    classes = settle(full.groupBy(*ids).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), f"{label}-classes")
-    sigs = full.join(classes, full.doc_id == classes.rep, "left_semi").select("doc_id", F.explode("sigs").alias("sig"))
-    low = F.expr("min(doc_id) over (partition by sig order by doc_id rows between unbounded preceding and current row)")
-    near = sigs.select("doc_id", low.alias("b")).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    blocks = settle(components(near, f"{label}-blocks").select(F.col("node").alias("doc_id"), F.col("component").alias("block")), f"{label}-blocks")
-    near = F.broadcast(blocks) if blocks.count() <= MOST_BROADCAST else blocks
-    sets = _sets(docs.join(near, "doc_id").select("doc_id", "block", "text"), n)
-    links = _block_links(sets, num, den, label)
-    joined = components(links, f"{label}-components")
-    of_rep = classes.join(joined, classes.rep == joined.node, "left").select(*ids, F.coalesce("component", "rep").alias("component_id"))
-    out = profile.select("doc_id", *ids).join(of_rep, ids, "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    classes = settle(profile.where("n_shingles > 0").groupBy(*ids).agg(F.min("row_key").alias("rep")), f"{label}-classes")
+    # Copies and empty texts are fewer than the rest, so they are what the texts are joined with.
+    other = profile.join(classes.withColumnRenamed("rep", "row_key"), [*ids, "row_key"], "left_anti").select("row_key")
+    sets = _branching_sets(docs.join(other, "row_key", "left_anti").select("row_key", "text"), n, num, den)
+    sets = settle(sets.dropDuplicates(["id"]), f"{label}-sets")
+    joined = components(_links(sets, num, den, label), f"{label}-components")
+    of_rep = classes.join(joined, classes.rep == joined.node, "left").select(*ids, F.coalesce("component", "rep").alias("group"))
+    return profile.join(of_rep, ids, "left").select("doc_id", "row_key", "n_shingles", "group")
+
+
+def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id of the group; its own without words) of each row."""
+    found = settle(ngram_groups(docs, n, num, den, text, key), "jaccard-groups")
+    low = found.where("group is not null").groupBy("group").agg(F.min("doc_id").alias("low"))
+    return found.join(low, "group", "left").select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"))
