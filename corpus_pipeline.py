@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from career_lake.llm import nb_svm, registry, toxicity
-from career_lake.llm.jaccard import ngram_components
+from career_lake.llm.jaccard import ngram_groups
 from career_lake.llm.packing import packed
 from career_lake.llm.substrings import without_repeats
 from career_lake.session import settle, table
@@ -37,16 +37,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are told apart by doc_id and text, so other texts of the same or of no
     doc_id are documents of their own; equal rows of words collapse to one.
     """
-    docs = docs.select(COLUMNS).withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    found = settle(ngram_components(docs, n=5, num=4, den=5, key="row_key").withColumnRenamed("doc_id", "key"), "pipeline-components")
-    linked = found.where("component_id <> key").select("key", "component_id").distinct()
-    linked = settle(linked.union(linked.select(F.col("component_id").alias("key"), "component_id").distinct()), "pipeline-linked")
-    near = F.broadcast(linked) if linked.count() <= MOST_BROADCAST else linked
+    docs = docs.select(COLUMNS)
+    found = settle(ngram_groups(docs, n=5, num=4, den=5).where("group is not null"), "pipeline-groups")
+    docs = docs.withColumn("row_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    first = docs.select("doc_id", "row_key").join(near, F.col("row_key") == F.col("key")).groupBy("component_id").agg(F.min_by("row_key", rank).alias("first"))
-    gone = settle(linked.join(first, "component_id").where("key <> first").select(F.col("key").alias("row_key")), "pipeline-gone")
+    first = found.groupBy("group").agg(F.min_by("row_key", rank).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("group", "first")
+    gone = settle(found.join(first, "group").where("row_key <> first").select("row_key").distinct(), "pipeline-gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone, "row_key", "left_anti")
-    again = settle(found.where("n_shingles > 0").groupBy("key").count().where("count > 1").select(F.col("key").alias("row_key")), "pipeline-again")
+    again = settle(found.groupBy("row_key").count().where("count > 1").select("row_key"), "pipeline-again")
     n = again.count()
     if n:
         near = F.broadcast(again) if n <= MOST_BROADCAST else again
