@@ -24,8 +24,8 @@ CHUNK_DOCS = 128
 BUCKET_DOCS, LEAST_BUCKETS = 16_384, 64
 
 
-def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int]:
-    """(doc_id, text, missing, rest, chunk) of docs and the number of buckets.
+def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, int, int]:
+    """(doc_id, text, missing, rest, chunk) of docs, the number of buckets and that of chunks.
 
     rest: the row's columns but its text, as a struct, whatever their names.
     """
@@ -33,7 +33,7 @@ def chunked(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[D
     chunks, buckets = max(64, n // CHUNK_DOCS), max(LEAST_BUCKETS, n // BUCKET_DOCS)
     rest = F.struct(*(docs[c] for c in docs.columns if c != text)).alias("rest")
     docs = docs.select(docs[key].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), docs[text].isNull().alias("missing"), rest)
-    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))), buckets
+    return docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))), buckets, chunks
 
 
 def ordered(t: pa.Table) -> pa.Table:
@@ -47,11 +47,14 @@ def deal(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
 
 
-def send(chunk: int, keys: np.ndarray, buckets: int, *more: np.ndarray) -> pa.Table:
-    """Rows (bucket, chunk, keys, more...) of a chunk's sorted distinct keys; empty parts are left out."""
+def send(chunk: int, keys: np.ndarray, buckets: int, *more: np.ndarray, short: np.ndarray | None = None) -> pa.Table:
+    """Rows (bucket, chunk, keys, more...) of a chunk's sorted distinct keys; empty parts are left out.
+
+    short: what to send for the keys instead of themselves.
+    """
     cut = deal(keys, buckets)
     full = np.flatnonzero(np.diff(cut))
-    parts = [[a[cut[b] : cut[b + 1]].tobytes() for b in full] for a in (keys, *more)]
+    parts = [[a[cut[b] : cut[b + 1]].tobytes() for b in full] for a in (keys if short is None else short, *more)]
     return pa.table(
         [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), chunk, np.int64)), *(pa.array(p, pa.binary()) for p in parts)],
         names=["bucket", "chunk", "keys", *(f"more{i}" for i in range(len(more)))],

@@ -2,10 +2,11 @@
 
 1. Every document becomes the set of the 64-bit hashes of its distinct word
    n-grams. Equal sets collapse to one.
-2. One global order: by the number of sets that hold an n-gram, then by its
-   hash. The numbers are exact; chunks of documents ask the buckets of the hash
-   range for them (chunks.py). N-grams of one set come first in the order and
-   meet nothing, so a set keeps the rest, in order, and its size.
+2. One global order: by the number of sets that hold an n-gram (or one with the
+   same first 48 bits of hash; any fixed order is right), then by its hash.
+   Chunks of documents ask the buckets of the hash range for the numbers
+   (chunks.py). N-grams of one set come first in the order and meet nothing,
+   so a set keeps the rest, in order, and its size.
 3. Sets x and y with Jaccard >= t share one of the first |x| - ceil(t |x|) + 1
    n-grams of either. These are the branches of the tree's root: a branch is
    an n-gram with the sets that hold it among their first.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,39 +93,47 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
 
 
 class _Grams:
-    """The sets of a chunk's documents, laid end to end, and the chunk's distinct n-grams."""
+    """The sets of a chunk's documents but its copies, laid end to end, and the chunk's distinct n-grams (48 bits)."""
 
-    def __init__(self, docs: pa.Table, n: int) -> None:
-        self.docs = ordered(docs)
+    def __init__(self, docs: pa.Table, told: pa.Table, n: int) -> None:
+        copies = [x for x, b in zip(told["answer"].to_pylist(), told["bucket"].to_pylist(), strict=True) if b < 0]
+        gone = np.frombuffer(b"".join(copies), ">i8").astype(np.int64)
+        self.docs = ordered(docs.filter(pa.array(~np.isin(docs["doc_id"].to_numpy(), gone))))
         sets = list(shingle_sets(Words(*column_bytes(self.docs["text"]), lower=True), n))
         self.sizes = np.array([len(s) for s in sets], np.int64)
         self.all = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        self.keys, self.inv, self.counts = np.unique(self.all, return_inverse=True, return_counts=True)
+        self.keys, self.inv, self.counts = np.unique(self.all >> np.uint64(16), return_inverse=True, return_counts=True)
 
 
 def _sum_counts(t: pa.Table) -> pa.Table:
-    keys, at = received(t["keys"], np.uint64)
-    more, _ = received(t["more0"], np.uint32)
+    low, at = received(t["keys"], np.uint32)
+    high, _ = received(t["more0"], np.uint16)
+    more, _ = received(t["more1"], np.uint32)
+    keys = high.astype(np.uint64) << np.uint64(32) | low
     _, inv = np.unique(keys, return_inverse=True)
     return answer(t, np.bincount(inv, more)[inv].astype(np.uint32) if len(keys) else np.zeros(0, np.uint32), at)
 
 
-def _branching_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """id, size, elements (in global order, without those of one set), heads (elements among the first), sketch.
+def _branching_sets(docs: DataFrame, copies: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """docs(row_key, text) without the rows of copies(row_key): id, size, elements (in global order, without those of one set), heads (elements among the first), sketch.
 
     Only sets with such heads; the others have no link.
     """
-    docs, buckets = chunked(docs, "text", "row_key")
+    docs, buckets, chunks = chunked(docs, "text", "row_key")
+    # Rows like answers, of a bucket that is none, tell the chunks their copies.
+    none = copies.select(F.pmod(F.xxhash64("row_key"), F.lit(chunks)).alias("chunk"), F.lit(-1).alias("bucket"), F.unhex(F.lpad(F.hex("row_key"), 16, "0")).alias("answer"), F.lit(b"").alias("of"))
 
-    def ask(t: pa.Table) -> pa.Table:
-        g = _Grams(t, n)
-        return send(t["chunk"][0].as_py(), g.keys, buckets, g.counts.astype(np.uint32))
+    def ask(t: pa.Table, told: pa.Table) -> pa.Table:
+        g = _Grams(t, told, n)
+        # Sorted keys: the first 16 of their 48 bits hardly change, so they take no room apart.
+        high, low = (g.keys >> np.uint64(32)).astype(np.uint16), g.keys.astype(np.uint32)
+        return send(t["chunk"][0].as_py() if t.num_rows else 0, g.keys << np.uint64(16), buckets, high, g.counts.astype(np.uint32), short=low)
 
     def tell(t: pa.Table, told: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"id": [], "size": [], "elements": [], "heads": [], "sketch": []}
         if t.num_rows:
-            g = _Grams(t, n)
-            sets = answered(told, np.uint32)[g.inv] if len(g.all) else np.zeros(0, np.uint32)
+            g = _Grams(t, told, n)
+            sets = answered(told.filter(pc.greater_equal(told["bucket"], 0)), np.uint32)[g.inv] if len(g.all) else np.zeros(0, np.uint32)
             row = np.repeat(np.arange(len(g.sizes)), g.sizes)
             shared = np.flatnonzero(sets > 1)
             shared = shared[np.lexsort((g.all[shared], sets[shared], row[shared]))]
@@ -142,9 +152,9 @@ def _branching_sets(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
             names=list(rows),
         )
 
-    sent = docs.groupBy("chunk").applyInArrow(ask, "bucket int, chunk long, keys binary, more0 binary")
+    sent = meet(docs, none, ask, "bucket int, chunk long, keys binary, more0 binary, more1 binary")
     told = sent.groupBy("bucket").applyInArrow(_sum_counts, ANSWER)
-    return meet(docs, told, tell, "id long, size long, elements binary, heads array<long>, sketch binary")
+    return meet(docs, told.union(none), tell, "id long, size long, elements binary, heads array<long>, sketch binary")
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -314,9 +324,9 @@ def ngram_groups(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, text:
     profile = settle(_profiles(docs, n), f"{label}-profiles")
     ids = ["n_shingles", "d1", "d2"]
     classes = settle(profile.where("n_shingles > 0").groupBy(*ids).agg(F.min("row_key").alias("rep")), f"{label}-classes")
-    # Copies and empty texts are fewer than the rest, so they are what the texts are joined with.
-    other = profile.join(classes.withColumnRenamed("rep", "row_key"), [*ids, "row_key"], "left_anti").select("row_key")
-    sets = _branching_sets(docs.join(other, "row_key", "left_anti").select("row_key", "text"), n, num, den)
+    copies = profile.join(classes.withColumnRenamed("rep", "row_key"), [*ids, "row_key"], "left_anti").select("row_key")
+    copies = settle(copies.distinct(), f"{label}-copies")
+    sets = _branching_sets(docs.select("row_key", "text"), copies, n, num, den)
     sets = settle(sets.dropDuplicates(["id"]), f"{label}-sets")
     joined = components(_links(sets, num, den, label), f"{label}-components")
     of_rep = classes.join(joined, classes.rep == joined.node, "left").select(*ids, F.coalesce("component", "rep").alias("group"))

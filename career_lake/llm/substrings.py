@@ -147,7 +147,7 @@ def _paths(e: Edges, told: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def repeated_paths(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, start (word, from 0), n_words, path_id (a hash of the words) of each compacted path."""
-    docs, buckets = chunked(docs, text, key)
+    docs, buckets, _ = chunked(docs, text, key)
 
     def run(t: pa.Table, told: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -171,7 +171,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", k
     text: the kept words joined by one space, where words were removed; else
     unchanged. kept_sha256: of the kept words joined by one space.
     """
-    docs, buckets = chunked(docs, text, key)
+    docs, buckets, _ = chunked(docs, text, key)
     fields = [f"{f.name}" for f in docs.schema if f.name in ("doc_id", "missing", "rest")]
 
     def run(t: pa.Table, told: pa.Table) -> pa.Table:
