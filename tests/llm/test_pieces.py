@@ -37,10 +37,16 @@ def test_equals_full_viterbi():
 
 
 def test_commits_before_the_end_with_a_bounded_window():
-    parts = list(M.stream(iter("international" * 400)))
+    parts = list(M.stream("international" * 400))
     assert len(parts) > 20 and [i for p in parts for i in p] == whole("international" * 400)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("aeinortsxé日▁"), min_size=1, max_size=200))
+def test_runs_of_any_length_equal_full_viterbi(run):
+    assert [i for p in M.stream(run) for i in p] == whole(run)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.characters(exclude_categories=["Cs"]), max_size=80))
 def test_round_trip(t):
