@@ -78,14 +78,15 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = edited_documents(table(spark, sf_dir, "documents"))
     docs = with_sketch(with_sketch(docs, "text", "sketch"), "edited", "edited_sketch")
+    near = lambda b: likeness(F.col("sketch"), F.col(b))
     return docs.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        F.when(F.col("text") == F.col("edited"), F.lit(1.0)).otherwise(near("edited_sketch")).alias("near_edited"),
+        F.coalesce(near("next_sketch"), F.lit(0.0)).alias("near_next"),
     )
 
 

@@ -5,10 +5,10 @@ that lies below a fixed fraction of the hash range. Sketches of one scale can
 be merged by union and estimate containment between very unequal documents.
 
 A text with fewer words than the shingle has one shingle, its whole word
-sequence, which is kept whatever its hash; so is the smallest hash of a text
-of which none lies below the threshold. Null or word-less texts have an empty
-sketch. Two empty sketches are alike (1), an empty and a full one are not (0).
-Repeated rows have equal sketches. Extra columns pass through. An empty table
+sequence. Nothing but the threshold decides what is kept, so the union of
+sketches is the sketch of the union; short texts may keep nothing. Null or
+word-less texts have an empty sketch. Two empty sketches tell nothing (likeness
+and containment 0). Repeated rows have equal sketches. Extra columns pass through. An empty table
 gives an empty result.
 """
 
@@ -22,6 +22,8 @@ from career_lake.session import settle
 
 #: Words of a shingle; one of so many hashes is kept.
 SHINGLE, SCALE = 5, 8
+#: Ranges of ids whose edges one task orders; larger tables have longer ranges, whose sorts can spill.
+MOST_RANGES = 10_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,10 +41,9 @@ def shingle_hashes(h: Column, n: int) -> Column:
 
 
 def kept_hashes(s: Column, scale: int) -> Column:
-    """The sketch: distinct hashes below the threshold, ordered; if none is, the smallest."""
+    """The sketch: distinct hashes below the threshold, ordered."""
     limit = -(2**63) + 2**64 // scale
-    low = F.array_sort(F.array_distinct(F.filter(s, lambda x: x < limit)))
-    return F.when(F.size(low) > 0, low).when(F.size(s) > 0, F.array(F.array_min(s))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_sort(F.array_distinct(F.filter(s, lambda x: x < limit)))
 
 
 def with_sketch(df: DataFrame, text: str, out: str, n: int = SHINGLE, scale: int = SCALE) -> DataFrame:
@@ -57,12 +58,12 @@ def likeness(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity of two sketches."""
     both = F.size(F.array_intersect(a, b))
     total = F.size(a) + F.size(b) - both
-    return F.when(total == 0, F.lit(1.0)).otherwise(both / total)
+    return F.when(total == 0, F.lit(0.0)).otherwise(both / total)
 
 
 def containment(a: Column, b: Column) -> Column:
     """Estimated share of a's shingles that b has."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
 
 
 def merged(a: Column, b: Column) -> Column:
@@ -78,16 +79,17 @@ def as_text(a: Column) -> Column:
 def neighbours(docs: DataFrame, key: str = "doc_id", bucket_rows: int = 4096) -> DataFrame:
     """(id, next_id, n_prev): each id's next one in ascending order (after the last: the first) and its predecessor's n_chars.
 
-    docs: (key, n_chars). Ids are ordered inside ranges of ids; only one row a
-    range is ordered over all, so no task orders the whole table. Repeated ids
-    count once.
+    docs: (key, n_chars). Ids are dealt into ranges of about equally many
+    (settled, so that every step sees the same ranges) and ordered inside them;
+    only one row a range is ordered over all, so no task orders the whole table.
+    Repeated ids count once; null ids have no neighbour.
     """
-    ids = docs.groupBy(F.col(key).alias("id")).agg(F.max("n_chars").alias("n"))
-    span = ids.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("rows"), F.max_by("n", "id").alias("last_n")).first()
+    ids = docs.where(docs[key].isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max("n_chars").alias("n"))
+    span = ids.agg(F.min("id").alias("lo"), F.count("*").alias("rows"), F.max_by("n", "id").alias("last_n")).first()
     if not span["rows"]:
         return ids.select("id", F.col("id").alias("next_id"), F.col("n").alias("n_prev"))
-    width = max(1, (span["hi"] - span["lo"] + 1) * bucket_rows // span["rows"])
-    ids = ids.withColumn("range", F.floor((F.col("id") - span["lo"]) / width))
+    ranges = min(MOST_RANGES, -(-span["rows"] // bucket_rows))
+    ids = settle(ids.repartitionByRange(ranges, "id").withColumn("range", F.spark_partition_id()), "sketch-ranges")
     edge = ids.groupBy("range").agg(F.min("id").alias("first_id"), F.max_by("n", "id").alias("last_n"))
     over = Window.orderBy("range")
     edge = edge.select("range", F.lead("first_id").over(over).alias("after"), F.lag("last_n").over(over).alias("before"))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from career_lake.llm import registry
-from career_lake.llm.sketches import containment, merged, neighbours, with_sketch
+from career_lake.llm.sketches import containment, likeness, merged, neighbours, shingle_hashes, with_sketch, word_hashes
 
 
 def brute_edits(rows):
@@ -44,6 +44,29 @@ def test_equal_texts_have_equal_sketches_and_merge(spark):
     assert pair.c == 1.0 and pair.m == s[1]
 
 
+def test_sketch_equals_brute_force_and_union_of_sketches(spark):
+    """The threshold alone decides: every hash below it and no other; so a union of sketches is the sketch of both texts."""
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(50)}" for _ in range(r.choice([0, 1, 4, 5, 8, 60])))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    hashes = docs.select("id", word_hashes(F.col("text")).alias("h")).select("id", shingle_hashes(F.col("h"), 5).alias("s"))
+    every = {x.id: x.s for x in hashes.collect()}
+    got = {x.id: x.s for x in with_sketch(docs, "text", "s").collect()}
+    limit = -(2**63) + 2**61
+    assert got == {i: sorted({h for h in s if h < limit}) for i, s in every.items()}
+    pairs = spark.createDataFrame([(i, got[i], got[i + 1]) for i in range(0, 118)], "id long, a array<long>, b array<long>")
+    for x in pairs.select("id", merged(F.col("a"), F.col("b")).alias("m"), likeness(F.col("a"), F.col("b")).alias("n")).collect():
+        both = {h for h in every[x.id] + every[x.id + 1] if h < limit}
+        assert x.m == sorted(both)
+        assert x.n == (len(set(got[x.id]) & set(got[x.id + 1])) / len(both) if both else 0.0)
+
+
+def test_far_and_null_ids(spark):
+    rows = [(i, 1) for i in range(2000)] + [(10**15, 1), (None, 5)]
+    got = {x.id: x.next_id for x in neighbours(spark.createDataFrame(rows, "doc_id long, n_chars long"), bucket_rows=100).collect()}
+    assert got == {i: i + 1 for i in range(1999)} | {1999: 10**15, 10**15: 0}
+
+
 def test_neighbours_over_many_ranges(spark, rows):
     ids = sorted(i for i, _ in rows)
     got = neighbours(spark.createDataFrame([(i, len(t or "")) for i, t in rows], "doc_id long, n_chars long"), bucket_rows=3).collect()
