@@ -25,7 +25,7 @@ def plain_major(c: Column) -> Column:
 
 def family(c: Column) -> Column:
     """The family of a major, or of a family's own name."""
-    members = {m: f for f, ms in rules.FAMILIES.items() for m in [f, *ms.split()]}
+    members = {m: f for f, ms in rules.FAMILIES.items() for m in [f, *ms]}
     return F.element_at(lookup(members), plain_major(c))
 
 
@@ -215,15 +215,16 @@ def portfolio(assessed: DataFrame) -> DataFrame:
     return out.withColumn("tier", tier).drop("rank", "aligned")
 
 
-def portfolio_summary(tiered: DataFrame) -> DataFrame:
-    """Counts per profile."""
+def portfolio_summary(tiered: DataFrame, profiles: DataFrame, now: str) -> DataFrame:
+    """Counts of every profile; 0 where it has no candidate."""
     n = lambda c: F.count_if(c)
-    return tiered.groupBy("profile_id").agg(
+    counts = tiered.groupBy("profile_id").agg(
         F.count("*").alias("candidates"), F.count_distinct("company_name").alias("companies"), F.count_distinct("work_location").alias("regions"),
-        n(F.datediff(F.lit("2026-07-22").cast("date"), "updated_at") <= 30).alias("recent"), n(F.col("apply_end_date").isNotNull()).alias("deadline_known"),
+        n(F.datediff(F.lit(now).cast("date"), "updated_at") <= 30).alias("recent"), n(F.col("apply_end_date").isNotNull()).alias("deadline_known"),
         n(F.col("qualification") == "raw-fields-aligned").alias("aligned"), n(F.col("tier") == "watchlist").alias("watchlist"),
         n(F.col("qualification") == "high-risk").alias("high_risk"), n(F.col("qualification") == "expired").alias("expired"),
     )
+    return profiles.select("profile_id").join(counts, "profile_id", "left").fillna(0, counts.columns[1:])
 
 
 def dedupe_candidates(candidates: DataFrame, order: list[str]) -> DataFrame:

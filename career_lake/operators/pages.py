@@ -9,8 +9,8 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import DataFrame
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript svg canvas template".split())
+VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
+SILENT = frozenset(["script", "style", "noscript", "svg", "canvas", "template"])
 # Where an article's body is looked for, by id, class and tag; and its date, by preference.
 BODY_IDS, BODY_CLASSES, BODY_TAGS = frozenset(["article_inbox"]), frozenset(["zsy_content", "TRS_Editor", "article-content"]), frozenset(["article", "main"])
 DATES = ["article:published_time", "publishdate", "date", "time"]

@@ -45,13 +45,20 @@ def candidate_pairs(notices: DataFrame, documents: DataFrame, most: int = 200) -
 
     notices: (notice_id, source_id, url, official, links). documents:
     (document_id, source_id, canonical_url, title, official, status, updated_at).
-    The newest `most` and all linked ones stay.
+    The newest `most` and all linked ones stay. Documents are ranked once a
+    source and once a host, and only the newest that can stay meet a notice, so
+    pairs grow with the notices.
     """
     d = documents.where(F.col("status").isin("active", "superseded")).select("document_id", F.col("source_id").alias("d_source"), F.col("canonical_url").alias("d_url"), F.col("title").alias("d_title"), F.col("official").alias("d_official"), "updated_at")
     n = notices.select("notice_id", "source_id", "url", "official", "links")
     keep = ["notice_id", "document_id", "d_source", "d_url", "d_title", "updated_at", "linked"]
-    by_source = n.join(d, n.source_id == d.d_source).withColumn("linked", F.lit(False))
-    by_host = n.where("official").withColumn("h", host(F.col("url"))).join(d.where("d_official").withColumn("h", host(F.col("d_url"))), "h").withColumn("linked", F.lit(False))
+    newest = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("updated_at"), "document_id"))
+    # A notice skips its own URL, which a list may hold `same` times.
+    same = lambda d, by: d.withColumn("same", F.count("*").over(Window.partitionBy(by, "d_url"))).withColumn("same", F.max("same").over(Window.partitionBy(by)))
+    of_source = same(d, "d_source").withColumn("r", newest("d_source")).where(F.col("r") <= most + F.col("same")).drop("r", "same")
+    of_host = same(d.where("d_official").withColumn("h", host(F.col("d_url"))), "h").withColumn("r", newest("h")).where(F.col("r") <= most + F.col("same")).drop("r", "same")
+    by_source = n.join(of_source, n.source_id == of_source.d_source).withColumn("linked", F.lit(False))
+    by_host = n.where("official").withColumn("h", host(F.col("url"))).join(of_host, "h").withColumn("linked", F.lit(False))
     by_link = n.withColumn("link", F.explode("links")).join(d, F.col("link") == F.col("d_url")).where((F.col("official") & F.col("d_official")) | (F.col("source_id") == F.col("d_source"))).withColumn("linked", F.lit(True))
     pairs = [p.where("url <> d_url").select(keep) for p in (by_source, by_host, by_link)]
     each = pairs[0].union(pairs[1]).union(pairs[2]).groupBy(*keep[:-1]).agg(F.bool_or("linked").alias("linked"))
@@ -59,9 +66,22 @@ def candidate_pairs(notices: DataFrame, documents: DataFrame, most: int = 200) -
     return each.withColumn("place", place).where((F.col("place") <= most) | F.col("linked")).drop("place")
 
 
+#: Under this similarity no pair reaches the least score of 0.45.
+LEAST_SIMILARITY = 0.39
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    """Ratio of matching blocks; 0 where cheaper bounds show that it is under LEAST_SIMILARITY."""
+    m, known, out = SequenceMatcher(None, "", ""), {}, []
+    for x, y in zip(a, b, strict=True):
+        if (x, y) not in known:
+            if m.b != y:
+                m.set_seq2(y)
+            m.set_seq1(x)
+            known[x, y] = 0.0 if min(m.real_quick_ratio(), 1.0) < LEAST_SIMILARITY or m.quick_ratio() < LEAST_SIMILARITY else m.ratio()
+        out.append(known[x, y])
+    return pd.Series(out, dtype="float64")
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from career_lake.operators.facts import compact
+from career_lake.session import settle
 
 K1, B, TITLE_WEIGHT, CONTENT_WEIGHT = 1.2, 0.75, 5.0, 1.0
 GRAM = 3
@@ -25,8 +26,8 @@ def search_terms(query: Column, preferred: Column) -> Column:
     return F.slice(first, 1, 28)
 
 
-def grams_of(c: Column) -> Column:
-    return F.when(F.length(c) >= GRAM, F.transform(F.sequence(F.lit(1), F.length(c) - GRAM + 1), lambda i: c.substr(i, F.lit(GRAM)))).otherwise(F.array().cast("array<string>"))
+def grams_of(c: Column, n: int = GRAM) -> Column:
+    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: c.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
 def trigram_index(docs: DataFrame) -> DataFrame:
@@ -36,15 +37,21 @@ def trigram_index(docs: DataFrame) -> DataFrame:
     return each.groupBy("gram", "doc_id", "field").agg(F.count("*").alias("tf"))
 
 
-def candidates(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, doc_id) of documents that have the term's rarest trigram.
+def candidates(terms: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (GRAM,)) -> DataFrame:
+    """(term, doc_id) of documents that have the term's rarest gram.
 
-    terms: (term), folded, of 3 characters or more. Only trigrams that some
-    term has leave the scan of the documents.
+    terms: (term), folded. A term's grams have 3 characters, or as many as the
+    term if they are fewer (sizes: those to look for). Only grams that some
+    term has leave the scan of the documents; they are written once.
     """
-    wanted = terms.select("term", F.explode(F.array_distinct(grams_of(F.col("term")))).alias("gram"))
+    grams = None
+    for n in sizes:
+        own = F.length("term") >= n if n == GRAM else F.length("term") == n
+        grams = F.when(own, grams_of(F.col("term"), n)) if grams is None else grams.when(own, grams_of(F.col("term"), n))
+    wanted = terms.select("term", F.explode(F.array_distinct(grams)).alias("gram"))
     text = F.concat_ws("\n", F.lower("title"), F.lower("content"))
-    seen = docs.select("doc_id", F.explode(F.array_distinct(grams_of(text))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    every = F.array_distinct(F.concat(*(grams_of(text, n) for n in sizes)))
+    seen = settle(docs.select("doc_id", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "search-grams")
     spread = seen.groupBy("gram").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("term").orderBy(F.coalesce("df", F.lit(0)), "gram"))
     rarest = wanted.join(spread, "gram", "left").withColumn("k", rank).where("k = 1 and df is not null").select("term", "gram")
@@ -63,6 +70,7 @@ def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     times = lambda c: (F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.col("term"), F.lit("")))) / F.length("term")
     found = candidates(terms, docs).join(docs.select("doc_id", "title", "content"), "doc_id")
     found = found.select("term", "doc_id", (times("title") * TITLE_WEIGHT + times("content") * CONTENT_WEIGHT).alias("tf"), (F.length("title") + F.length("content")).alias("size")).where("tf > 0")
+    found = settle(found, "search-found")
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.length("title") + F.length("content")).alias("mean")).first()
     n, mean = whole["n"] or 0, whole["mean"] or 1.0
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -77,13 +85,13 @@ def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def like_search(requests: DataFrame, docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """For requests with fewer than k documents found, the newest others that contain one of the first 8 terms; rank 10.
 
-    requests: (request_id, terms); their number is the caller's; terms are
-    joined by containment, so the short requests are broadcast while few.
+    requests: (request_id, terms). Terms find documents by their rarest gram.
     """
     enough = found.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("request_id")
-    short = requests.join(enough, "request_id", "left_anti").select("request_id", F.explode(F.slice("terms", 1, 8)).alias("term"))
+    short = requests.join(enough, "request_id", "left_anti").select("request_id", F.explode(F.transform(F.slice("terms", 1, 8), F.lower)).alias("term")).where("term <> ''")
     text = F.lower(F.concat_ws("\n", "title", "content"))
-    hits = docs.select("doc_id", "updated_at", text.alias("t")).join(short, F.col("t").contains(F.lower("term"))).select("request_id", "doc_id", "updated_at").distinct()
+    near = candidates(short.select("term").distinct(), docs, (GRAM, 2, 1)).join(docs.select("doc_id", "updated_at", text.alias("t")), "doc_id").where(F.col("t").contains(F.col("term")))
+    hits = short.join(near.select("term", "doc_id", "updated_at"), "term").select("request_id", "doc_id", "updated_at").distinct()
     hits = hits.join(found.select("request_id", "doc_id"), ["request_id", "doc_id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("updated_at"), "doc_id"))
     return hits.withColumn("place", place).where(F.col("place") <= min(100, 10 * k)).select("request_id", "doc_id", F.lit(10.0).alias("rank"), "place")

@@ -100,7 +100,7 @@ def notices(s: SparkSession, d: str) -> DataFrame:
 def scored(s: SparkSession, d: str) -> DataFrame:
     old = docs(s, d).where("version_no = 2")
     n = notices(s, d)
-    pairs = X.candidate_pairs(n, old, 50)
+    pairs = X.candidate_pairs(n, old)
     return X.score_pairs(pairs.join(n.select("notice_id", "title", "content", "source_id"), "notice_id"))
 
 
@@ -110,11 +110,11 @@ _add(
 )
 _add(
     "x02_candidate_pairs",
-    lambda s, d: X.candidate_pairs(notices(s, d).where("array_contains(lifecycle, 'delayed')"), docs(s, d).where("version_no = 2"), 20).select("notice_id", "document_id", "linked"),
-    """, n AS (SELECT document_id AS notice_id, source_id, canonical_url AS url, official, concat('https://h1.example.com/a/', CAST(o_orderkey + 1 AS VARCHAR)) AS link FROM announcements_v WHERE version_no = 1 AND starts_with(title, '关于延期'))
+    lambda s, d: X.candidate_pairs(notices(s, d), docs(s, d).where("version_no = 2")).select("notice_id", "document_id", "linked"),
+    """, n AS (SELECT document_id AS notice_id, source_id, canonical_url AS url, official, concat('https://h1.example.com/a/', CAST(o_orderkey + 1 AS VARCHAR)) AS link FROM announcements_v WHERE version_no = 1 AND (starts_with(title, '关于延期') OR starts_with(title, '关于撤回') OR starts_with(title, '关于更正公告') OR regexp_matches(title, '暂停[^。；;\\n]{0,24}?招聘')))
 , d AS (SELECT * FROM announcements_v WHERE version_no = 2)
 , p AS (SELECT notice_id, document_id, updated_at, link = d.canonical_url AND ((n.official AND d.official) OR n.source_id = d.source_id) AS linked FROM n JOIN d ON n.url <> d.canonical_url AND (n.source_id = d.source_id OR (n.official AND d.official AND (regexp_extract(n.url, '//([^/]*)', 1) = regexp_extract(d.canonical_url, '//([^/]*)', 1) OR link = d.canonical_url))))
-, r AS (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY updated_at DESC, document_id) AS k FROM p) SELECT notice_id, document_id, linked FROM r WHERE k <= 20 OR linked""",
+, r AS (SELECT *, row_number() OVER (PARTITION BY notice_id ORDER BY updated_at DESC, document_id) AS k FROM p) SELECT notice_id, document_id, linked FROM r WHERE k <= 200 OR linked""",
     _A,
 )
 _add("x04_top_targets", lambda s, d: X.top_targets(scored(s, d)).select("notice_id", "document_id", "score", "blocked", "unresolved", "rank", F.array_join("evidence", ",").alias("evidence")))

@@ -241,7 +241,7 @@ _add(
     JOBS_N + "SELECT id, CAST(r AS VARCHAR) AS reference_date FROM (SELECT id, coalesce(created_at, apply_start_date, updated_at) AS r FROM jobs_n) WHERE r >= DATE '2026-01-01' ORDER BY r DESC, id LIMIT 300",
     _JV,
 )
-_MEMBER = "MAP {" + ", ".join(f"'{m}': '{f}'" for f, ms in rules.FAMILIES.items() for m in [f, *ms.split()]) + "}"
+_MEMBER = "MAP {" + ", ".join(f"'{m}': '{f}'" for f, ms in rules.FAMILIES.items() for m in [f, *ms]) + "}"
 _PM = "regexp_replace(regexp_replace({x}, '[·・\\s（）()]', '', 'g'), '专业$', '')"
 
 
@@ -297,8 +297,8 @@ _add("d05_opportunity_score", lambda s, d: assessed(s, d).select("profile_id", "
 _add("d06_portfolio", lambda s, d: D.portfolio(assessed(s, d)).select("profile_id", "id", "qualification", "score", "tier"), TIERED + "SELECT profile_id, id, qualification, score, tier FROM tiered", _JV, _PV)
 _add(
     "d07_portfolio_summary",
-    lambda s, d: D.portfolio_summary(D.portfolio(assessed(s, d))),
-    TIERED + f"SELECT profile_id, count(*) AS candidates, count(DISTINCT company_name) AS companies, count(DISTINCT work_location) AS regions, count(*) FILTER (date_diff('day', updated_at, DATE '{NOW}') <= 30) AS recent, count(*) FILTER (apply_end_date IS NOT NULL) AS deadline_known, count(*) FILTER (qualification = 'raw-fields-aligned') AS aligned, count(*) FILTER (tier = 'watchlist') AS watchlist, count(*) FILTER (qualification = 'high-risk') AS high_risk, count(*) FILTER (qualification = 'expired') AS expired FROM tiered GROUP BY 1",
+    lambda s, d: D.portfolio_summary(D.portfolio(assessed(s, d)), profiles(s, d), NOW),
+    TIERED + f", pc AS (SELECT profile_id, count(*) AS candidates, count(DISTINCT company_name) AS companies, count(DISTINCT work_location) AS regions, count(*) FILTER (date_diff('day', updated_at, DATE '{NOW}') <= 30) AS recent, count(*) FILTER (apply_end_date IS NOT NULL) AS deadline_known, count(*) FILTER (qualification = 'raw-fields-aligned') AS aligned, count(*) FILTER (tier = 'watchlist') AS watchlist, count(*) FILTER (qualification = 'high-risk') AS high_risk, count(*) FILTER (qualification = 'expired') AS expired FROM tiered GROUP BY 1) SELECT profile_id, " + ", ".join(f"coalesce({c}, 0) AS {c}" for c in ("candidates", "companies", "regions", "recent", "deadline_known", "aligned", "watchlist", "high_risk", "expired")) + " FROM profiles_v LEFT JOIN pc USING (profile_id)",
     _JV, _PV,
 )
 _add(

@@ -49,23 +49,39 @@ CODE_MAJOR = {
     "0809": "计算机类",
     "1202": "工商管理类",
 }
-MAJOR_ALIAS = {"计算机": "计算机类"} | {
-    m: m
-    for m in (
-        "计算机类 计算机科学与技术 软件工程 网络工程 信息安全 物联网工程 数据科学与大数据技术 人工智能 电子信息类 电子信息工程 通信工程 "
-        "电气类 电气工程及其自动化 自动化类 自动化 经济学类 金融学类 工商管理类 法学类 中国语言文学类"
-    ).split()
+MAJOR_ALIAS = {
+    "计算机": "计算机类",
+    "计算机类": "计算机类",
+    "计算机科学与技术": "计算机科学与技术",
+    "软件工程": "软件工程",
+    "网络工程": "网络工程",
+    "信息安全": "信息安全",
+    "物联网工程": "物联网工程",
+    "数据科学与大数据技术": "数据科学与大数据技术",
+    "人工智能": "人工智能",
+    "电子信息类": "电子信息类",
+    "电子信息工程": "电子信息工程",
+    "通信工程": "通信工程",
+    "电气类": "电气类",
+    "电气工程及其自动化": "电气工程及其自动化",
+    "自动化类": "自动化类",
+    "自动化": "自动化",
+    "经济学类": "经济学类",
+    "金融学类": "金融学类",
+    "工商管理类": "工商管理类",
+    "法学类": "法学类",
+    "中国语言文学类": "中国语言文学类",
 }
 FAMILIES = {
-    "计算机类": "计算机科学与技术 软件工程 网络工程 信息安全 物联网工程 数据科学与大数据技术 人工智能 数字媒体技术",
-    "电子信息类": "电子信息工程 通信工程 电子科学与技术 微电子科学与工程",
-    "电气类": "电气工程及其自动化 智能电网信息工程 电气工程与智能控制",
-    "自动化类": "自动化 机器人工程 轨道交通信号与控制",
-    "经济学类": "经济学 经济统计学 国民经济管理 资源与环境经济学",
-    "金融学类": "金融学 金融工程 保险学 投资学",
-    "工商管理类": "工商管理 市场营销 会计学 财务管理 人力资源管理 审计学",
-    "法学类": "法学 知识产权",
-    "中国语言文学类": "汉语言文学 汉语言 秘书学",
+    "计算机类": ["计算机科学与技术", "软件工程", "网络工程", "信息安全", "物联网工程", "数据科学与大数据技术", "人工智能", "数字媒体技术"],
+    "电子信息类": ["电子信息工程", "通信工程", "电子科学与技术", "微电子科学与工程"],
+    "电气类": ["电气工程及其自动化", "智能电网信息工程", "电气工程与智能控制"],
+    "自动化类": ["自动化", "机器人工程", "轨道交通信号与控制"],
+    "经济学类": ["经济学", "经济统计学", "国民经济管理", "资源与环境经济学"],
+    "金融学类": ["金融学", "金融工程", "保险学", "投资学"],
+    "工商管理类": ["工商管理", "市场营销", "会计学", "财务管理", "人力资源管理", "审计学"],
+    "法学类": ["法学", "知识产权"],
+    "中国语言文学类": ["汉语言文学", "汉语言", "秘书学"],
 }
 RELATED = [("计算机类", "电子信息类"), ("电子信息类", "自动化类"), ("电气类", "自动化类"), ("经济学类", "金融学类"), ("金融学类", "工商管理类")]
 
@@ -161,9 +177,10 @@ READINESS_SCORE = {"missing": 35, "developing": 65, "ready": 92}
 
 # Pages and documents.
 TRACKING_KEYS = ["from", "spm", "utm_campaign", "utm_content", "utm_medium", "utm_source", "utm_term"]
-UNSUPPORTED_SUFFIXES = (
-    ".7z .avi .bmp .doc .docm .docx .dps .et .flv .gif .gz .jpeg .jpg .m4a .mkv .mov .mp3 .mp4 .png .ppt .pptm .pptx .rar .tar .tif .tiff .wav .webm .webp .wps .xls .xlsm .xlsx .zip"
-).split()
+UNSUPPORTED_SUFFIXES = [
+    ".7z", ".avi", ".bmp", ".doc", ".docm", ".docx", ".dps", ".et", ".flv", ".gif", ".gz", ".jpeg", ".jpg", ".m4a", ".mkv", ".mov", ".mp3", ".mp4",
+    ".png", ".ppt", ".pptm", ".pptx", ".rar", ".tar", ".tif", ".tiff", ".wav", ".webm", ".webp", ".wps", ".xls", ".xlsm", ".xlsx", ".zip",
+]
 INDEX_FILE = "(?i)^index(?:_[0-9]+)*(?:\\.s?html?)?$"
 INDEX_TITLE = "(?i)^index(?:_[0-9]+)+(?:\\.s?html?)?$"
 GENERIC_TITLES = ["人事招聘", "招聘信息", "招聘公告列表", "招聘信息列表"]
@@ -205,7 +222,12 @@ GENERAL = "(?:20\\d{2}届(?:高校)?|高校)毕业生"
 BOTH_SYSTEMS = "系统内外人员|系统内\\s*[、和及与/]\\s*系统外人员|系统内\\s*[、/]\\s*外人员"
 RECRUITMENT_CONTEXT = "招聘|招录|报名|网申|投递|岗位|应聘"
 LIFECYCLE = {
-    "withdrawn": "撤回|撤销|取消(?:本次|本批次|全部|整体)?(?:公开)?招聘|终止(?:本次|本批次|全部|整体)?(?:公开)?招聘|(?:取消|核减|调减)\\s*\\d+\\s*(?:个|名)?\\s*(?:招聘)?(?:岗位|计划|人数)",
+    "withdrawn": "撤回|撤销|取消(?:本次|本批次|全部|整体)?(?:公开)?招聘|终止(?:本次|本批次|全部|整体)?(?:公开)?招聘"
+    "|决定(?![^。；;\\n]{0,16}(?:是否|不予|不再|暂不|不取消))[^。；;\\n]{0,80}?(?:取消|核减|调减)[^。；;\\n]{0,40}?(?:岗位|招聘计划|招聘人数)"
+    "|现予以[^。；;\\n]{0,40}?(?:取消|核减|调减)[^。；;\\n]{0,40}?(?:岗位|招聘计划|招聘人数)"
+    "|现将[^。；;：:\\n]{0,24}?(?:取消|核减|调减)[^。；;\\n]{0,40}?(?:岗位|招聘计划|招聘人数)"
+    "|(?:取消|核减|调减)\\s*\\d+\\s*(?:个|名)?\\s*(?:招聘)?(?:岗位|计划|人数)"
+    "|(?:招聘岗位|岗位情况|岗位调整情况|调整情况|备注)\\s*[：:]?\\s*(?:取消|核减|调减|减少)[^。；;\\n]{0,40}?(?:岗位|招聘计划|招聘人数|招聘名额)",
     "resumed": "恢复(?:本次|本批次)?(?:20\\d{2}年)?(?:公开)?(?:招聘|报名|网申|投递)(?:工作|报名)?|(?:重新启动|重启)[^。；;\\n]{0,20}?(?:招聘|报名|网申|投递)",
     "paused": "(?:暂停|暂缓)[^。；;\\n]{0,24}?(?:招聘|报名|网申|投递)",
     "delayed": "延期|延长[^。；;\\n]{0,40}?(?:报名|网申|投递)(?:时间|日期|期限)?|(?:报名|网申|投递)(?:时间|日期|期限)?[^。；;\\n]{0,12}?延长|截止时间调整",
@@ -222,9 +244,10 @@ RESUME_SIGNALS = [
     "报名(?:人员|材料|时间|方式|网址|邮箱)",
     "资格审查[^。；;\\n]{0,80}?(?:考试|面试)|考试(?:分为|时间|方式)|体检[^。；;\\n]{0,40}?考察",
 ]
-RELATION_GENERIC = (
-    "招聘信息更正 招聘公告 公开招聘 社会招聘 校园招聘 正式启动 截止时间 报名时间 关于 公告 通知 更正 补充 修订 撤回 撤销 取消 终止 暂停 延期 延长 调整 招聘 报名 投递 启动 恢复 暂缓 重新启动 重启"
-).split()
+RELATION_GENERIC = [
+    "招聘信息更正", "招聘公告", "公开招聘", "社会招聘", "校园招聘", "正式启动", "截止时间", "报名时间", "关于", "公告", "通知", "更正", "补充", "修订", "撤回", "撤销", "取消", "终止", "暂停", "延期", "延长", "调整",
+    "招聘", "报名", "投递", "启动", "恢复", "暂缓", "重新启动", "重启",
+]
 COMPANY_SUFFIX = "(?:集团股份有限公司|股份有限公司|有限责任公司|集团有限公司|集团公司|有限公司|总公司|集团|公司)$"
 CONTROLLED_ENTITIES = [(["中国石油", "中石油", "中国石油天然气", "中石油天然气"], "(?:中国石油(?!化工)|中石油(?!化工))"), (["中国石化", "中石化", "中国石油化工", "中石油化工"], "(?:中国石油化工|中石油化工|中国石化|中石化)")]
 
