@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from career_lake.plans import queries_corpus, queries_facts, queries_jobs, queries_more, queries_rest
+from career_lake.plans import queries_corpus, queries_facts, queries_governance, queries_jobs, queries_more, queries_rest
 
-QUERIES = queries_jobs.QUERIES | queries_corpus.QUERIES | queries_facts.QUERIES | queries_more.QUERIES | queries_rest.QUERIES
-ORACLES = queries_jobs.ORACLES | queries_corpus.ORACLES | queries_facts.ORACLES | queries_more.ORACLES | queries_rest.ORACLES
+_PARTS = [queries_jobs, queries_corpus, queries_facts, queries_governance, queries_more, queries_rest]
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
