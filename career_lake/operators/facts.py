@@ -195,7 +195,154 @@ def lifecycle(title: Column, text: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-FACETS = ["deadlines", "minimum_degree", "graduation_years", "recruitment_audiences", "application_limits", "age_requirements", "work_locations", "recruitment_headcounts", "lifecycle"]
+def _either_dates(c: Column) -> Column:
+    """Full dates and dates without a year, in order."""
+    short = lambda t: F.concat(F.lit("--"), _two(F.regexp_extract(t, rules.MONTH_DAY, 1)), F.lit("-"), _two(F.regexp_extract(t, rules.MONTH_DAY, 2)))
+    return F.transform(_all(c, f"{rules.FULL_DATE}|{rules.MONTH_DAY}"), lambda t: F.when(t.rlike(f"^{rules.FULL_DATE}"), _date(t)).otherwise(short(t)))
+
+
+def _first_label(c: Column, found: list[tuple[str, str]], other: str) -> Column:
+    out = None
+    for p, name in found:
+        out = F.when(c.rlike(p), name) if out is None else out.when(c.rlike(p), name)
+    return out.otherwise(other)
+
+
+def graduation_dates(text: Column) -> Column:
+    """scope:kind and the dates between, from or until which diplomas or their recognition count."""
+    scope = lambda c: _first_label(F.translate(F.regexp_replace(c, " ", ""), "（）", "()"), rules.GRADUATION_SCOPES, "通用")
+
+    def of_sentence(s: Column) -> Column:
+        def of_clause(c: Column) -> Column:
+            dates = F.transform(_all(c, rules.FULL_DATE), _date)
+            kind = F.when(c.rlike(rules.CERTIFICATION), "认证").when(c.rlike(rules.GRADUATION_WORDS) | (s.contains("毕业生") & c.rlike(rules.DIPLOMA_WORDS)), "毕业")
+            last = F.element_at(dates, -1)
+            need = (
+                F.when((F.size(dates) >= 2) & c.rlike(rules.RANGE), F.concat(F.lit("="), F.element_at(dates, 1), F.lit(".."), last))
+                .when(c.rlike("不早于|以后|之后|起"), F.concat(F.lit("≥"), last)).when(c.rlike("不晚于|截至|截止|以前|之前|前"), F.concat(F.lit("≤"), last)).otherwise(F.concat(F.lit("="), last))
+            )
+            own = scope(c)
+            return F.when(F.size(dates) > 0, F.concat(F.when(own == "通用", scope(s)).otherwise(own), F.lit(":"), kind, need))
+
+        return F.transform(F.split(s, rules.GRADUATION_CLAUSE), of_clause)
+
+    return _sorted(F.array_compact(F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(rules.GRADUATION_DATE_CONTEXT)), of_sentence))))
+
+
+def _assessment_types(c: Column) -> Column:
+    named = F.array_compact(F.array(*(F.when(c.contains(w), w) for w in ("初选考试", "笔试", "面试", "测评"))))
+    return F.when((F.size(named) == 0) & c.contains("考试"), F.array(F.lit("考试"))).otherwise(named)
+
+
+def assessment_dates(text: Column) -> Column:
+    """kind:certainty=date or range of tests and interviews; language tests, certificates and fees are none."""
+
+    def of_clause(c: Column) -> Column:
+        types, dates = _assessment_types(c), _either_dates(c)
+        out = c.rlike(rules.ASSESSMENT_EXCLUSION) & ~c.rlike(rules.ASSESSMENT_EXPLICIT)
+        unclear = (F.size(types) > 1) & (F.size(dates) > 1)
+        sure = F.when(c.rlike("初定|暂定|拟于|计划于|预计"), ":暂定=").otherwise(":确定=")
+        when = F.when((F.size(dates) >= 2) & c.rlike(rules.RANGE), F.array(F.concat(F.element_at(dates, 1), F.lit(".."), F.element_at(dates, -1)))).otherwise(dates)
+        found = F.flatten(F.transform(types, lambda t: F.transform(when, lambda d: F.concat(t, sure, d))))
+        return F.when(out | unclear | (F.size(dates) == 0), F.array().cast(_NONE)).otherwise(found)
+
+    told = F.filter(sentences(text), lambda s: s.rlike("笔试|面试|测评|考试") & s.rlike(rules.ASSESSMENT_CUE))
+    return _sorted(F.flatten(F.flatten(F.transform(told, lambda s: F.transform(F.split(s, "[,，]"), of_clause)))))
+
+
+def experience_requirements(text: Column) -> Column:
+    """group=≥years; years that a degree's clause tells are none for all."""
+    label = lambda c: _first_label(c, [("博士", "博士"), ("硕士", "硕士"), ("本科", "本科")], "专科")
+    years = lambda c: F.when(chinese_number(c).between(1, 30), chinese_number(c).cast("string"))
+    grouped = F.transform(_all(text, rules.EXPERIENCE_GROUPED), lambda m: F.concat(label(m), F.lit("=≥"), years(F.regexp_extract(m, rules.EXPERIENCE_GROUPED, 2))))
+    rest = F.regexp_replace(text, rules.EXPERIENCE_GROUPED, "□")
+    generic = [F.transform(_all(rest, p, 1), lambda y: F.concat(F.lit("通用=≥"), years(y))) for p in rules.EXPERIENCE_GENERIC]
+    return _sorted(F.array_compact(F.concat(grouped, *generic)))
+
+
+def language_requirements(text: Column) -> Column:
+    """group=CET4 or CET6, with the score where one from 300 to 710 is told."""
+
+    def of(m: Column) -> Column:
+        part = lambda g: F.regexp_extract(m, rules.LANGUAGE_LEVEL, g)
+        level = F.when(part(2).contains("四") | part(2).rlike("4\\s*$"), "CET4").otherwise("CET6")
+        score = F.regexp_extract(part(3), "\\d{3}", 0).try_cast("int")
+        group = _first_label(part(1), [("博士", "博士"), ("硕士", "硕士"), ("本科", "本科"), ("研究生", "研究生")], "通用")
+        return F.concat(group, F.lit("="), level, F.when(score.between(300, 710), F.concat(F.lit("≥"), score.cast("string"))).otherwise(""))
+
+    return _sorted(F.transform(F.filter(_all(text, rules.LANGUAGE_LEVEL), lambda m: m.rlike(rules.LANGUAGE_CUE)), of))
+
+
+def major_requirements(text: Column) -> Column:
+    """label=majors, sorted; the usual labels count as 专业."""
+    edge = lambda c, chars: F.regexp_replace(c, f"^[{chars}]+|[{chars}]+$", "")
+
+    def of(p: str, category: bool, m: Column) -> Column:
+        label, value = F.regexp_replace(F.regexp_extract(m, p, 1), " ", ""), compact(F.regexp_extract(m, p, 2))
+        value = F.regexp_replace(F.regexp_replace(value, rules.MAJOR_STOP, ""), "^(?:为|包括|含|涵盖|如下)\\s*[:：]?\\s*", "")
+        pieces = F.transform(F.split(edge(value, " ：:。！？；;,，、"), "[,，、/／；;|｜]+"), lambda x: edge(F.regexp_replace(x, " ", ""), " ：:。！？\\[\\]【】"))
+        pieces = _sorted(F.filter(pieces, lambda x: x != ""))
+        named = F.translate(label, "（）", "()")
+        named = F.when(label.isin(rules.MAJOR_LABELS), "专业").otherwise(named)
+        skip = label.isin(rules.MAJOR_LABELS) if category else F.lit(False)
+        return F.when((F.size(pieces) > 0) & ~skip, F.concat(named, F.lit("="), F.array_join(pieces, "、")))
+
+    kinds = ((rules.MAJOR_LABELED, False), (rules.MAJOR_GENERIC, False), (rules.MAJOR_CATEGORY, True))
+    bind = lambda p, category: lambda m: of(p, category, m)
+    found = [F.transform(_all(text, p), bind(p, category)) for p, category in kinds]
+    return _sorted(F.array_compact(F.concat(*found)))
+
+
+def spans(c: Column, pattern: str) -> Column:
+    """The matches of a pattern with their places: array of (start, end, text), from 0."""
+    found, between = _all(c, pattern), F.split(c, pattern, -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["before"])
+        end = start + F.length(x["text"])
+        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text"))).alias("out"))
+
+    pairs = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("before"), found.alias("text"))
+    return F.aggregate(pairs, zero, step, lambda a: a["out"])
+
+
+def plain_address(c: Column) -> Column:
+    """A web address without scheme, www, default port and tracking parameters; parameters sorted; null if it has no host."""
+    scheme = F.when(c.rlike("(?i)^http://"), "http").otherwise("https")
+    rest = F.regexp_replace(F.regexp_replace(F.trim(c), "(?i)^https?://", ""), "#.*$", "")
+    authority, query = F.regexp_extract(rest, "^[^/?]*", 0), F.regexp_extract(rest, "\\?(.*)$", 1)
+    host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_replace(authority, ":\\d*$", "")), "\\.+$", ""), "^www\\.", "")
+    port = F.regexp_extract(authority, ":(\\d+)$", 1)
+    shown = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), port))
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(rest, "^[^/?]*([^?]*)", 1), "/{2,}", "/"), "/+$", "")
+    key = lambda p: F.lower(F.substring_index(p, "=", 1))
+    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~key(p).startswith("utm_") & ~key(p).isin(rules.IGNORED_PARAMETERS)))
+    out = F.concat(host, shown, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
+    return F.when(host.contains(".") & ~authority.contains("@"), out)
+
+
+def application_channels(text: Column) -> Column:
+    """addresses and mailboxes near words of application, or behind a login and before an application."""
+
+    def of_sentence(s: Column) -> Column:
+        cues = spans(s, rules.CHANNEL_CONTEXT)
+        near = lambda t: F.exists(cues, lambda c: (F.abs(t["start"] - c["end"]) <= 100) | (F.abs(c["start"] - t["end"]) <= 40))
+        mails = F.filter(spans(s, rules.EMAIL), near)
+        before = lambda t: F.substring(s, F.greatest(F.lit(1), t["start"] - 23), F.least(t["start"], F.lit(24)))
+        action = lambda t: before(t).rlike("(?:登录|访问|进入)[^。！？；;\\n]{0,8}$") & F.substring(s, t["end"] + 1, F.lit(30)).rlike("^[^。！？；;\\n]{0,20}(?:报名|投递|网申|申请)")
+        free = lambda t: ~F.exists(mails, lambda m: (t["start"] < m["end"]) & (t["end"] > m["start"]))
+        sites = F.filter(spans(s, rules.URL), lambda t: free(t) & (near(t) | action(t)))
+        return F.concat(F.transform(mails, lambda m: F.concat(F.lit("邮箱="), F.lower(m["text"]))), F.transform(sites, lambda t: F.concat(F.lit("网址="), plain_address(t["text"]))))
+
+    told = F.filter(sentences(text), lambda s: s.rlike(rules.CHANNEL_CONTEXT) | s.rlike("报名|投递|网申|申请"))
+    return _sorted(F.array_compact(F.flatten(F.transform(told, of_sentence))))
+
+
+FACETS = [
+    "deadlines", "minimum_degree", "graduation_years", "graduation_dates", "recruitment_audiences", "assessment_dates", "application_limits", "age_requirements",
+    "experience_requirements", "language_requirements", "major_requirements", "work_locations", "recruitment_headcounts", "application_channels", "lifecycle",
+]
 
 
 def with_facts(docs: DataFrame) -> DataFrame:
@@ -204,8 +351,9 @@ def with_facts(docs: DataFrame) -> DataFrame:
     c, t = F.col("compact"), F.col("title")
     degree = minimum_degree(c)
     facts = {
-        "deadlines": deadlines(c), "minimum_degree": F.when(degree.isNotNull(), F.array(degree)).otherwise(F.array().cast(_NONE)), "graduation_years": graduation_years(c), "recruitment_audiences": audiences(t, c),
-        "application_limits": F.transform(application_limits(c), lambda x: x.cast("string")), "age_requirements": age_requirements(c), "work_locations": work_locations(F.col("content")), "recruitment_headcounts": headcounts(c), "lifecycle": lifecycle(t, c),
+        "deadlines": deadlines(c), "minimum_degree": F.when(degree.isNotNull(), F.array(degree)).otherwise(F.array().cast(_NONE)), "graduation_years": graduation_years(c), "graduation_dates": graduation_dates(c), "recruitment_audiences": audiences(t, c), "assessment_dates": assessment_dates(c),
+        "application_limits": F.transform(application_limits(c), lambda x: x.cast("string")), "age_requirements": age_requirements(c),
+        "experience_requirements": experience_requirements(c), "language_requirements": language_requirements(c), "major_requirements": major_requirements(F.col("content")), "work_locations": work_locations(F.col("content")), "recruitment_headcounts": headcounts(c), "application_channels": application_channels(c), "lifecycle": lifecycle(t, c),
     }
     return docs.withColumn("facts", F.struct(*(v.alias(k) for k, v in facts.items())))
 
@@ -218,20 +366,26 @@ def fact_table(docs: DataFrame) -> DataFrame:
 
 CODES = {
     "deadlines": ("deadline_changed", True), "minimum_degree": ("minimum_degree_changed", False), "graduation_years": ("graduation_year_changed", False), "application_limits": ("application_limit_changed", False),
-    "work_locations": ("work_location_changed", True), "recruitment_headcounts": ("recruitment_headcount_changed", True), "recruitment_audiences": ("recruitment_audience_changed", True), "age_requirements": ("age_requirement_changed", True),
+    "major_requirements": ("major_requirement_changed", True), "work_locations": ("work_location_changed", True), "recruitment_headcounts": ("recruitment_headcount_changed", True), "application_channels": ("application_channel_changed", True),
+    "age_requirements": ("age_requirement_changed", True), "experience_requirements": ("experience_requirement_changed", True), "language_requirements": ("language_requirement_changed", True),
+    "graduation_dates": ("graduation_date_requirement_changed", True), "recruitment_audiences": ("recruitment_audience_changed", True), "assessment_dates": ("assessment_date_changed", True),
 }
 
 
 def version_diff(docs: DataFrame) -> DataFrame:
     """per version after the first, its reason codes against the one before.
 
-    One window over the versions of a document; facts are extracted once.
+    One window over the versions of a document; facts are extracted once. A
+    column ocr_needs_review, if docs has one, gives ocr_quality_pending.
     """
+    if "ocr_needs_review" not in docs.columns:
+        docs = docs.withColumn("ocr_needs_review", F.lit(False))
     w = Window.partitionBy("document_id").orderBy("version_no")
     d = with_facts(docs).withColumn("n", F.length("compact"))
-    d = d.select("document_id", "version_id", "version_no", "facts", "n", F.lag("facts").over(w).alias("old"), F.lag("n").over(w).alias("m")).where("m is not null")
+    d = d.select("document_id", "version_id", "version_no", "facts", "n", "ocr_needs_review", F.lag("facts").over(w).alias("old"), F.lag("n").over(w).alias("m")).where("m is not null")
     enriched = (F.col("m") < 240) & (F.col("n") >= 400) & (F.col("n") >= F.col("m") * 1.5)
     codes = [
+        F.when(F.col("ocr_needs_review"), "ocr_quality_pending"),
         F.when((F.col("m") >= 500) & (F.col("n") < F.col("m") * 0.6) & ~enriched, "content_regression"),
         F.when((F.size("facts.lifecycle") > 0) & (F.col("facts.lifecycle") != F.col("old.lifecycle")), "lifecycle_changed"),
     ]

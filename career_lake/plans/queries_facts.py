@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from career_lake import rules
 from career_lake.operators import facts as N
 from career_lake.operators import relations as X
-from career_lake.plans.bindings import oracle, view
+from career_lake.plans.bindings import VIEWS, oracle, view
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,34 @@ _add(
 )
 
 
+_Y = "CAST(year(o_orderdate) + 30 AS STRING)"
+VIEWS["conditions_v"] = f"""
+SELECT CAST(o_orderkey AS STRING) AS version_id, o_orderkey, {_Y} AS y, concat(
+  CASE o_orderkey % 4 WHEN 0 THEN concat('境外毕业生须在', {_Y}, '年7月31日前取得学历学位认证。') WHEN 1 THEN concat('毕业时间为', {_Y}, '年1月1日至', {_Y}, '年7月31日。') WHEN 2 THEN concat('国内应届生毕业证时间不早于', {_Y}, '年9月1日。') ELSE '' END,
+  CASE o_orderkey % 5 WHEN 0 THEN concat('笔试时间：', {_Y}, '年3月5日。') WHEN 1 THEN '面试暂定于4月6日举行。' WHEN 2 THEN concat('招聘笔试安排在', {_Y}, '年5月1日至', {_Y}, '年5月3日。') WHEN 3 THEN concat('英语四级考试时间', {_Y}, '年6月1日。') ELSE '' END,
+  CASE o_orderkey % 6 WHEN 0 THEN '硕士工作经验满三年。' WHEN 1 THEN '具有5年以上相关工作经验。' WHEN 2 THEN '本科从业经历不少于十二年，硕士任职至少2年。' ELSE '' END,
+  CASE o_orderkey % 7 WHEN 0 THEN '要求英语六级425分以上。' WHEN 1 THEN '本科通过CET-4。' WHEN 2 THEN '英语四级。' ELSE '' END,
+  CASE o_orderkey % 3 WHEN 0 THEN '专业要求：会计学、金融学；学历：本科。' WHEN 1 THEN '电子类：通信工程相关专业。' ELSE '' END,
+  CASE o_orderkey % 8 WHEN 0 THEN concat('报名网址：https://www.job', CAST(o_orderkey % 9 AS STRING), '.example.com//apply/?utm_source=x&b=2&a=1。') WHEN 1 THEN concat('简历投递邮箱 HR', CAST(o_orderkey AS STRING), '@Example.com。') WHEN 2 THEN '请登录 zp.example.com:8080/x 报名。' WHEN 3 THEN '详见 www.example.com 。' ELSE '' END) AS content
+FROM {{orders}}"""
+
+
+def _condition(f):  # noqa: ANN001, ANN202
+    return lambda s, d: view(s, d, "conditions_v").select("version_id", F.array_join(f(N.compact(F.col("content"))), "|").alias("found"))
+
+
+def _told(name: str, f, key: str) -> None:  # noqa: ANN001
+    _add(name, _condition(f), f" SELECT version_id, CASE {key} ELSE '' END AS found FROM conditions_v", "conditions_v")
+
+
+_told("f04_graduation_dates", N.graduation_dates, "o_orderkey % 4 WHEN 0 THEN concat('境外:认证≤', y, '-07-31') WHEN 1 THEN concat('通用:毕业=', y, '-01-01..', y, '-07-31') WHEN 2 THEN concat('境内:毕业≥', y, '-09-01')")
+_told("f06_assessment_dates", N.assessment_dates, "o_orderkey % 5 WHEN 0 THEN concat('笔试:确定=', y, '-03-05') WHEN 1 THEN '面试:暂定=--04-06' WHEN 2 THEN concat('笔试:确定=', y, '-05-01..', y, '-05-03')")
+_told("f09_experience", N.experience_requirements, "o_orderkey % 6 WHEN 0 THEN '硕士=≥3' WHEN 1 THEN '通用=≥5' WHEN 2 THEN '本科=≥12|硕士=≥2'")
+_told("f10_languages", N.language_requirements, "o_orderkey % 7 WHEN 0 THEN '通用=CET6≥425' WHEN 1 THEN '本科=CET4'")
+_told("f11_majors", N.major_requirements, "o_orderkey % 3 WHEN 0 THEN '专业=会计学、金融学' WHEN 1 THEN '电子类=通信工程相关专业'")
+_told("f14_channels", N.application_channels, "o_orderkey % 8 WHEN 0 THEN concat('网址=job', CAST(o_orderkey % 9 AS VARCHAR), '.example.com/apply?a=1&b=2') WHEN 1 THEN concat('邮箱=hr', version_id, '@example.com') WHEN 2 THEN '网址=zp.example.com:8080/x'")
+
+
 def notices(s: SparkSession, d: str) -> DataFrame:
     n = X.change_attributes(docs(s, d).where("version_no = 1")).where("relation_type is not null")
     link = F.concat(F.regexp_extract("canonical_url", "^(.*/)", 1), F.lit(""))

@@ -265,3 +265,63 @@ EVIDENCE_DEADLINES = [
     "(?:报名|投递)(?:时间|日期)?[^。；\\n]{0,16}?(\\d{4})年\\d{1,2}月\\d{1,2}日\\s*(?:至|—|-)\\s*(\\d{1,2})月(\\d{1,2})日(?:\\s*([0-2]?\\d)[:：时]([0-5]\\d)?)?",
     "(?:报名|投递)(?:时间|日期)?[^。；\\n]{0,16}?(?:即日起)?\\s*至\\s*" + _DAY,
 ]
+
+# Handed-over snapshots: keys that none may hold, and labels of tiers, degrees, features and products.
+FORBIDDEN_KEYS = [
+    "idCard", "phone", "email", "wechat", "avatar", "resumeUrl", "resumeFileName", "resumeParsedData",
+    "pushEmail", "orderNo", "amount", "paymentMethod", "sourceOrderId", "internalUserId", "openId",
+]
+HANDOFF_TIERS = [("985|211", "985 / 211"), ("双一流", "双一流"), ("海外|境外", "海外院校"), ("高职|专科", "高职高专")]
+HANDOFF_DEGREES = [
+    ("博士", "doctorate"), ("硕士|研究生", "master"), ("本科|学士", "bachelor"),
+    ("大专|专科|高职", "associate"), ("中专|职高|技校", "vocational"), ("高中", "secondary"),
+]
+FEATURE_CATEGORIES = [
+    ("(?i)resume|简历", "resume"), ("(?i)interview|面试", "interview"),
+    ("(?i)application|apply|matching|match|job_push|投递|网申|岗位匹配|岗位推送", "application"),
+]
+PRODUCT_CATEGORIES = [("resume", "简历"), ("application", "网申|投递|岗位推送|岗位匹配"), ("interview", "面试")]
+
+# Market report: actions in order, what fills them up, and rows of the qualification matrix.
+REPORT_ACTIONS = [
+    ("resume", "完成岗位化简历", 8), ("internship", "补充实习证据", 80), ("project_evidence", "整理项目结果证据", 16),
+    ("application", "准备网申材料包", 6), ("interview", "开始目标化面试训练", 12), ("competition", "整理竞赛与荣誉证据", 20),
+]
+FALLBACK_ACTIONS = [("verification", "核验本批次官方公告", 2, "high"), ("target_research", "建立目标企业清单", 3, "medium")]
+LEVEL_TEXTS = [("missing", "尚未开始", "high"), ("developing", "已有基础", "medium"), ("ready", "可直接使用", "low")]
+DEGREE_TEXTS = {"secondary": "高中/中专", "vocational": "高职", "associate": "专科", "bachelor": "本科", "master": "硕士", "doctorate": "博士", "unknown": "待补充"}
+NAMED_DEGREES = "博士|硕士|本科|大专"
+MATRIX_ROWS = ["resume", "internship", "project_evidence", "application", "interview", "competition"]
+
+# More facts in announcements.
+GRADUATION_DATE_CONTEXT = "毕业证(?:书)?(?:时间|日期)?|毕业时间|毕业日期|取得(?:毕业证(?:书)?|学位证(?:书)?|学历学位证书|证书)|学历(?:学位)?认证|学位认证|留服认证|留学服务中心认证"
+CERTIFICATION = "学历(?:学位)?认证|学位认证|留服认证|留学服务中心认证"
+GRADUATION_WORDS = "毕业证(?:书)?(?:时间|日期)?|毕业时间|毕业日期"
+DIPLOMA_WORDS = "取得(?:毕业证(?:书)?|学位证(?:书)?|学历学位证书|证书)"
+GRADUATION_CLAUSE = "[,，]|(?=并(?:须|应)?(?:于|在)?\\s*20\\d{2}\\s*[年./-])"
+GRADUATION_SCOPES = [("国(?:\\(境\\))?内外|境内外|国内外", "境内外"), ("国(?:\\(境\\))?外|境外|国外|留学", "境外"), ("国(?:\\(境\\))?内|境内|国内", "境内")]
+ASSESSMENT_CUE = "时间|日期|日程|安排|定于|初定|暂定|拟于|计划于|预计|举行|组织"
+ASSESSMENT_EXCLUSION = "(?i)(?:大学)?英语(?:考试)?[四六]级|CET\\s*[-－]?\\s*[46]|职业资格|执业资格|资格证|考试成绩(?:查询|公布)|准考证|缴费"
+ASSESSMENT_EXPLICIT = "招聘笔试|初选考试|统一笔试|招聘考试"
+EXPERIENCE_NUMBER = "([1-9]|[12]\\d|30|[一二三四五六七八九十两]{1,3})"
+EXPERIENCE_GROUPED = "(博士(?:研究生)?|硕士(?:研究生)?|(?:大学)?本科|大专|专科)[^。；;\\n、，]{0,18}?(?:工作|从业|任职|经验|经历|年限|满|不少于|至少|不低于)[^。；;\\n、，]{0,8}?" + EXPERIENCE_NUMBER + "\\s*年"
+EXPERIENCE_GENERIC = [
+    "(?:相关)?(?:工作|从业|任职)(?:经验|经历|年限)?[^。；;\\n、，]{0,8}?(?:满|不少于|至少|不低于|达到|需|须|应有|具有)\\s*" + EXPERIENCE_NUMBER + "\\s*年",
+    "(?:相关)?(?:工作|从业|任职)(?:经验|经历|年限)?[^。；;\\n、，]{0,8}?" + EXPERIENCE_NUMBER + "\\s*年(?:及以上|以上)",
+    "(?:具有|具备|拥有)\\s*" + EXPERIENCE_NUMBER + "\\s*年(?:及以上|以上)?[^。；;\\n、，]{0,12}?(?:相关)?(?:工作|从业|任职)(?:经验|经历)?",
+    EXPERIENCE_NUMBER + "\\s*年(?:及以上|以上)[^。；;\\n、，]{0,12}?(?:相关)?(?:工作|从业|任职)(?:经验|经历)?",
+]
+LANGUAGE_LEVEL = "(?i)([^。！？；;\\n，、]{0,42})((?:大学)?英语(?:考试)?[四六]级|CET\\s*[-－]?\\s*[46])([^。！？；;\\n，、]{0,42})"
+LANGUAGE_CUE = "要求|须|应|通过|合格|水平|成绩|分数|不少于|不低于|达到|及以上|以上"
+MAJOR_LABELS = ["需求学科", "招聘专业", "需求专业", "急需紧缺专业", "专业要求", "所学专业", "专业范围", "专业类别", "学科专业"]
+MAJOR_LABELED = "(急需紧缺专业|需求学科|招聘专业|需求专业|专业要求|所学专业|专业范围|专业类别|学科专业)\\s*(?:[:：]|为|包括|含|涵盖|如下[:：]?)\\s*([^。！？\\n]{1,320})"
+MAJOR_GENERIC = "((?:所学)?专业)\\s*(?:须|应|必须|仅|只)?\\s*(?:为|包括|含|涵盖|限于)\\s*([^。！？\\n]{1,320})"
+MAJOR_CATEGORY = "([㐀-鿿A-Za-z0-9（）()·+\\-]{1,20}类)\\s*[:：]\\s*([^。！？；;\\n]{2,240}?(?:相关)?专业)"
+MAJOR_STOP = "[,，、；;]?\\s*(?:学历|学位|年龄|工作经验|工作地点|任职资格|资格条件|其他条件|户籍|政治面貌|证书|报名方式|投递方式)\\s*[:：][\\s\\S]*$"
+CHANNEL_CONTEXT = (
+    "(?:简历)?投递(?:入口|网址|网站|地址|邮箱|方式)?|网申(?:入口|网址|网站|地址|方式)?|报名(?:入口|网址|网站|地址|邮箱|方式)|申请(?:入口|网址|网站|地址|方式)"
+    "|(?:校园)?招聘(?:官网|网站|门户)|(?:简历|材料)[^。！？；;\\n]{0,20}?(?:发送|投递|提交)"
+)
+EMAIL = "(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}(?![A-Z0-9.-])"
+URL = "(?i)(?<![@A-Z0-9.-])(?:(?:https?://)|(?:www\\.))?(?:[A-Z0-9-]+\\.)+[A-Z]{2,}(?::\\d{2,5})?(?:[/?#][^\\s<>{}\\[\\]（）()，。；;、“”‘’\"']*)?"
+IGNORED_PARAMETERS = ["spm", "from"]
