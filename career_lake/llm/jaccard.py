@@ -11,8 +11,8 @@
    n-grams of either. These are the branches of the tree's root: a branch is
    an n-gram with the sets that hold it among their first.
 4. In star rounds each set of a branch meets one set of the branch. Branches
-   whose sets are connected by then are done, and rounds go on while they shrink
-   the rest. In what is left, pairs of a branch that are not connected are
+   whose sets are linked with one star by then are done, and rounds go on while
+   they shrink the rest. In what is left, pairs of a branch that are not connected are
    kept if their lengths, the places of the n-gram in both, and parity sketches
    (the sets differ in at least as many elements as these in bits) allow
    enough overlap; branches of many sets are cut into blocks that meet in turn.
@@ -297,8 +297,10 @@ def _links(sets: DataFrame, num: int, den: int, label: str) -> DataFrame:
         tested = pairs if tested is None else tested.union(pairs)
         found = settle(_verified(pairs, sets, num, den), f"{label}-links{turn}")
         links = found if links is None else links.union(found)
-        near = components(links, f"{label}-near")
-        rooted = live.select("gram", "id", "size", "alone", "place").join(near, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("component", "id")).drop("node", "component")
+        # The least star that a set is linked with, and that star's own: sets of one root are connected.
+        near = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("up"))
+        near = near.join(near.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("root"))
+        rooted = live.select("gram", "id", "size", "alone", "place").join(near, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
         last, turn, least = n, turn + 1, 3
     if links is None or not n:
         return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")

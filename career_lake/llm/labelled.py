@@ -1,7 +1,12 @@
-"""Bounded samples of labelled documents, for fitting on the driver."""
+"""Bounded samples of labelled documents, and models fitted to them in one task."""
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,3 +33,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, l
     some = known.where(place < share * (1 << 40)).groupBy("doc_id").agg(F.max("y").alias("y")).limit(4 * most)
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return docs.join(F.broadcast(some), "doc_id")
+
+
+def fitted(sample: DataFrame, schema: pa.Schema, fit: Callable[[pa.Table], Any]) -> Any:
+    """fit(the rows of a bounded sample, ordered by doc_id), run in one task; only the model comes to the driver."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches([rb.cast(schema) for rb in it], schema).sort_by("doc_id").combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], names=["model"])
+
+    row = sample.select(schema.names).repartition(1).mapInArrow(run, "model binary").first()
+    return fit(schema.empty_table()) if row is None else pickle.loads(bytes(row["model"]))

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from career_lake.llm.labelled import fitted
 from career_lake.llm.text import BYTE_VALUE, STEP, Words, batches, mix, powers
 
 #: Documents of either label that a fit takes at most.
@@ -127,7 +128,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, passes: int =
 
 
 def fit_sample(sample: DataFrame) -> Model:
-    """The model of a bounded sample (doc_id, text, y); the driver gets feature numbers only."""
+    """The model of a bounded sample (doc_id, text, y)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -135,8 +136,9 @@ def fit_sample(sample: DataFrame) -> Model:
                 ids = [x.astype(np.uint32).tobytes() for x in feature_ids(buf, off)]
                 yield pa.RecordBatch.from_arrays([rb.column(0)[lo:hi], rb.column(2)[lo:hi], pa.array(ids, pa.binary())], names=["doc_id", "y", "ids"])
 
-    got = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary").toArrow().sort_by("doc_id")
-    return fit([np.frombuffer(x, np.uint32).astype(np.int64) for x in got["ids"].to_pylist()], got["y"].to_numpy().astype(np.int64))
+    rows = sample.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("ids", pa.binary())])
+    return fitted(rows, schema, lambda t: fit([np.frombuffer(x, np.uint32).astype(np.int64) for x in t["ids"].to_pylist()], t["y"].to_numpy().astype(np.int64)))
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from career_lake.llm.labelled import fitted
 from career_lake.llm.text import STEP, Words, batches, column_bytes, mix, powers
 
 #: Documents of either label that training takes at most.
@@ -270,8 +271,8 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
 
 def fit_sample(sample: DataFrame) -> Model:
     """The model of a bounded sample (doc_id, text, y)."""
-    got = sample.select("doc_id", "text", "y").toArrow().sort_by("doc_id")
-    return fit(got["text"].combine_chunks(), got["y"].to_numpy().astype(np.int64))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("y", pa.int32())])
+    return fitted(sample, schema, lambda t: fit(t["text"].combine_chunks(), t["y"].to_numpy().astype(np.int64)))
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
