@@ -6,6 +6,8 @@ columns of documents; the last returns the pieces of packed sequences.
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,4 +81,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        gc.collect()  # a stage's model and sample leave the driver before the next stage
     return STAGES[-1][1](spark, docs, sf_dir)
