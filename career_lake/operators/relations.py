@@ -66,6 +66,8 @@ def candidate_pairs(notices: DataFrame, documents: DataFrame, most: int = 200) -
     return each.withColumn("place", place).where((F.col("place") <= most) | F.col("linked")).drop("place")
 
 
+#: Entities that may be broadcast.
+MOST_ENTITIES = 1000
 #: Under this similarity no pair reaches the least score of 0.45.
 LEAST_SIMILARITY = 0.39
 
@@ -124,18 +126,30 @@ def entity_variants(c: Column) -> Column:
     return F.array_distinct(F.filter(F.array_compact(F.array(full, core, swap)), lambda v: F.length(v) >= 3))
 
 
+def names_entity(text: Column, variants: Column) -> Column:
+    """Whether a plain text names an entity by one of its variants; controlled names decide alone."""
+    controlled = F.lit(None).cast("boolean")
+    for names, pattern in rules.CONTROLLED_ENTITIES:
+        controlled = F.coalesce(controlled, F.when(F.arrays_overlap(variants, F.array(*map(F.lit, names))), text.rlike(pattern)))
+    return F.coalesce(controlled, F.exists(variants, lambda v: text.contains(v)))
+
+
 def match_entities(texts: DataFrame, entities: DataFrame) -> DataFrame:
-    """(text_id, entity) where the text names the entity; controlled names decide alone.
+    """(text_id, entity) where the text names the entity.
 
-    entities is a list of names that the caller bounds; it is joined by
-    containment, so it is broadcast.
+    entities is a list of names that the caller bounds; up to MOST_ENTITIES of
+    them are broadcast. More meet the texts by the first three characters of a
+    variant, which every text that names it has.
     """
-    e = entities.select("entity", entity_variants(F.col("entity")).alias("variants"))
+    e = entities.select("entity").distinct().select("entity", entity_variants(F.col("entity")).alias("variants"))
     t = texts.select("text_id", entity_text(F.col("text")).alias("t"))
-    hit, controlled = F.exists("variants", lambda v: F.col("t").contains(v)), F.lit(None).cast("boolean")
-    for names, pattern in rules.CONTROLLED_ENTITIES:
-        controlled = F.coalesce(controlled, F.when(F.arrays_overlap("variants", F.array(*map(F.lit, names))), F.col("t").rlike(pattern)))
-    return t.join(F.broadcast(e), F.coalesce(controlled, hit)).select("text_id", "entity")
+    if e.count() <= MOST_ENTITIES:
+        return t.join(F.broadcast(e), names_entity(F.col("t"), F.col("variants"))).select("text_id", "entity")
+    known = [F.lit(n) for names, _ in rules.CONTROLLED_ENTITIES for n in names]
+    heads = F.array_distinct(F.transform(F.when(F.arrays_overlap("variants", F.array(*known)), F.array(*known)).otherwise(F.col("variants")), lambda v: F.substring(v, 1, 3)))
+    keys = e.withColumn("head", F.explode(heads))
+    grams = t.where(F.length("t") >= 3).withColumn("head", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("t") - 2), lambda i: F.col("t").substr(i, F.lit(3))))))
+    return grams.join(keys, "head").where(names_entity(F.col("t"), F.col("variants"))).select("text_id", "entity").distinct()
 
 
 def fuzzy_match(texts: DataFrame, entities: DataFrame) -> DataFrame:

@@ -325,3 +325,45 @@ CHANNEL_CONTEXT = (
 EMAIL = "(?i)(?<![A-Z0-9._%+-])[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}(?![A-Z0-9.-])"
 URL = "(?i)(?<![@A-Z0-9.-])(?:(?:https?://)|(?:www\\.))?(?:[A-Z0-9-]+\\.)+[A-Z]{2,}(?::\\d{2,5})?(?:[/?#][^\\s<>{}\\[\\]（）()，。；;、“”‘’\"']*)?"
 IGNORED_PARAMETERS = ["spm", "from"]
+
+# Retrieval payloads: where lists and fields may stand, in order.
+SOURCE_LISTS = [
+    "results", "results.results", "results.records", "results.items", "results.chunks", "records", "records.results", "records.records", "records.items", "records.chunks",
+    "items", "items.results", "items.records", "items.items", "items.chunks", "data", "data.results", "data.records", "data.items", "data.chunks", "chunks", "chunks.results", "chunks.records", "chunks.items", "chunks.chunks",
+]
+SOURCE_IDS = ["id", "segment.id", "document.id", "segment.document.id"]
+SOURCE_TITLES = ["title", "name", "document_name", "documentName", "document.title", "document.name", "segment.document.title", "segment.document.name"]
+SOURCE_TEXTS = ["snippet", "content", "text", "segment.content"]
+SOURCE_URLS = [
+    "url", "source_url", "sourceUrl", "metadata.url", "metadata.source_url", "metadata.sourceUrl", "segment.url", "segment.source_url", "segment.metadata.url", "segment.metadata.source_url",
+    "document.url", "document.source_url", "document.metadata.url", "document.metadata.source_url", "segment.document.url", "segment.document.source_url", "segment.document.metadata.url", "segment.document.metadata.source_url",
+]
+SOURCE_DATES = [
+    "publishedAt", "published_at", "date", "metadata.publishedAt", "metadata.published_at", "metadata.published_date", "metadata.date", "segment.publishedAt", "segment.published_at", "segment.metadata.publishedAt", "segment.metadata.published_at",
+    "document.publishedAt", "document.published_at", "document.metadata.publishedAt", "document.metadata.published_at", "segment.document.publishedAt", "segment.document.published_at", "segment.document.metadata.publishedAt", "segment.document.metadata.published_at", "segment.document.created_at",
+]
+# What a query may ask for, and the words that tell it.
+EVIDENCE_FACETS = [
+    ("招聘对象|面向|毕业生|哪一届|年级|届别|应届", ["招聘对象", "面向对象", "主要面向", "未落实工作单位", "留学回国人员", "高校毕业生", "应届毕业生", "毕业生"]),
+    ("学历|学位", ["应聘基本条件", "应聘要求", "全日制硕士研究生及以上学历", "博士、硕士、本科应届毕业生", "本科", "硕士", "博士", "专科", "大专", "学历"]),
+    ("年龄|年龄上限|年龄要求|多少岁|几岁", ["年龄要求", "博士研究生年龄", "硕士研究生年龄", "本科及职业学院毕业生年龄", "不超过35岁", "不超过30岁", "不超过26岁"]),
+    ("(?i)外语|英语水平|英语要求|雅思|托福", ["外语水平要求", "雅思", "托福"]),
+    ("(?i)四级|CET[\\s-]?4", ["大学英语四级", "四级考试", "CET4", "CET-4"]),
+    ("(?i)六级|CET[\\s-]?6", ["大学英语六级", "六级考试", "CET6", "CET-6"]),
+    ("年级|届别|哪一届|应届", ["在校大学生", "应届毕业生", "届", "毕业"]),
+    ("截止|截至|还可以报名|报名时间|投递时间|何时", ["报名截止时间", "报名时间", "投递截止时间", "截止时间", "即日起至", "截至", "报名结束"]),
+    ("入口|在哪里报名|怎么报名|报名方式|投递方式|官网|网站|邮箱", ["报名方式", "简历投递", "投递简历", "投递入口", "招聘官网", "招聘门户", "电子邮件", "邮箱", "二维码", "www.", "http://", "https://"]),
+    ("几个岗位|多少岗位|岗位数|每人.{0,8}(?:报|投)|限报|投递次数|申报岗位", ["仅限申报", "只能报考", "限报", "1个岗位", "一个岗位", "一次投递", "1次投递"]),
+    ("招聘批次|如何分批|分几批|批次", ["招聘批次", "四批次招聘", "国调网调提前批", "第一批", "第二批", "第三批"]),
+    ("单位志愿|二级单位|三级单位|四级单位|(?:几个|多少).{0,6}(?:招聘)?单位|最多.{0,8}(?:招聘)?单位|应聘.{0,6}(?:招聘)?单位", ["二级单位志愿", "不超过3个", "三级单位", "四级单位", "可选择2个", "最多可应聘2家招聘单位", "应聘2家招聘单位"]),
+    ("招聘单位|单位分布|下属单位|所属单位|成员企业", ["招聘单位地图分布", "单位分布", "招聘单位", "所属单位", "成员企业"]),
+    ("笔试时间|考试时间|考试安排|何时笔试|什么时候笔试", ["统一笔试时间", "笔试时间", "组织招聘笔试", "统一笔试"]),
+    ("报名|申请|投递", ["报名方式", "简历投递", "投递简历", "投递要求", "招聘官网", "报名", "二维码", "阅读原文", "投递", "截止时间", "www."]),
+    ("交通|食宿|后勤", ["往返交通", "全程食宿", "统一安排", "后勤"]),
+    ("福利|薪酬|待遇|补贴|保障", ["薪酬福利", "福利待遇", "福利保障", "北京户口", "六险两金", "七险两金", "人才公寓", "员工公寓", "员工食堂", "各类补贴", "补充医疗", "企业年金"]),
+    ("岗位类别|岗位类型|岗位种类|有哪些岗位", ["岗位类别", "招聘岗位", "技术类", "市场类", "综合类"]),
+    ("毕业时间|毕业日期|境内外|留学生|学历认证", ["毕业时间", "毕业证时间", "境内高校", "国（境）内高校", "国（境）外高校", "学历认证"]),
+    ("技术方向|研发方向", ["引才方向", "技术方向", "研发工程师"]),
+    ("专业|学科", ["需求学科", "招聘专业", "需求专业", "急需紧缺专业", "专业要求"]),
+    ("城市|地点|地区", ["工作地点", "工作城市", "城市", "地点"]),
+]

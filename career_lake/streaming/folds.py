@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from career_lake.session import settle
+
 ANSWER_CAP = 40_000
 
 
@@ -30,29 +34,44 @@ def request_quota(requests: DataFrame, window: float = 60.0, per_session: int =
     """Z03, batch: whether each request is allowed. requests: (request_id, address, session, ts seconds).
 
     A key's window opens at its first request and lasts 60 s; a denied request
-    counts on neither key. Addresses are independent, so they are the groups; a
-    group is read in order and keeps only counters.
+    counts on neither key. Sessions and addresses that requests connect share
+    their counters, so they are one group; a group is read in order, in Arrow
+    batches, and keeps only the open counters.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "request_id"])
-        state: dict[tuple[str, str], list[float]] = {}
-        allowed = []
-        for address, session, ts in zip(pdf["address"], pdf["session"], pdf["ts"], strict=True):
-            keys = (("a", address, per_address), ("s", session, per_session))
-            counts = []
-            for kind, key, most in keys:
-                cell = state.get((kind, key))
-                if cell is None or ts >= cell[0] + window:
-                    cell = state[kind, key] = [ts, 0]
-                counts.append((cell, most))
-            ok = all(cell[1] < most for cell, most in counts)
-            for cell, _ in counts:
-                cell[1] += ok
-            allowed.append(ok)
-        return pdf.assign(allowed=allowed)[[c.split()[0] for c in QUOTA.split(", ")]]
-
-    return requests.groupBy("address").applyInPandas(run, QUOTA)
+    pairs = requests.select("address", "session").distinct()
+    # Least address reached over shared sessions; groups are a few keys wide, so labels settle in a few rounds.
+    label = pairs.select("address").distinct().withColumn("group", F.col("address"))
+    while True:
+        of_session = pairs.join(label, "address").groupBy("session").agg(F.min("group").alias("low"))
+        new = settle(pairs.join(of_session, "session").groupBy("address").agg(F.min("low").alias("group")), "quota-groups")
+        moved = new.join(label.withColumnRenamed("group", "old"), "address").where("group <> old").isEmpty()
+        label = new
+        if moved:
+            break
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, state = None, {}
+        for pdf in batches:
+            allowed = []
+            for g, address, session, ts in zip(pdf["group"], pdf["address"], pdf["session"], pdf["ts"], strict=True):
+                if g != group:
+                    group, state = g, {}
+                cells = []
+                for kind, key, most in (("a", address, per_address), ("s", session, per_session)):
+                    cell = state.get((kind, key))
+                    if cell is None or ts >= cell[0] + window:
+                        cell = state[kind, key] = [ts, 0]
+                    cells.append((cell, most))
+                ok = all(cell[1] < most for cell, most in cells)
+                for cell, _ in cells:
+                    cell[1] += ok
+                if len(state) > 10_000:  # closed windows tell nothing
+                    state = {k: c for k, c in state.items() if ts < c[0] + window}
+                allowed.append(ok)
+            yield pdf.assign(allowed=allowed)[[c.split()[0] for c in QUOTA.split(", ")]]
+
+    ordered = requests.join(label, "address").repartition("group").sortWithinPartitions("group", "ts", "request_id")
+    return ordered.mapInPandas(run, QUOTA)
 
 
 def sync_health(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -63,3 +82,17 @@ def sync_health(events: DataFrame, window: str = "1 hour", late: str = "2 hours"
     timed = events.withWatermark("ts", late) if events.isStreaming else events
     out = timed.groupBy(F.window("ts", window).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "error").alias("errors"), F.count_if(F.col("kind") == "changed").alias("changed"))
     return out.select(F.col("w.start").alias("start"), "events", "errors", "changed")
+
+
+def error_rate(events: DataFrame, window: str = "2 days", slide: str = "1 day", late: str = "2 hours") -> DataFrame:
+    """The share of errors per sliding window; a batch or a stream."""
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    out = timed.groupBy(F.window("ts", window, slide).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "error").alias("errors"))
+    return out.select(F.col("w.start").alias("start"), "events", (F.col("errors") / F.col("events")).alias("rate"))
+
+
+def sync_sessions(events: DataFrame, gap: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Sessions of a source: events without a longer gap; a batch or a stream."""
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    out = timed.groupBy("source_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("kind") == "error").alias("errors"))
+    return out.select("source_id", F.col("w.start").alias("start"), "events", "errors")
