@@ -55,9 +55,9 @@ def ground_external_hits(hits: DataFrame, mappings: DataFrame, documents: DataFr
     live = documents.where((F.col("status") == "active") & ~F.col("blocked")).select("document_id", "title", "content_hash")
     h = hits.where("remote_id is not null").join(known, "remote_id").join(live, ["document_id", "content_hash"])
     h = h.withColumn("plain", F.lower(compact(F.col("snippet"))))
-    first = h.groupBy("request_id", "remote_id", "document_id", "title", "plain").agg(F.min("place").alias("place"), F.min_by("snippet", "place").alias("snippet"), F.min_by("score", "place").alias("score"))
-    first = first.withColumn("segment", F.row_number().over(Window.partitionBy("request_id", "remote_id").orderBy(F.col("plain") == "", "place"))).where(F.col("segment") <= SEGMENTS)
-    docs = first.groupBy("request_id", "remote_id", "document_id", "title").agg(F.min("place").alias("at"), F.min_by("score", "place").alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("place", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
+    first = h.groupBy("request_id", "remote_id", "document_id", "title", "plain").agg(F.min("place").alias("place"), F.min_by("snippet", F.struct("place", "score")).alias("snippet"), F.min_by("score", F.struct("place", "score")).alias("score"))
+    first = first.withColumn("segment", F.row_number().over(Window.partitionBy("request_id", "remote_id").orderBy(F.col("plain") == "", "place", "score", "plain"))).where(F.col("segment") <= SEGMENTS)
+    docs = first.groupBy("request_id", "remote_id", "document_id", "title").agg(F.min("place").alias("at"), F.min_by("score", F.struct("place", "score")).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("place", "score", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
     place = F.row_number().over(Window.partitionBy("request_id").orderBy("at", "remote_id"))
     return docs.withColumn("place", place).where(F.col("place") <= k).select("request_id", "document_id", "title", merged_snippet(F.col("snippets")).alias("snippet"), "score", "place")
 

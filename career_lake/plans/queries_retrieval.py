@@ -18,7 +18,7 @@ ORACLES: dict[str, str] = {}
 VIEWS |= {
     "asked_v": "SELECT doc_id AS request_id, coalesce(text, '') AS query, CASE doc_id % 3 WHEN 0 THEN concat(source, ',', upper(source), ', ,second  name') WHEN 1 THEN '' ELSE source END AS companies, CASE WHEN doc_id % 4 = 0 THEN lang ELSE '' END AS titles, CASE WHEN doc_id % 5 < 3 THEN concat(lang, ',2027') ELSE '' END AS profile FROM {documents}",
     "hits_v": """
-SELECT l_orderkey AS request_id, l_linenumber AS place, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(l_partkey % 20 AS STRING) END AS remote_id, CASE WHEN l_suppkey % 7 = 0 THEN repeat(concat(l_returnflag, 'x '), 500) ELSE concat(' ', l_returnflag, '  ', l_linestatus, CAST(l_suppkey % 3 AS STRING)) END AS snippet, CAST(l_linenumber AS DOUBLE) AS score FROM {lineitem}""",
+SELECT l_orderkey AS request_id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey % 1000 AS place, CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(l_partkey % 20 AS STRING) END AS remote_id, CASE WHEN l_suppkey % 7 = 0 THEN repeat(concat(l_returnflag, 'x '), 500) ELSE concat(' ', l_returnflag, '  ', l_linestatus, CAST(l_suppkey % 3 AS STRING)) END AS snippet, CAST(l_linenumber AS DOUBLE) + l_quantity AS score FROM {lineitem}""",
     "remote_v": "SELECT CAST(p_partkey AS STRING) AS remote_id, CAST(p_partkey + 100 AS STRING) AS document_id, CASE WHEN p_partkey % 6 = 0 THEN 'pending' ELSE 'synced' END AS status, concat('h', CAST(p_partkey % 5 AS STRING)) AS content_hash FROM {part} WHERE p_partkey < 20",
     "rdocs_v": "SELECT CAST(p_partkey + 100 AS STRING) AS document_id, p_name AS title, CASE WHEN p_partkey % 5 = 4 THEN 'other' ELSE concat('h', CAST(p_partkey % 5 AS STRING)) END AS content_hash, CASE WHEN p_partkey % 11 = 0 THEN 'superseded' ELSE 'active' END AS status, p_partkey % 13 = 0 AS blocked FROM {part} WHERE p_partkey < 20",
     "payloads_v": """
@@ -46,8 +46,8 @@ _add(
     "k11_grounded_hits",
     lambda s, d: K.ground_external_hits(view(s, d, "hits_v"), view(s, d, "remote_v"), view(s, d, "rdocs_v"), 3),
     f""", h AS (SELECT request_id, place, remote_id, d.document_id, d.title, score, trim(regexp_replace(snippet, '{_WS}', ' ', 'g')) AS t FROM hits_v JOIN remote_v m USING (remote_id) JOIN rdocs_v d ON d.document_id = m.document_id AND d.content_hash = m.content_hash WHERE m.status = 'synced' AND d.status = 'active' AND NOT d.blocked)
-, f AS (SELECT request_id, remote_id, document_id, title, lower(t) AS k, min(place) AS place, arg_min(t, place) AS t, arg_min(score, place) AS score FROM h GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY request_id, remote_id ORDER BY place) AS seg FROM f)
-, e AS (SELECT request_id, remote_id, document_id, title, min(place) AS p0, arg_min(score, place) AS score, list(t ORDER BY place) AS ts FROM g WHERE seg <= 3 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p0, remote_id) AS place FROM e)
+, f AS (SELECT request_id, remote_id, document_id, title, lower(t) AS k, min(place) AS place, (list(t ORDER BY place, score))[1] AS t, (list(score ORDER BY place, score))[1] AS score FROM h GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY request_id, remote_id ORDER BY place, score, k) AS seg FROM f)
+, e AS (SELECT request_id, remote_id, document_id, title, min(place) AS p0, (list(score ORDER BY place, score))[1] AS score, list(t ORDER BY place, score, t) AS ts FROM g WHERE seg <= 3 GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY p0, remote_id) AS place FROM e)
 SELECT request_id, document_id, title, array_to_string(list_transform(ts, lambda x: x[1:greatest(1, CAST(floor((1200 - 3 * (len(ts) - 1)) / len(ts)) AS INT))]), ' … ')[1:1200] AS snippet, score, CAST(place AS INT) AS place FROM r WHERE place <= 3""",
     "hits_v", "remote_v", "rdocs_v",
 )
