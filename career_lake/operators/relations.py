@@ -86,14 +86,22 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-def score_pairs(pairs: DataFrame) -> DataFrame:
-    """Pairs (with title, content, source_id of the notice) with score and evidence; short cores and scores under 0.45 go."""
+def score_pairs(pairs: DataFrame, notices: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pairs of X02 with score and evidence; short cores and scores under 0.45 go.
+
+    notices: (notice_id, source_id, title, content); documents: (document_id,
+    title). Their texts are reduced once each, before they meet.
+    """
+    years = lambda c: F.regexp_extract_all(c, F.lit("20\\d{2}"), F.lit(0))
     context = F.concat_ws(" ", "title", F.substring("content", 1, 1500))
-    p = pairs.withColumns({"core": title_core(F.col("d_title")), "plain": plain_title(F.col("d_title")), "n_core": title_core(F.col("title")), "c_plain": plain_title(context), "c_core": title_core(context)}).where(F.length("core") >= 6)
+    n = notices.select("notice_id", "source_id", title_core(F.col("title")).alias("n_core"), plain_title(context).alias("c_plain"), title_core(context).alias("c_core")).withColumn("c_years", years(F.col("c_plain")))
+    d = documents.select("document_id", title_core(F.col("title")).alias("core"), plain_title(F.col("title")).alias("plain")).withColumn("d_years", years(F.col("plain"))).where(F.length("core") >= 6)
+    # The comparison is far more work than its bytes tell, so it is spread over all cores.
+    cores = pairs.sparkSession.sparkContext.defaultParallelism
+    p = pairs.join(d, "document_id").join(n, "notice_id").repartition(4 * cores, "notice_id")
     quoted = (F.length("plain") >= 10) & F.col("c_plain").contains(F.col("plain"))
     referred = (F.length("core") >= 7) & F.col("c_core").contains(F.col("core"))
-    years = lambda c: F.regexp_extract_all(c, F.lit("20\\d{2}"), F.lit(0))
-    shared, own = F.arrays_overlap(years(F.col("c_plain")), years(F.col("plain"))), F.col("source_id") == F.col("d_source")
+    shared, own = F.arrays_overlap("c_years", "d_years"), F.col("source_id") == F.col("d_source")
     direct = F.when(F.col("linked"), 1.0).when(quoted, 0.96).when(referred, 0.9)
     p = p.withColumn("direct", direct).withColumn("similarity", F.when(F.col("direct").isNull(), _similarity(F.col("core"), F.col("n_core"))))
     near = F.least(F.lit(0.89), F.round(F.col("similarity") * 0.78, 4) + F.when(shared, 0.1).otherwise(0.0) + F.when(own, 0.04).otherwise(0.0))
@@ -102,7 +110,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         F.when(F.col("similarity") >= 0.55, "title_similarity"), F.when(F.col("direct").isNull() & shared, "shared_recruitment_year"), F.when(F.col("direct").isNull() & own, "same_registered_source"),
     ))
     out = p.withColumn("score", F.round(F.coalesce("direct", near), 4)).withColumn("evidence", evidence)
-    return out.where("score >= 0.45").drop("core", "plain", "n_core", "c_plain", "c_core", "direct", "similarity")
+    return out.where("score >= 0.45").drop("core", "plain", "n_core", "c_plain", "c_core", "c_years", "d_years", "direct", "similarity")
 
 
 def top_targets(scored: DataFrame) -> DataFrame:

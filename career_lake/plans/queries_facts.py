@@ -22,7 +22,8 @@ def _add(name: str, f, sql: str | None = None, *views: str) -> None:  # noqa: AN
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return view(s, d, _A)
+    """The announcements; one small file, so its rows are spread over all cores before the patterns read them."""
+    return view(s, d, _A).repartition(4 * s.sparkContext.defaultParallelism, "document_id")
 
 
 def _facet(f):  # noqa: ANN001, ANN202
@@ -104,7 +105,7 @@ FROM {{orders}}"""
 
 
 def _condition(f):  # noqa: ANN001, ANN202
-    return lambda s, d: view(s, d, "conditions_v").select("version_id", F.array_join(f(N.compact(F.col("content"))), "|").alias("found"))
+    return lambda s, d: view(s, d, "conditions_v").repartition(4 * s.sparkContext.defaultParallelism, "version_id").select("version_id", F.array_join(f(N.compact(F.col("content"))), "|").alias("found"))
 
 
 def _told(name: str, f, key: str) -> None:  # noqa: ANN001
@@ -129,7 +130,7 @@ def scored(s: SparkSession, d: str) -> DataFrame:
     old = docs(s, d).where("version_no = 2")
     n = notices(s, d)
     pairs = X.candidate_pairs(n, old)
-    return X.score_pairs(pairs.join(n.select("notice_id", "title", "content", "source_id"), "notice_id"))
+    return X.score_pairs(pairs, n, old)
 
 
 _add(

@@ -57,8 +57,10 @@ def test_changes_between_versions(spark):
 
 
 def test_relations(spark):
-    n = spark.createDataFrame([("n", "关于延期某某能源集团2026年校园招聘的公告", "某某能源集团2026年校园招聘公告，报名延期。", "s1", "d1", "s1", "http://a/1", "某某能源集团2026年校园招聘公告", "2026", False)], "notice_id string, title string, content string, source_id string, document_id string, d_source string, d_url string, d_title string, updated_at string, linked boolean")
-    r = X.top_targets(X.score_pairs(n)).first()
+    n = spark.createDataFrame([("n", "s1", "关于延期某某能源集团2026年校园招聘的公告", "某某能源集团2026年校园招聘公告，报名延期。")], "notice_id string, source_id string, title string, content string")
+    d = spark.createDataFrame([("d1", "某某能源集团2026年校园招聘公告")], "document_id string, title string")
+    pairs = spark.createDataFrame([("n", "d1", "s1", "http://a/1", "某某能源集团2026年校园招聘公告", "2026", False)], "notice_id string, document_id string, d_source string, d_url string, d_title string, updated_at string, linked boolean")
+    r = X.top_targets(X.score_pairs(pairs, n, d)).first()
     assert (r.score, r.blocked, r.evidence) == (0.96, True, ["explicit_title"])
     e = spark.createDataFrame([("中国石油天然气集团有限公司",), ("华东勘测设计研究院",)], "entity string")
     t = spark.createDataFrame([(1, "中国石油化工招聘"), (2, "中国石油招聘"), (3, "华东勘测设计研究所招聘"), (4, "无")], "text_id int, text string")
@@ -115,6 +117,17 @@ def test_quota_and_workspace(spark):
     assert {r.subject: (r.revision, r.event_id, r.conflicts, r.expired) for r in W.workspace_state(ev, "2026-07-22").collect()} == {"u": (2, 3, 1, False), "v": (1, 4, 0, True)}
 
 
+def test_quota_counts_a_session_over_all_its_addresses(spark):
+    rows = [(i, "ab"[i % 2], "s", float(i)) for i in range(12)] + [(50, "c", "u", 3.0)]
+    got = {r.request_id: r.allowed for r in Z.request_quota(spark.createDataFrame(rows, "request_id long, address string, session string, ts double")).collect()}
+    assert sum(got[i] for i in range(12)) == 6 and got[50]
+
+
+def test_decided_and_applied_partial_withdrawals(spark):
+    rows = spark.createDataFrame([("公告", "经研究决定取消财务岗位招聘计划"), ("公告", "岗位情况：核减技术岗位。招聘"), ("公告", "决定不取消本次岗位")], "a string, b string")
+    assert [r[0] for r in rows.select(N.lifecycle(F.col("a"), F.col("b"))).collect()] == [["withdrawn"], ["withdrawn"], []]
+
+
 def test_pool_is_first_wins_under_both_keys(spark):
     jobs = spark.createDataFrame(
         [("1", "软件", "猎聘 甲", "北京", "本科", "2026届", ["0809"]), ("2", "软件", "甲", "北京", "本科", "2026届", ["0809"]), ("3", "软件", "乙", "上海", "硕士", "2026届", ["0809"]), ("4", "软件工程岗", "丙", None, None, None, [])],
