@@ -145,13 +145,14 @@ _add(
 
 def _enqueued(s: SparkSession, d: str) -> DataFrame:
     r = view(s, d, "reviews_v").withColumn("document_id", F.lit(None).cast("string")).withColumn("payload", F.create_map(F.lit("runId"), F.col("created_at")))
-    return C.enqueue_reviews(r.where("status = 'pending'").where(F.col("created_at").cast("long") % 3 == 0), r.where("status = 'resolved'")).select("source_id", "kind", "message")
+    again = F.concat("message", F.when(F.col("created_at").cast("long") % 2 == 0, "").otherwise(" again"))
+    return C.enqueue_reviews(r, r.withColumn("message", again)).select("source_id", "kind", "message")
 
 
 _add(
     "r01_enqueue_reviews",
     _enqueued,
-    "SELECT DISTINCT source_id, kind, message FROM reviews_v a WHERE status = 'resolved' AND NOT EXISTS (SELECT 1 FROM reviews_v b WHERE b.status = 'pending' AND CAST(b.created_at AS BIGINT) % 3 = 0 AND a.source_id = b.source_id AND a.kind = b.kind AND a.message = b.message)",
+    "SELECT DISTINCT source_id, kind, message FROM (SELECT source_id, kind, concat(message, CASE WHEN CAST(created_at AS BIGINT) % 2 = 0 THEN '' ELSE ' again' END) AS message FROM reviews_v) a WHERE NOT EXISTS (SELECT 1 FROM reviews_v b WHERE b.status = 'pending' AND a.source_id = b.source_id AND a.kind = b.kind AND a.message = b.message)",
     "reviews_v",
 )
 _add(
