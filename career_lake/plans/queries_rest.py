@@ -107,13 +107,26 @@ _add(
 )
 
 
-def _pool(s: SparkSession, d: str) -> DataFrame:
-    p = QJ.profiles(s, d).withColumn("code", QJ.J.inferred_code(F.col("major")))
-    return L.decision_pool(QJ.jobs(s, d), p)
-
-
-_add("l02_decision_pool", _pool)
-_add("l03_query_summaries", lambda s, d: L.query_summaries(_pool(s, d)))
+def _coded(s: SparkSession, d: str) -> DataFrame:
+    return QJ.profiles(s, d).withColumn("code", QJ.J.inferred_code(F.col("major")))
+
+
+_WORDS = f"list_concat([major], {QJ._KW})[1:6]"
+_ASKED = QJ.JOBS_N + f""", p AS (SELECT DISTINCT major, {QJ.CODE} AS code, graduation_year AS y,
+  CASE degree_level WHEN 'associate' THEN '大专' WHEN 'bachelor' THEN '本科' WHEN 'master' THEN '硕士' WHEN 'doctorate' THEN '博士' ELSE '' END AS w FROM profiles_v),
+ k AS (SELECT *, concat(major, '|', coalesce(code, ''), '|', w, '|', CAST(y AS VARCHAR)) AS pool_key FROM p),
+ n AS (SELECT *, unnest({_WORDS}) AS word, unnest(range(2, len({_WORDS}) + 2)) AS q FROM k),
+ jt AS (SELECT *, concat_ws(' ', job_title, major_requirements) AS t FROM jobs_n),
+ cw AS (SELECT word, count(*) AS total FROM (SELECT DISTINCT word FROM n) JOIN jt ON contains(t, word) GROUP BY 1),
+ cc AS (SELECT code, count(*) AS total FROM (SELECT DISTINCT code FROM k) JOIN jt ON list_contains(major_category_ids, code) GROUP BY 1),
+ cs AS (SELECT major, w, y, count(*) AS total FROM (SELECT DISTINCT major, w, y FROM k) JOIN jt ON contains(t, major) AND contains(coalesce(education_level, ''), w) AND contains(coalesce(graduate_year, ''), CAST(y AS VARCHAR)) GROUP BY ALL),
+ a AS (SELECT pool_key, 0 AS q, concat('资料严格匹配 ', major) AS label, total FROM k LEFT JOIN cs USING (major, w, y)
+  UNION ALL SELECT pool_key, 1, concat('专业分类 ', code), total FROM k LEFT JOIN cc USING (code) WHERE code IS NOT NULL
+  UNION ALL SELECT pool_key, q, concat('关键词 ', word), total FROM n LEFT JOIN cw USING (word))
+ SELECT pool_key, CAST(q AS INT) AS q, label, coalesce(total, 0) AS total, least(coalesce(total, 0), 100) AS returned FROM a"""
+_add("l02_decision_pool", lambda s, d: L.decision_pool(QJ.jobs(s, d), _coded(s, d)))
+_add("l03_query_summaries", lambda s, d: L.query_summaries(QJ.jobs(s, d), _coded(s, d)), _ASKED, "jobs_v", "profiles_v")
+_add("l03_sample_limited", lambda s, d: L.sample_limited(L.decision_pool(QJ.jobs(s, d), _coded(s, d)), L.query_summaries(QJ.jobs(s, d), _coded(s, d))))
 _add(
     "b05_valid_profiles",
     lambda s, d: L.minimised(L.valid_profiles(QJ.profiles(s, d)).where("rejected is null")),
