@@ -12,6 +12,7 @@ from career_lake.operators import pools as L
 from career_lake.operators import relations as X
 from career_lake.operators import search as K
 from career_lake.operators import strategy as N
+from career_lake.plans import queries_facts as QF
 from career_lake.plans import queries_jobs as QJ
 from career_lake.plans import queries_more as QM
 from career_lake.plans.bindings import NOW, oracle, view
@@ -180,3 +181,4 @@ _add(
     f"SELECT {CANON.format(u='url')} AS canonical_url, count(DISTINCT html) AS versions FROM pages_v GROUP BY 1",
     "pages_v",
 )
+_add("z02_stream_changes", lambda s, d: Z.version_changes(QF.docs(s, d)).select("document_id", "version_id", F.array_join("reasons", ",").alias("reasons"), "held"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from career_lake.operators import facts as N
 from career_lake.operators.corpus import canonical_url, normalise_text
 
 WORKSPACE = "subject string, revision int, event_id long, conflicts int, expired boolean"
@@ -31,6 +36,70 @@ def workspace_state(events: DataFrame, now: str, keep_days: int = 180) -> DataFr
         return pd.DataFrame([(pdf["subject"].iloc[0], revision, last, conflicts, old)], columns=[c.split()[0] for c in WORKSPACE.split(", ")])
 
     return events.groupBy("subject").applyInPandas(run, WORKSPACE)
+CHANGES = "document_id string, version_id string, reasons array<string>, held boolean"
+SNAPSHOT = "facts string, n int, digest string"
+
+
+def _reasons(new: dict, old: dict, n: int, m: int, ocr: bool) -> list[str]:
+    """The codes of N.version_diff for one version against the one kept."""
+    enriched = m < 240 and n >= 400 and n >= m * 1.5
+    codes = ["ocr_quality_pending"] if ocr else []
+    if m >= 500 and n < m * 0.6 and not enriched:
+        codes.append("content_regression")
+    if new["lifecycle"] and new["lifecycle"] != old["lifecycle"]:
+        codes.append("lifecycle_changed")
+    for facet, (code, added) in N.CODES.items():
+        has, had = new[facet], old[facet]
+        if has and had and has != had:
+            codes.append(code)
+        elif had and not has and n >= m * 0.7 and not enriched:
+            codes.append(f"{code}_removed")
+        elif added and has and not had and not enriched:
+            codes.append(f"{code}_added")
+    return codes
+
+
+def _fold(pdf: pd.DataFrame, kept: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+    """The changes of a document's versions in order, and the snapshot (facts, n, digest) after them."""
+    rows = []
+    for r in pdf.sort_values(["version_no", "version_id"]).itertuples(index=False):
+        if kept is not None and kept[2] == r.digest:
+            continue
+        reasons = [] if kept is None else _reasons(json.loads(r.facts), json.loads(kept[0]), r.n, kept[1], r.ocr)
+        rows.append((r.document_id, r.version_id, reasons, bool(reasons)))
+        if not reasons:
+            kept = (r.facts, int(r.n), r.digest)
+    return pd.DataFrame(rows, columns=["document_id", "version_id", "reasons", "held"]), kept
+
+
+def _told(versions: DataFrame, rejected: DataFrame | None) -> DataFrame:
+    ocr = F.coalesce("ocr_needs_review", F.lit(False)) if "ocr_needs_review" in versions.columns else F.lit(False)
+    whole = versions.withColumn("content", F.coalesce("content", F.lit(""))).withColumn("title", F.coalesce("title", F.lit("")))
+    out = N.with_facts(whole.withColumn("digest", F.sha2("content", 256)).withColumn("ocr", ocr))
+    out = out.select("document_id", "version_id", "version_no", F.to_json("facts").alias("facts"), F.length("compact").alias("n"), "digest", "ocr")
+    return out if rejected is None else out.join(rejected.select("document_id", "digest").distinct(), ["document_id", "digest"], "left_anti")
+
+
+def version_changes(versions: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """Z02, batch: CHANGES of versions(document_id, version_id, version_no, title, content, ...).
+
+    A version with reasons is held and the snapshot stays; any other becomes
+    the snapshot. The snapshot's own text and rejected(document_id, digest of
+    the content) give no row. A null title or content counts as empty.
+    """
+    return _told(versions, rejected).groupBy("document_id").applyInPandas(lambda pdf: _fold(pdf, None)[0], CHANGES)
+
+
+def stream_changes(versions: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """version_changes of a stream; a document's snapshot is its state, so versions come in order of arrival between batches."""
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, kept = _fold(pd.concat(list(batches)), state.get if state.exists else None)
+        if kept is not None:
+            state.update(kept)
+        yield rows
+
+    return _told(versions, rejected).groupBy("document_id").applyInPandasWithState(run, CHANGES, SNAPSHOT, "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(pages: DataFrame) -> DataFrame:
