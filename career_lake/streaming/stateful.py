@@ -16,26 +16,48 @@ from career_lake.operators.corpus import canonical_url, normalise_text
 WORKSPACE = "subject string, revision int, event_id long, conflicts int, expired boolean"
 
 
+WRITES = "revision int, event_id long, at long, conflicts int"
+
+
+def _write(pdf: pd.DataFrame, kept: tuple) -> tuple:
+    """(revision, last event, its time in ns, conflicts) after a subject's events in order."""
+    revision, last, at, conflicts = kept
+    pdf = pdf.sort_values(["ts", "event_id"])
+    for event, ts, expected in zip(pdf["event_id"], pdf["ts"], pdf["expected"], strict=True):
+        if expected == revision:
+            revision, last, at = revision + 1, int(event), int(pd.Timestamp(ts).as_unit("ns").value)
+        else:
+            conflicts += 1
+    return revision, last, at, conflicts
+
+
+def _workspace(subject: str, kept: tuple, now: str, keep_days: int) -> pd.DataFrame:
+    revision, last, at, conflicts = kept
+    old = at is not None and pd.Timestamp(now).as_unit("ns").value - at > pd.Timedelta(days=keep_days).as_unit("ns").value
+    return pd.DataFrame([(subject, revision, last, conflicts, old)], columns=[c.split()[0] for c in WORKSPACE.split(", ")])
+
+
 def workspace_state(events: DataFrame, now: str, keep_days: int = 180) -> DataFrame:
     """Z05, batch: each subject's revision, last accepted write and conflicts.
 
     events: (subject, event_id, ts, expected). A write is accepted where it
-    expects the current revision. Only two numbers are kept while a subject's
-    events are read in order; they come in Arrow batches by subject.
+    expects the current revision. Only a few numbers are kept while a subject's
+    events are read in order.
     """
+    return events.groupBy("subject").applyInPandas(lambda pdf: _workspace(pdf["subject"].iloc[0], _write(pdf, (0, None, None, 0)), now, keep_days), WORKSPACE)
+
+
+def stream_workspace_state(events: DataFrame, now: str, keep_days: int = 180) -> DataFrame:
+    """workspace_state of a stream, a row for each subject that a batch touches; events come in order of arrival between batches."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = _write(pd.concat(list(batches)), state.get if state.exists else (0, None, None, 0))
+        state.update(kept)
+        yield _workspace(key[0], kept, now, keep_days)
+
+    return events.groupBy("subject").applyInPandasWithState(run, WORKSPACE, WRITES, "update", GroupStateTimeout.NoTimeout)
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        revision, last, at, conflicts = 0, None, None, 0
-        for event, ts, expected in zip(pdf["event_id"], pdf["ts"], pdf["expected"], strict=True):
-            if expected == revision:
-                revision, last, at = revision + 1, event, ts
-            else:
-                conflicts += 1
-        old = at is not None and pd.Timestamp(now) - at > pd.Timedelta(days=keep_days)
-        return pd.DataFrame([(pdf["subject"].iloc[0], revision, last, conflicts, old)], columns=[c.split()[0] for c in WORKSPACE.split(", ")])
-
-    return events.groupBy("subject").applyInPandas(run, WORKSPACE)
 CHANGES = "document_id string, version_id string, reasons array<string>, held boolean"
 SNAPSHOT = "facts string, n int, digest string"
 
