@@ -215,15 +215,20 @@ def portfolio(assessed: DataFrame) -> DataFrame:
     return out.withColumn("tier", tier).drop("rank", "aligned")
 
 
-def portfolio_summary(tiered: DataFrame, profiles: DataFrame, now: str) -> DataFrame:
-    """Counts of every profile; 0 where it has no candidate."""
+def summary_counts(now: str) -> list[Column]:
+    """The counts of D07 over tiered pairs."""
     n = lambda c: F.count_if(c)
-    counts = tiered.groupBy("profile_id").agg(
+    return [
         F.count("*").alias("candidates"), F.count_distinct("company_name").alias("companies"), F.count_distinct("work_location").alias("regions"),
         n(F.datediff(F.lit(now).cast("date"), "updated_at") <= 30).alias("recent"), n(F.col("apply_end_date").isNotNull()).alias("deadline_known"),
         n(F.col("qualification") == "raw-fields-aligned").alias("aligned"), n(F.col("tier") == "watchlist").alias("watchlist"),
         n(F.col("qualification") == "high-risk").alias("high_risk"), n(F.col("qualification") == "expired").alias("expired"),
-    )
+    ]
+
+
+def portfolio_summary(tiered: DataFrame, profiles: DataFrame, now: str) -> DataFrame:
+    """Counts of every profile; 0 where it has no candidate."""
+    counts = tiered.groupBy("profile_id").agg(*summary_counts(now))
     return profiles.select("profile_id").join(counts, "profile_id", "left").fillna(0, counts.columns[1:])
 
 

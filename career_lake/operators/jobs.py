@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from career_lake import rules
 from career_lake.functions.text import bounded, day, first_rule, lookup, squeezed, trimmed
+from career_lake.operators.search import texts_with
 
 
 def major_codes(c: Column) -> Column:
@@ -166,10 +167,11 @@ def expanded_keywords(major: Column) -> Column:
 def market_layers(raw: DataFrame, profiles: DataFrame) -> DataFrame:
     """Per profile four nested counts of jobs whose title or requirement has the major's keyword.
 
-    Jobs are counted once per (keyword, company type, job type, education,
-    year) before they meet profiles, so that pairs never outgrow these keys.
+    Jobs are counted once per (text, company type, job type, education, year),
+    keywords find the distinct texts by their rarest gram, and the counts are added up
+    per keyword before they meet profiles. An empty keyword finds no job.
     """
-    keys = profiles.select(trimmed(F.col("major")).alias("keyword")).distinct()
+    keys = profiles.select(trimmed(F.col("major")).alias("word")).distinct()
     kinds = raw.select(
         F.concat_ws(" ", "job_title", "major_requirements").alias("text"),
         F.coalesce(F.col("company_type").isin(rules.COMPANY_TYPES), F.lit(False)).alias("owned"),
@@ -177,8 +179,8 @@ def market_layers(raw: DataFrame, profiles: DataFrame) -> DataFrame:
         F.coalesce("education_level", F.lit("")).alias("edu"),
         F.coalesce("graduate_year", F.lit("")).alias("years"),
     ).groupBy("text", "owned", "campus", "edu", "years").agg(F.count("*").alias("n"))
-    hits = kinds.join(F.broadcast(keys), F.col("text").contains(F.col("keyword")))  # keys: one row per major of a fixed catalogue
-    hits = hits.groupBy("keyword", "owned", "campus", "edu", "years").agg(F.sum("n").alias("n"))
+    found = texts_with(keys, kinds.select(F.col("text").alias("t"))).select(F.col("word").alias("keyword"), F.col("t").alias("text"))
+    hits = kinds.join(found, "text").groupBy("keyword", "owned", "campus", "edu", "years").agg(F.sum("n").alias("n"))
     word = F.element_at(lookup({"secondary": "高中", "vocational": "大专", "associate": "大专", "bachelor": "本科", "master": "硕士", "doctorate": "博士"}), F.col("degree_level"))
     p = profiles.select("profile_id", trimmed(F.col("major")).alias("keyword"), word.alias("word"), F.col("graduation_year").cast("string").alias("year"))
     strict = F.col("campus") & (F.col("word").isNull() | F.col("edu").contains(F.col("word"))) & F.col("years").contains(F.col("year"))

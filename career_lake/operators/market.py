@@ -28,12 +28,12 @@ def heatmap(jobs: DataFrame) -> DataFrame:
     """Counts of the 5 largest regions by the 5 largest categories, zero-filled; best: rank among the 3 best cells.
 
     Everything after the first aggregation works on (regions x categories)
-    counts.
+    counts; the grid of 25 is what is broadcast.
     """
     cells = jobs.groupBy(region_of(F.col("work_location")).alias("region"), job_category(F.col("job_title")).alias("category")).agg(F.count("*").alias("n"))
     top = lambda c: cells.groupBy(c).agg(F.sum("n").alias(f"{c}_total")).orderBy(F.desc(f"{c}_total"), c).limit(5)
-    grid = top("region").join(F.broadcast(top("category")))  # 5 x 5
-    out = grid.join(F.broadcast(cells), ["region", "category"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    grid = top("region").join(F.broadcast(top("category"))).select("region", "category", F.lit(0).cast("long").alias("n"))  # 5 x 5
+    out = grid.union(cells.join(F.broadcast(grid.drop("n")), ["region", "category"])).groupBy("region", "category").agg(F.max("n").alias("n"))
     best = F.row_number().over(Window.orderBy(F.desc("n"), "region", "category"))
     return out.withColumn("best", F.when((F.col("n") > 0) & (best <= 3), best)).select("region", "category", "n", "best")
 
@@ -105,6 +105,12 @@ def competitiveness(profiles: DataFrame, layers: DataFrame, companies: DataFrame
     layers: L01. companies: (profile_id, companies). School records do not take
     part here; a caller that has them adds their points to the factors.
     """
+    out = profiles.join(layers.select("profile_id", "campus_intern", "strict_profile"), "profile_id").join(companies, "profile_id", "left")
+    return with_index(out, ["profile_id"])
+
+
+def with_index(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """P09 of profiles with campus_intern, strict_profile and companies: the columns to keep, factors, score, potential, band and room."""
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(100), half_up(c)))
     tier = F.coalesce(F.col("school_tier"), F.lit(""))
     school = F.when(tier.rlike("985|211"), 90).when(tier.rlike("双一流"), 84).when(tier.rlike("海外"), 70).when(tier.rlike("高职|专科"), 48).when(tier != "", 62).otherwise(50)
@@ -115,8 +121,7 @@ def competitiveness(profiles: DataFrame, layers: DataFrame, companies: DataFrame
     opportunity = F.when(strict <= 0, 25).otherwise(clamp(volume))
     ready = F.create_map(*(F.lit(x) for kv in rules.READINESS_SCORE.items() for x in kv))
     prepared = clamp(F.round(sum((F.element_at(ready, F.coalesce(F.col(k), F.lit("missing"))) for k, _, _ in rules.CAPABILITIES), F.lit(0)) / 6, 6))
-    out = profiles.join(layers.select("profile_id", "campus_intern", "strict_profile"), "profile_id").join(companies, "profile_id", "left")
-    out = out.select("profile_id", *(c.cast("int").alias(k) for k, c in (("school", school), ("major_entry", major), ("degree_base", degree), ("opportunity", opportunity), ("prepared", prepared))))
+    out = rows.select(*keep, *(c.cast("int").alias(k) for k, c in (("school", school), ("major_entry", major), ("degree_base", degree), ("opportunity", opportunity), ("prepared", prepared))))
     weighted = F.round(F.col("school") * 0.25 + F.col("major_entry") * 0.25 + F.col("degree_base") * 0.15 + F.col("opportunity") * 0.2 + F.col("prepared") * 0.15, 6)
     out = out.withColumn("score", clamp(weighted).cast("int")).withColumn("potential", clamp(F.round(weighted + (92 - F.col("prepared")) * 0.15, 6)).cast("int"))
     band = F.when(F.col("score") >= 80, "strong").when(F.col("score") >= 70, "fairly-strong").when(F.col("score") >= 55, "medium").when(F.col("score") >= 40, "fairly-weak").otherwise("weak")

@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 
 from career_lake.functions.text import lookup, squeezed
 from career_lake.operators.jobs import expanded_keywords
-from career_lake.operators.search import GRAM, candidates
+from career_lake.operators.search import texts_with
+from career_lake.session import settle
 
 POOL = "pool_key string, id string, place int, strict boolean, found int"
 MOST_KEYWORDS = 6
@@ -40,27 +41,25 @@ def pool_queries(profiles: DataFrame) -> DataFrame:
     return keys.select("pool_key", F.explode(F.concat(F.array_compact(F.array(strict, coded)), named)).alias("x")).select("pool_key", "x.*")
 
 
-def _answers(jobs: DataFrame, queries: DataFrame, per_query: int) -> tuple[DataFrame, DataFrame]:
+def pool_answers(jobs: DataFrame, queries: DataFrame, per_query: int = 100) -> tuple[DataFrame, DataFrame]:
     """The first jobs (pool_key, q, k, id, same) of each query by deadline and id, and (pool_key, q, total).
 
     A job counts for a keyword where its title or requirement has it; keywords
-    find jobs by their rarest gram. Each distinct question is answered once.
+    find jobs by their rarest gram. Each distinct question is answered once, and
+    written, so that pools and totals share the answers.
     """
     company = squeezed(F.regexp_replace("company_name", "(?i)^(?:Moka|北森|猎聘|智联招聘)\\s*", ""))
     same = F.concat_ws("|", company, squeezed(F.col("job_title")), squeezed(F.coalesce("work_location", F.lit(""))), F.coalesce(F.col("apply_end_date").cast("string"), F.lit("")))
     text = F.concat_ws(" ", "job_title", "major_requirements")
     j = jobs.select("id", text.alias("t"), same.alias("same"), "apply_end_date", F.coalesce("education_level", F.lit("")).alias("degrees"), F.coalesce("graduate_year", F.lit("")).alias("years"), "major_category_ids")
-    kinds = j.select("t").distinct().withColumn("doc_id", F.xxhash64("t"))
-    terms = queries.where("keyword is not null").select("keyword").distinct()
-    near = candidates(terms.select(F.lower("keyword").alias("term")).distinct(), kinds.select("doc_id", F.col("t").alias("title"), F.lit("").alias("content")), (1, 2, GRAM))
-    hits = near.join(terms, F.col("term") == F.lower("keyword")).join(kinds, "doc_id").where(F.col("t").contains(F.col("keyword"))).select("keyword", "t").distinct()
+    hits = texts_with(queries.where("keyword is not null").select(F.col("keyword").alias("word")), j).withColumnRenamed("word", "keyword")
     asked = queries.select("keyword", "code", "word", "year").distinct()
     by_word = asked.where("keyword is not null").join(hits, "keyword").join(j, "t")
     by_word = by_word.where(F.col("word").isNull() | (F.col("degrees").contains(F.col("word")) & F.col("years").contains(F.col("year"))))
     by_code = asked.where("code is not null").join(j.withColumn("code", F.explode(F.array_distinct("major_category_ids"))), "code")
     question = ["keyword", "code", "word", "year"]
     cols = [*question, "id", "same", "apply_end_date"]
-    found = by_word.select(cols).union(by_code.select(cols)).withColumn("question", F.to_json(F.struct(*question))).drop(*question)
+    found = settle(by_word.select(cols).union(by_code.select(cols)).withColumn("question", F.to_json(F.struct(*question))).drop(*question), "pool-answers")
     mine = queries.select("pool_key", "q", F.to_json(F.struct(*question)).alias("question"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.asc_nulls_last("apply_end_date"), "id"))
     top = found.withColumn("k", place).where(F.col("k") <= per_query).drop("apply_end_date")
@@ -75,9 +74,13 @@ def decision_pool(jobs: DataFrame, profiles: DataFrame, per_query: int = 100, mo
     first-wins rule, so a group has at most 8 * per_query rows whatever the
     input. found counts a key's jobs before the last cap.
     """
-    lists, _ = _answers(jobs, pool_queries(profiles), per_query)
+    return first_wins(pool_answers(jobs, pool_queries(profiles), per_query)[0], most)
 
-    def first_wins(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def first_wins(lists: DataFrame, most: int = 200) -> DataFrame:
+    """POOL of the lists of pool_answers."""
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, sames, rows = set(), set(), []
         for q, i, same in pdf.sort_values(["q", "k"])[["q", "id", "same"]].itertuples(index=False):
             if i not in ids and same not in sames:
@@ -86,13 +89,17 @@ def decision_pool(jobs: DataFrame, profiles: DataFrame, per_query: int = 100, mo
                 sames.add(same)
         return pd.DataFrame(rows[:most], columns=["pool_key", "id", "place", "strict"]).assign(found=len(rows))
 
-    return lists.groupBy("pool_key").applyInPandas(first_wins, POOL)
+    return lists.groupBy("pool_key").applyInPandas(kept, POOL)
 
 
 def query_summaries(jobs: DataFrame, profiles: DataFrame, per_query: int = 100) -> DataFrame:
     """(pool_key, q, label, total, returned) of every query of every key; queries without jobs have zeros."""
     queries = pool_queries(profiles)
-    _, totals = _answers(jobs, queries, per_query)
+    return summaries(queries, pool_answers(jobs, queries, per_query)[1], per_query)
+
+
+def summaries(queries: DataFrame, totals: DataFrame, per_query: int = 100) -> DataFrame:
+    """L03 from the totals of pool_answers."""
     total = F.coalesce("total", F.lit(0).cast("long"))
     return queries.select("pool_key", "q", "label").join(totals, ["pool_key", "q"], "left").select("pool_key", "q", "label", total.alias("total"), F.least(total, F.lit(per_query).cast("long")).alias("returned"))
 

@@ -25,41 +25,45 @@ def _filled(c: str) -> Column:
     return F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
 
 
-def qualification_matrix(profiles: DataFrame) -> DataFrame:
-    """P10: (profile_id, place, item, value, status): five facts and six capabilities."""
+def matrix_items() -> Column:
+    """The items (item, value, status) of P10: five facts and six capabilities."""
     degree = F.element_at(F.create_map(*(F.lit(x) for kv in rules.DEGREE_TEXTS.items() for x in kv)), F.col("degree_level"))
     place = F.coalesce(_filled("preferred_cities"), _filled("city"))
     known = lambda c: F.when(c, "known").otherwise("missing")
     row = lambda item, value, status: F.struct(F.lit(item).alias("item"), value.alias("value"), status.alias("status"))
-    rows = [
+    return F.array(
         row("school", F.coalesce(_filled("school"), F.lit(MISSING)), known(_filled("school").isNotNull())),
         row("degree", degree, known(F.col("degree_level") != "unknown")),
         row("major", F.coalesce(F.nullif("major", F.lit("")), F.lit(MISSING)), known(F.coalesce(F.col("major"), F.lit("")) != "")),
         row("graduation-year", F.concat(F.col("graduation_year").cast("string"), F.lit(" 届")), F.lit("known")),
         row("location", F.coalesce(place, F.lit(MISSING)), known(place.isNotNull() & (place != MISSING))),
         *(row(k, _text_of_level(_level(k), 1), _level(k)) for k in rules.MATRIX_ROWS),
-    ]
-    return profiles.select("profile_id", F.posexplode(F.array(*rows)).alias("place", "r")).select("profile_id", "place", "r.*")
+    )
 
 
-def action_ranking(profiles: DataFrame, most: int = 3) -> DataFrame:
-    """The first actions of each profile: what is missing before what is begun, in order; filled up from two fallbacks."""
+def qualification_matrix(profiles: DataFrame) -> DataFrame:
+    """P10: (profile_id, place, item, value, status)."""
+    return profiles.select("profile_id", F.posexplode(matrix_items()).alias("place", "r")).select("profile_id", "place", "r.*")
+
+
+def ranked_actions(most: int = 3) -> Column:
+    """The actions of P11 (rank, order, capability, title, priority, hours): what is missing before what is begun, in order; filled up from two fallbacks."""
     rank = lambda level: F.when(level == "missing", 0).when(level == "developing", 1).otherwise(2)
     acts = [
         F.struct(rank(_level(k)).alias("rank"), F.lit(i).alias("order"), F.lit(k).alias("capability"), F.lit(title).alias("title"), _text_of_level(_level(k), 2).alias("priority"), F.lit(hours).alias("hours"))
         for i, (k, title, hours) in enumerate(rules.REPORT_ACTIONS)
     ]
     more = [F.struct(F.lit(3).alias("rank"), F.lit(i).alias("order"), F.lit(k).alias("capability"), F.lit(title).alias("title"), F.lit(p).alias("priority"), F.lit(hours).alias("hours")) for i, (k, title, hours, p) in enumerate(rules.FALLBACK_ACTIONS)]
-    chosen = F.slice(F.array_sort(F.filter(F.array(*acts, *more), lambda a: a["rank"] != 2)), 1, most)
-    return profiles.select("profile_id", F.posexplode(chosen).alias("place", "a")).select("profile_id", (F.col("place") + 1).alias("place"), "a.capability", "a.title", "a.priority", "a.hours")
+    return F.slice(F.array_sort(F.filter(F.array(*acts, *more), lambda a: a["rank"] != 2)), 1, most)
 
 
-def assessment(profiles: DataFrame, now: str) -> DataFrame:
-    """Strengths and constraints of each profile, at most three of either, with their numbers before that, and the year of its autumn season.
+def action_ranking(profiles: DataFrame, most: int = 3) -> DataFrame:
+    """The first actions of each profile."""
+    return profiles.select("profile_id", F.posexplode(ranked_actions(most)).alias("place", "a")).select("profile_id", (F.col("place") + 1).alias("place"), "a.capability", "a.title", "a.priority", "a.hours")
 
-    profiles: with school, school_known, strict_total, targeted_total,
-    preferred_count (jobs in the preferred regions).
-    """
+
+def judged(now: str) -> dict[str, Column]:
+    """The columns of P12, from school, school_known, strict_total, targeted_total and preferred_count (jobs in the preferred regions)."""
     year = F.year(F.lit(now).cast("date"))
     strict = F.col("strict_total") > 0
     strengths = F.array_compact(F.array(F.when(F.col("school_known"), "school"), F.when(strict, "entry"), F.when(F.col("graduation_year") > year, "window")))
@@ -71,10 +75,15 @@ def assessment(profiles: DataFrame, now: str) -> DataFrame:
         gaps, F.array_compact(F.array(F.when(wants & (F.col("preferred_count") == 0), "city"))),
     )
     constraints = F.when(F.size(constraints) > 0, constraints).otherwise(F.array(F.lit("no_direction")))
-    return profiles.select(
-        "profile_id", F.slice(strengths, 1, 3).alias("strengths"), F.size(strengths).alias("n_strengths"), F.slice(constraints, 1, 3).alias("constraints"), F.size(constraints).alias("n_constraints"),
-        F.greatest(year, F.col("graduation_year") - 1).alias("autumn_year"),
-    )
+    return {
+        "strengths": F.slice(strengths, 1, 3), "n_strengths": F.size(strengths), "constraints": F.slice(constraints, 1, 3), "n_constraints": F.size(constraints),
+        "autumn_year": F.greatest(year, F.col("graduation_year") - 1),
+    }
+
+
+def assessment(profiles: DataFrame, now: str) -> DataFrame:
+    """Strengths and constraints of each profile, at most three of either, with their numbers before that, and the year of its autumn season."""
+    return profiles.select("profile_id", *(c.alias(k) for k, c in judged(now).items()))
 
 
 def plain_name(c: Column) -> Column:

@@ -59,6 +59,17 @@ def candidates(terms: DataFrame, docs: DataFrame, sizes: tuple[int, ...] = (GRAM
     return seen.join(rarest, "gram").select("term", "doc_id")
 
 
+def texts_with(words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(word, t) of the distinct texts (t) that have a word (word; case counts).
+
+    Words find texts by their rarest gram, so that neither side is broadcast.
+    Empty and null words are in no text.
+    """
+    words, kinds = words.where("word <> ''").distinct(), texts.select("t").distinct().withColumn("doc_id", F.xxhash64("t"))
+    near = candidates(words.select(F.lower("word").alias("term")).distinct(), kinds.select("doc_id", F.col("t").alias("title"), F.lit("").alias("content")), (1, 2, GRAM))
+    return near.join(words, F.col("term") == F.lower("word")).join(kinds, "doc_id").where(F.col("t").contains(F.col("word"))).select("word", "t").distinct()
+
+
 def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(request_id, doc_id, rank, place) of each request's best documents by BM25 over its terms as phrases.
 

@@ -125,9 +125,7 @@ _ASKED = QJ.JOBS_N + f""", p AS (SELECT DISTINCT major, {QJ.CODE} AS code, gradu
   UNION ALL SELECT pool_key, 1, concat('专业分类 ', code), total FROM k LEFT JOIN cc USING (code) WHERE code IS NOT NULL
   UNION ALL SELECT pool_key, q, concat('关键词 ', word), total FROM n LEFT JOIN cw USING (word))
  SELECT pool_key, CAST(q AS INT) AS q, label, coalesce(total, 0) AS total, least(coalesce(total, 0), 100) AS returned FROM a"""
-_add("l02_decision_pool", lambda s, d: L.decision_pool(QJ.jobs(s, d), _coded(s, d)))
 _add("l03_query_summaries", lambda s, d: L.query_summaries(QJ.jobs(s, d), _coded(s, d)), _ASKED, "jobs_v", "profiles_v")
-_add("l03_sample_limited", lambda s, d: L.sample_limited(L.decision_pool(QJ.jobs(s, d), _coded(s, d)), L.query_summaries(QJ.jobs(s, d), _coded(s, d))))
 _add(
     "b05_valid_profiles",
     lambda s, d: L.minimised(L.valid_profiles(QJ.profiles(s, d)).where("rejected is null")),

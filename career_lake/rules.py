@@ -159,6 +159,21 @@ DIRECTIONS = {
         ("comprehensive-management", "综合|行政|人力|党务|文秘|办公室|管理培训|管培"),
     ],
 }
+DIRECTION_LABELS = {
+    "hospitality-cultural-tourism": "酒店与文旅运营",
+    "customer-service-reception": "客户服务与接待",
+    "commercial-operation-planning": "商业运营与活动策划",
+    "comprehensive-support": "综合管理与职能支持",
+    "power-grid-operation": "电网运行与调度",
+    "power-generation-energy": "发电与新能源",
+    "electrical-engineering": "电气设计与工程实施",
+    "automation-research": "自动化研发与试验",
+    "technology-research": "技术研发与数字化",
+    "operations-service": "运营与客户服务",
+    "market-business": "市场与商务拓展",
+    "finance-risk": "财务金融与风控",
+    "comprehensive-management": "综合管理与职能支持",
+}
 SIGNALS = {
     "intensity": [("值班或倒班", "倒班|轮班|夜班|值班|备班|抢修|应急响应"), ("出差或驻场", "出差|驻场|驻外|项目现场|施工现场"), ("野外或高空作业", "野外|高空|井下|海上作业")],
     "development": [("培训或导师", "导师制|导师|培训体系|入职培训|培养计划|人才培养"), ("轮岗培养", "轮岗|轮训"), ("晋升或专业序列", "晋升|职级|技术序列|专业序列|管理序列")],
