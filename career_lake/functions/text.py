@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,3 +48,6 @@ def lookup(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from career_lake import rules
+from career_lake.functions.text import let
 from career_lake.operators.facts import compact
 from career_lake.operators.relations import entity_text, entity_variants, names_entity
 
@@ -115,27 +116,43 @@ def evidence_terms(query: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(facets, latin, F.flatten(F.transform(runs, grams)))), 1, TERMS)
 
 
+def _places(text: Column, t: Column) -> Column:
+    """All places of a term, by the lengths of what lies between its occurrences."""
+    parts = F.split(text, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(t)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out"))
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), zero, step, lambda a: a["out"])
+
+
+def window_start(text: Column, terms: Column, most: Column) -> Column:
+    """Where the window of `most` characters begins that holds the most terms."""
+    n = F.length(text)
+    back = F.floor(most * 0.28).cast("int")
+    long = F.filter(terms, lambda t: F.length(t) >= 2)
+    starts = F.array_distinct(F.transform(F.concat(F.array(F.lit(0)), F.flatten(F.transform(long, lambda t: _places(text, t)))), lambda a: F.greatest(F.lit(0), F.least(n - most, a - back))))
+    score = lambda s: F.aggregate(F.filter(terms, lambda t: text.substr(s + 1, most).contains(t)), F.lit(0).cast("long"), lambda a, t: a + 1_000_000 + F.length(t) * F.length(t))
+    best = F.array_min(F.transform(starts, lambda s: F.struct((-score(s)).alias("score"), s.alias("start"))))["start"]
+    return F.when(n > most, best).otherwise(0)
+
+
+def cut_window(text: Column, start: Column, most: Column) -> Column:
+    """The window from start, with ellipses for what is cut."""
+    n = F.length(text)
+    left, right = start > 0, start + most < n
+    cut = F.concat(F.when(left, "…").otherwise(""), text.substr(start + F.when(left, 2).otherwise(1), most - F.when(left, 1).otherwise(0) - F.when(right, 1).otherwise(0)), F.when(right, "…").otherwise(""))
+    return F.when(n <= most, text).otherwise(cut)
+
+
+def window_of(text: Column, terms: Column, most: Column) -> Column:
+    """A05 on columns; the start is found once."""
+    return let(window_start(text, terms, most), lambda s: cut_window(text, s, most))
+
+
 def best_windows(pairs: DataFrame, most: int) -> DataFrame:
     """pairs(pair_id, content, terms) with the window of `most` characters that holds the most terms.
 
     A window begins 28 % before an occurrence of a term, or at the start; more
     terms win, then longer ones, then the earlier window. Ellipses mark cuts.
     """
-    text, n = F.col("content"), F.length("content")
-    back = int(most * 0.28)
-
-    def places(t: Column) -> Column:
-        """All places of a term, by the lengths of what lies between its occurrences."""
-        parts = F.split(text, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        step = lambda a, p: F.struct((a["at"] + F.length(p) + F.length(t)).alias("at"), F.array_append(a["out"], a["at"] + F.length(p)).alias("out"))
-        return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), zero, step, lambda a: a["out"])
-
-    long = F.filter("terms", lambda t: F.length(t) >= 2)
-    starts = F.array_distinct(F.transform(F.concat(F.array(F.lit(0)), F.flatten(F.transform(long, places))), lambda a: F.greatest(F.lit(0), F.least(n - most, a - back))))
-    score = lambda s: F.aggregate(F.filter("terms", lambda t: text.substr(s + 1, F.lit(most)).contains(t)), F.lit(0).cast("long"), lambda a, t: a + 1_000_000 + F.length(t) * F.length(t))
-    best = F.array_min(F.transform(starts, lambda s: F.struct((-score(s)).alias("score"), s.alias("start"))))["start"]
-    p = pairs.withColumn("start", F.when(n > most, best).otherwise(0))
-    left, right = F.col("start") > 0, F.col("start") + most < n
-    cut = F.concat(F.when(left, "…").otherwise(""), text.substr(F.col("start") + F.when(left, 2).otherwise(1), F.lit(most) - F.when(left, 1).otherwise(0) - F.when(right, 1).otherwise(0)), F.when(right, "…").otherwise(""))
-    return p.select("pair_id", "start", F.when(n <= most, text).otherwise(cut).alias("window"))
+    p = pairs.withColumn("start", window_start(F.col("content"), F.col("terms"), F.lit(most)))
+    return p.select("pair_id", "start", cut_window(F.col("content"), F.col("start"), F.lit(most)).alias("window"))

@@ -382,3 +382,36 @@ EVIDENCE_FACETS = [
     ("专业|学科", ["需求学科", "招聘专业", "需求专业", "急需紧缺专业", "专业要求"]),
     ("城市|地点|地区", ["工作地点", "工作城市", "城市", "地点"]),
 ]
+
+# Facets that a search request can ask for: what asks, and the labels that answer.
+QUERY_FACETS = [
+    ("招聘对象|面向|毕业生|哪一届|年级|届别|应届", ["招聘对象", "面向对象", "高校毕业生", "应届毕业生", "毕业生"]),
+    ("学历|学位|本科|硕士|博士|专科|大专", ["学历要求", "最低学历", "本科", "硕士", "博士", "专科", "大专"]),
+    ("年龄|年龄上限|年龄要求|多少岁|几岁", ["年龄要求", "博士研究生年龄", "硕士研究生年龄", "本科及职业学院毕业生年龄", "不超过35岁", "不超过30岁", "不超过26岁"]),
+    ("(?i)外语|英语水平|英语要求|雅思|托福", ["外语水平要求", "雅思", "托福"]),
+    ("(?i)四级|CET[\\s-]?4", ["大学英语四级", "四级考试", "CET4", "CET-4"]),
+    ("(?i)六级|CET[\\s-]?6", ["大学英语六级", "六级考试", "CET6", "CET-6"]),
+    ("专业|学科|技术方向|研发方向", ["需求学科", "招聘专业", "需求专业", "急需紧缺专业", "专业要求", "技术方向", "引才方向"]),
+    ("岗位类别|岗位类型|岗位种类|有哪些岗位", ["岗位类别", "招聘岗位", "技术类", "市场类", "综合类"]),
+    ("工作城市|工作地点|城市|地点|地区", ["工作地点", "工作城市", "招聘地区", "城市", "地点"]),
+    ("报名|申请|投递|简历|网申|入口|官网|网站|邮箱", ["简历投递", "投递简历", "投递方式", "报名方式", "投递入口", "报名入口", "招聘官网", "www."]),
+    ("薪酬|福利|待遇|补贴|户口|公寓", ["薪酬福利", "福利待遇", "福利保障", "六险两金", "七险两金", "人才补贴", "人才公寓", "员工公寓"]),
+    ("毕业时间|毕业日期|境内外|留学生|学历认证", ["毕业时间", "毕业证时间", "境内高校", "国（境）内高校", "国（境）外高校", "学历认证"]),
+    ("招聘流程|招聘程序|流程|程序|笔试|面试", ["招聘流程", "招聘程序", "笔试", "面试", "资格审查"]),
+    ("招聘批次|如何分批|分几批|批次", ["招聘批次", "四批次招聘", "国调网调提前批", "第一批", "第二批", "第三批"]),
+    ("单位志愿|二级单位|三级单位|四级单位|(?:几个|多少).{0,6}(?:招聘)?单位|最多.{0,8}(?:招聘)?单位|应聘.{0,6}(?:招聘)?单位", ["二级单位志愿", "不超过3个", "三级单位", "四级单位", "可选择2个", "最多可应聘2家招聘单位", "应聘2家招聘单位"]),
+    ("笔试时间|考试时间|考试安排|何时笔试|什么时候笔试", ["统一笔试时间", "笔试时间", "组织招聘笔试", "统一笔试"]),
+    ("招聘单位|单位分布|下属单位|所属单位|成员企业", ["招聘单位", "单位分布", "所属单位", "成员企业"]),
+    ("交通|食宿|后勤", ["往返交通", "全程食宿", "统一安排", "后勤保障"]),
+    ("截止|截至|还可以报名|还能报名", ["报名截止时间", "投递截止时间", "截止时间", "截止日期"]),
+    ("几个岗位|报考|投递次数|几个意向|投几个", ["只能报考一个岗位", "1次投递", "一次投递", "1个意向", "投递次数"]),
+]
+
+# Excerpts of evidence: labels of sections, of which the first group also begins a sentence, and marks where a page's text ends.
+SENTENCE_LABELS = [
+    "招聘对象", "面向对象", "报名方式", "报名时间", "简历投递", "投递简历", "投递入口", "招聘官网", "招聘门户", "报名截止时间", "投递截止时间", "往返交通", "全程食宿",
+    "薪酬福利", "福利保障", "工作地点", "需求学科", "招聘专业", "需求专业", "急需紧缺专业", "专业要求", "引才方向", "投递要求", "年龄要求", "外语水平要求",
+    "大学英语四级", "大学英语六级", "招聘批次", "二级单位志愿", "统一笔试时间", "笔试时间", "组织招聘笔试",
+]
+STRUCTURAL_LABELS = [*SENTENCE_LABELS, "工作城市", "技术方向"]
+PAGE_ENDS = ["（责任编辑", "网站声明", "版权所有："]
