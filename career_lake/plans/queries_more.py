@@ -14,6 +14,7 @@ from career_lake.plans.bindings import NOW, oracle, view
 from career_lake.plans.queries_corpus import ROLE
 from career_lake.session import table
 from career_lake.streaming import folds as Z
+from career_lake.streaming import quota as ZQ
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,6 +173,12 @@ _add(
     "z03_request_quota",
     lambda s, d: Z.request_quota(table(s, d, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 20).cast("string").alias("address"), F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").cast("double").alias("ts"))).groupBy("allowed").agg(F.count("*").alias("requests")),
 )
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """Events as requests; now and then a session's request comes from the next address."""
+    return table(s, d, "events").select(F.col("event_id").alias("request_id"), ((F.col("user_id") + (F.col("event_id") % 97 == 0).cast("int")) % 20).cast("string").alias("address"), F.col("user_id").cast("string").alias("session"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+_add("z03_quota_by_address", lambda s, d: ZQ.quota_by_address(_requests(s, d)).select("request_id", "address", "session", "error", "allowed"))
 _add(
     "z06_sync_health",
     lambda s, d: Z.sync_health(view(s, d, "sync_events_v"), "1 day").select(F.col("start").cast("date").cast("string").alias("day"), "events", "errors", "changed"),
