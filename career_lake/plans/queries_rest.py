@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from career_lake.plans.bindings import NOW, oracle, view
 from career_lake.plans.queries_corpus import CANON
 from career_lake.session import table
 from career_lake.sources import readers as S
+from career_lake.streaming import ingest as ZI
 from career_lake.streaming import stateful as Z
 
 QUERIES: dict = {}
@@ -46,6 +48,31 @@ _add(
 _add("t03_extract_html", lambda s, d: T.extract_html(table(s, d, "pages")).select("page_id", "title", F.length("content").alias("n_chars"), F.size("links").alias("n_links"), "published_at"))
 
 
+def _bodies(s: SparkSession, d: str) -> DataFrame:
+    """Pages as bytes: UTF-8, GB18030 and UTF-16, of which only the last is declared; other declarations are wrong."""
+    pages = table(s, d, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    charset = F.when(F.col("page_id") % 3 == 2, "text/html; Charset=utf-16-le").when(F.col("page_id") % 2 == 0, "text/html; charset=no-such").otherwise("text/html")
+    coded = F.pandas_udf(lambda html, k: pd.Series([t.encode(("utf-8", "gb18030", "utf-16-le")[i % 3]) for t, i in zip(html, k, strict=True)]), "binary")
+    return pages.select("page_id", "url", coded("html", "page_id").alias("body"), charset.alias("content_type"))
+
+
+_add("t03_decoded_pages", lambda s, d: T.decode_pages(_bodies(s, d)).select("page_id", F.sha2("html", 256).alias("text_hash"), F.length("html").cast("long").alias("n_chars")), "SELECT page_id, sha256(coalesce(html, '')) AS text_hash, length(coalesce(html, '')) AS n_chars FROM pages")
+
+
+def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """A run over all pages, each host a source, on a corpus that holds a shorter text of every third document."""
+    p = _bodies(s, d).withColumn("source_id", C.host(F.col("url")))
+    none = F.lit(None).cast("array<string>")
+    sources = p.select("source_id").distinct().select("source_id", F.concat(F.lit("https://"), "source_id", F.lit("/")).alias("url"), none.alias("allowed_hosts"), none.alias("include_paths"), F.array(F.lit("/page/1")).alias("exclude_paths"))
+    docs = ZI.fetched_documents(p, sources)
+    held = docs.where("crc32(document_id) % 3 = 0").withColumns({"content": F.expr("substring(content, 1, CAST(length(content) / 3 AS INT))"), "version_no": F.lit(1), "reasons": F.array().cast("array<string>"), "route": F.lit("upsert"), "status": F.lit("active")})
+    held = held.withColumn("content_hash", F.sha2("content", 256)).select(*(c.split()[0] for c in ZI.VERSION.split(", ")))
+    return ZI.routed(docs, held).select("canonical_url", "version_no", "role", "relation_type", F.array_join("reasons", ",").alias("reasons"), "route", "status")
+
+
+_add("z01_ingest_run", _ingested)
+
+
 def _edges(s: SparkSession, d: str) -> DataFrame:
     return C.link_edges(T.extract_html(table(s, d, "pages")))
 
