@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from career_lake.operators.facts import compact
@@ -70,19 +76,75 @@ def texts_with(words: DataFrame, texts: DataFrame) -> DataFrame:
     return near.join(words, F.col("term") == F.lower("word")).join(kinds, "doc_id").where(F.col("t").contains(F.col("word"))).select("word", "t").distinct()
 
 
+#: Terms that are looked for in one pass over the documents (at most 40 characters each).
+MOST_TERMS = 200_000
+#: The words and the automaton that this worker built last.
+_built: list[tuple[list[str], ahocorasick.Automaton]] = []
+
+
+def term_counts(terms: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, doc_id, in_title, in_content): how often each of the terms (term, folded to lower case) stands in docs(doc_id, title, content); only those that do.
+
+    One pass over the documents finds all terms at once by an automaton, so that
+    no text is shuffled and none is read once a term. At most about MOST_TERMS terms are
+    broadcast; more take so many passes more. Occurrences of a term do not overlap.
+    """
+    terms = terms.where("term <> ''").select("term").distinct()
+    passes = max(1, -(-terms.count() // MOST_TERMS))
+    texts = docs.select("doc_id", F.lower("title").alias("title"), F.lower("content").alias("content"))
+    schema = T.StructType([T.StructField("term", T.StringType()), docs.schema["doc_id"], T.StructField("in_title", T.LongType()), T.StructField("in_content", T.LongType())])
+    out = None
+    for k in range(passes):
+        words = sorted(r["term"] for r in terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k).collect())
+        shared = docs.sparkSession.sparkContext.broadcast(words)
+        found = texts.mapInArrow(_counter(shared), schema)
+        out = found if out is None else out.union(found)
+    return out
+
+
+def _counter(shared: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the broadcast words in batches of (doc_id, title, content)."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        if not _built or _built[0][0] is not words:
+            automaton = ahocorasick.Automaton()
+            for i, w in enumerate(words):
+                automaton.add_word(w, (i, len(w)))
+            automaton.make_automaton()
+            _built[:] = [(words, automaton)]
+        automaton = _built[0][1]
+        names = pa.array(words, pa.string())
+        for rb in it:
+            which, rows, title, content = [], [], [], []
+            for row, texts in enumerate(zip(rb.column(1).to_pylist(), rb.column(2).to_pylist(), strict=True)):
+                counts: dict[int, list[int]] = {}
+                for field, text in enumerate(texts):
+                    ends: dict[int, int] = {}
+                    for end, (i, n) in automaton.iter(text or "") if words else ():
+                        if end - n >= ends.get(i, -1):
+                            counts.setdefault(i, [0, 0])[field] += 1
+                            ends[i] = end
+                which += counts
+                rows += [row] * len(counts)
+                title += [c[0] for c in counts.values()]
+                content += [c[1] for c in counts.values()]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(which, pa.int64())), rb.column(0).take(pa.array(rows, pa.int64())), pa.array(title, pa.int64()), pa.array(content, pa.int64())], names=["term", "doc_id", "in_title", "in_content"])
+
+    return count
+
+
 def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(request_id, doc_id, rank, place) of each request's best documents by BM25 over its terms as phrases.
+    """The max(30, 10k) documents (200 at most) of each request by weighted BM25 of its terms.
 
     requests: (request_id, terms). docs: (doc_id, title, content). Title counts
     5, content 1; the lower the rank the better. Terms under 3 characters match
     nothing here.
     """
     asked = requests.select("request_id", F.explode(F.array_distinct(F.transform("terms", F.lower))).alias("term")).where(F.length("term") >= GRAM)
-    terms = asked.select("term").distinct()
-    times = lambda c: (F.length(F.lower(c)) - F.length(F.replace(F.lower(c), F.col("term"), F.lit("")))) / F.length("term")
-    found = candidates(terms, docs).join(docs.select("doc_id", "title", "content"), "doc_id")
-    found = found.select("term", "doc_id", (times("title") * TITLE_WEIGHT + times("content") * CONTENT_WEIGHT).alias("tf"), (F.length("title") + F.length("content")).alias("size")).where("tf > 0")
-    found = settle(found, "search-found")
+    tf = F.col("in_title") * TITLE_WEIGHT + F.col("in_content") * CONTENT_WEIGHT
+    sizes = docs.select("doc_id", (F.length("title") + F.length("content")).alias("size"))
+    found = settle(term_counts(asked, docs).select("term", "doc_id", tf.alias("tf")).join(sizes, "doc_id"), "search-found")
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.length("title") + F.length("content")).alias("mean")).first()
     n, mean = whole["n"] or 0, whole["mean"] or 1.0
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -97,12 +159,11 @@ def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 def like_search(requests: DataFrame, docs: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """For requests with fewer than k documents found, the newest others that contain one of the first 8 terms; rank 10.
 
-    requests: (request_id, terms). Terms find documents by their rarest gram.
+    requests: (request_id, terms).
     """
     enough = found.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("request_id")
     short = requests.join(enough, "request_id", "left_anti").select("request_id", F.explode(F.transform(F.slice("terms", 1, 8), F.lower)).alias("term")).where("term <> ''")
-    text = F.lower(F.concat_ws("\n", "title", "content"))
-    near = candidates(short.select("term").distinct(), docs, (GRAM, 2, 1)).join(docs.select("doc_id", "updated_at", text.alias("t")), "doc_id").where(F.col("t").contains(F.col("term")))
+    near = term_counts(short, docs).join(docs.select("doc_id", "updated_at"), "doc_id")
     hits = short.join(near.select("term", "doc_id", "updated_at"), "term").select("request_id", "doc_id", "updated_at").distinct()
     hits = hits.join(found.select("request_id", "doc_id"), ["request_id", "doc_id"], "left_anti")
     place = F.row_number().over(Window.partitionBy("request_id").orderBy(F.desc("updated_at"), "doc_id"))

@@ -56,19 +56,19 @@ BM25 = (
 , sc AS (SELECT hit.term, doc_id, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * {K.K1 + 1} / (tf + {K.K1} * ({1 - K.B} + {K.B} * size / mean)) AS part FROM hit JOIN dfs USING (term) CROSS JOIN st)
 , rk AS (SELECT request_id, doc_id, -round(sum(part), 6) AS rank FROM tq JOIN sc USING (term) GROUP BY ALL), fnd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, doc_id) AS place FROM rk) WHERE place <= 50)"""
 )
-_add("k03_bm25_search", lambda s, d: K.bm25_search(requests(s, d), library(s, d), 5).groupBy("request_id").agg(F.count("*").alias("found"), F.round(F.min("rank"), 3).alias("best")), BM25 + "SELECT request_id, count(*) AS found, round(min(rank), 3) AS best FROM fnd GROUP BY 1", "doc_versions_v")
+_add("k03_bm25_search", lambda s, d: K.bm25_search(requests(s, d), library(s, d), 5).select("request_id", "doc_id", F.round("rank", 3).alias("rank"), "place"), BM25 + "SELECT request_id, doc_id, round(rank, 3) AS rank, CAST(place AS INT) AS place FROM fnd", "doc_versions_v")
 
 
 def _short(s: SparkSession, d: str) -> DataFrame:
     r = requests(s, d)
     none = r.select("request_id", F.lit("").alias("doc_id")).limit(0)
-    return K.like_search(r, library(s, d), none, 2).groupBy("request_id").agg(F.count("*").alias("found"), F.max("place").alias("last"))
+    return K.like_search(r, library(s, d), none, 2).select("request_id", "doc_id", "place")
 
 
 _add(
     "k04_like_search",
     _short,
-    LIB + REQ + ", x AS (SELECT request_id, lower(unnest(terms[1:8])) AS term FROM rq), h AS (SELECT DISTINCT request_id, doc_id, updated_at FROM x JOIN lib ON contains(lower(concat_ws(chr(10), title, content)), term)), p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, doc_id) AS place FROM h) SELECT request_id, count(*) AS found, CAST(max(place) AS INT) AS last FROM p WHERE place <= 20 GROUP BY 1",
+    LIB + REQ + ", x AS (SELECT request_id, lower(unnest(terms[1:8])) AS term FROM rq), h AS (SELECT DISTINCT request_id, doc_id, updated_at FROM x JOIN lib ON contains(lower(concat_ws(chr(10), title, content)), term)), p AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY updated_at DESC, doc_id) AS place FROM h) SELECT request_id, doc_id, CAST(place AS INT) AS place FROM p WHERE place <= 20",
     "doc_versions_v",
 )
 _add(
@@ -84,7 +84,7 @@ _add(
 SELECT doc_id, sha256(CASE WHEN length(t) <= 1000 THEN t ELSE concat(CASE WHEN s > 0 THEN '…' ELSE '' END, t[s + 1 : least(length(t), s + 1000)], CASE WHEN s + 1000 < length(t) THEN '…' ELSE '' END) END) AS snippet_hash FROM w""",
     "doc_versions_v",
 )
-_add("k09_local_results", lambda s, d: K.local_results(K.bm25_search(requests(s, d), library(s, d), 5), 5).groupBy("request_id").agg(F.count("*").alias("found"), F.round(F.max("score"), 3).alias("best")), BM25 + "SELECT request_id, count(*) AS found, round(max(1 / (1 + ln(1 + abs(rank)))), 3) AS best FROM fnd WHERE place <= 5 GROUP BY 1", "doc_versions_v")
+_add("k09_local_results", lambda s, d: K.local_results(K.bm25_search(requests(s, d), library(s, d), 5), 5).select("request_id", "doc_id", F.round("score", 3).alias("score")), BM25 + "SELECT request_id, doc_id, round(1 / (1 + ln(1 + abs(rank))), 3) AS score FROM fnd WHERE place <= 5", "doc_versions_v")
 
 
 def targets(s: SparkSession, d: str) -> DataFrame:
