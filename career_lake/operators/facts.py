@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from career_lake import rules
+from career_lake.functions.text import let
 
 _NONE = "array<string>"
 
@@ -56,7 +57,7 @@ def _last_deadline(clause: Column) -> Column:
     return F.when(F.size(_all(clause, either)) > 0, F.concat(F.when(full, _date(token)).otherwise(short), time))
 
 
-def deadlines(text: Column) -> Column:
+def deadlines(text: Column, lines: Column | None = None) -> Column:
     """last dates of clauses in deadline context; a dateless context clause lends its context to the next."""
 
     def of_sentence(s: Column) -> Column:
@@ -73,28 +74,31 @@ def deadlines(text: Column) -> Column:
 
         return F.aggregate(F.split(s, "[,，]"), start, step, lambda a: a["found"])
 
-    return _sorted(F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(rules.DEADLINE_CONTEXT)), of_sentence)))
+    return _sorted(F.flatten(F.transform(F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.DEADLINE_CONTEXT)), of_sentence)))
 
 
-def minimum_degree(text: Column) -> Column:
+def minimum_degree(text: Column, lines: Column | None = None) -> Column:
     """the lowest degree named in degree context."""
-    told = F.filter(sentences(text), lambda s: s.rlike(rules.DEGREE_CONTEXT))
-    named = lambda pattern: F.exists(told, lambda s: s.rlike(pattern))
-    out = None
-    for degree, pattern in rules.DEGREE_FACTS:
-        has = named(pattern)
-        out = F.when(has, degree) if out is None else out.when(has, degree)
-    return out
+
+    def lowest(told: Column) -> Column:
+        out = None
+        for degree, pattern in rules.DEGREE_FACTS:
+            has = told.rlike(pattern)
+            out = F.when(has, degree) if out is None else out.when(has, degree)
+        return out
+
+    told = F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.DEGREE_CONTEXT))
+    return let(F.array_join(told, "\n"), lowest)
 
 
-def graduation_years(text: Column) -> Column:
+def graduation_years(text: Column, lines: Column | None = None) -> Column:
     """years before 届 in graduation context; both ends of a range."""
-    told = F.filter(sentences(text), lambda s: s.rlike(rules.GRADUATION_CONTEXT))
+    told = F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.GRADUATION_CONTEXT))
     years = F.flatten(F.transform(told, lambda s: F.concat(_all(s, rules.GRADUATION_YEAR, 1), _all(s, rules.GRADUATION_YEAR, 2))))
     return _sorted(F.filter(years, lambda y: y != ""))
 
 
-def audiences(title: Column, text: Column) -> Column:
+def audiences(title: Column, text: Column, lines: Column | None = None) -> Column:
     """labels of who may apply; matches of special graduates hide the general one; the title is the fallback."""
 
     def of_sentence(s: Column) -> Column:
@@ -109,7 +113,7 @@ def audiences(title: Column, text: Column) -> Column:
             when(s.contains("系统内人员"), "系统内人员"), when(s.contains("系统外人员"), "系统外人员"), when(s.contains("在职人员"), "在职人员"), when(s.contains("退役军人"), "退役军人"),
         )
 
-    found = _sorted(F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(rules.AUDIENCE_CONTEXT)), of_sentence)))
+    found = _sorted(F.flatten(F.transform(F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.AUDIENCE_CONTEXT)), of_sentence)))
     fallback = F.when(title.rlike("校园招聘|校招|高校毕业生招聘"), F.array(F.lit("高校毕业生"))).when(title.rlike("社会招聘|社招|面向社会公开招聘"), F.array(F.lit("社会人员"))).otherwise(F.array().cast(_NONE))
     return F.when(F.size(found) > 0, found).otherwise(fallback)
 
@@ -184,15 +188,17 @@ def headcounts(text: Column) -> Column:
 
 def lifecycle(title: Column, text: Column) -> Column:
     """withdrawn, resumed, paused, delayed, corrected, from the title or the first 500 characters."""
-    head, lead = compact(title), F.substring(text, 1, 500)
-    out = []
-    for status, p in rules.LIFECYCLE.items():
-        named = head.rlike(p)
-        if status == "withdrawn":
-            named = named | (~head.rlike(rules.NEGATED_WITHDRAWAL) & head.rlike(rules.PARTIAL_TITLE))
-        told = lead.rlike(rules.APPLIED_CORRECTION if status == "corrected" else p) & lead.rlike(rules.RECRUITMENT_CONTEXT)
-        out.append(F.when(named | told, status))
-    return F.array_compact(F.array(*out))
+
+    def status(name: str, p: str, head: Column, lead: Column) -> Column:
+        words = rules.LIFECYCLE_WORDS[name]
+        named = head.rlike(words) & head.rlike(p)
+        if name == "withdrawn":
+            named = named | (head.rlike(words) & ~head.rlike(rules.NEGATED_WITHDRAWAL) & head.rlike(rules.PARTIAL_TITLE))
+        told = lead.rlike(words) & lead.rlike(rules.APPLIED_CORRECTION if name == "corrected" else p) & lead.rlike(rules.RECRUITMENT_CONTEXT)
+        return F.when(named | told, name)
+
+    found = lambda head, lead: F.array_compact(F.array(*(status(name, p, head, lead) for name, p in rules.LIFECYCLE.items())))
+    return let(compact(title), lambda head: let(F.substring(text, 1, 500), lambda lead: found(head, lead)))
 
 
 def _either_dates(c: Column) -> Column:
@@ -208,7 +214,7 @@ def _first_label(c: Column, found: list[tuple[str, str]], other: str) -> Column:
     return out.otherwise(other)
 
 
-def graduation_dates(text: Column) -> Column:
+def graduation_dates(text: Column, lines: Column | None = None) -> Column:
     """scope:kind and the dates between, from or until which diplomas or their recognition count."""
     scope = lambda c: _first_label(F.translate(F.regexp_replace(c, " ", ""), "（）", "()"), rules.GRADUATION_SCOPES, "通用")
 
@@ -226,7 +232,7 @@ def graduation_dates(text: Column) -> Column:
 
         return F.transform(F.split(s, rules.GRADUATION_CLAUSE), of_clause)
 
-    return _sorted(F.array_compact(F.flatten(F.transform(F.filter(sentences(text), lambda s: s.rlike(rules.GRADUATION_DATE_CONTEXT)), of_sentence))))
+    return _sorted(F.array_compact(F.flatten(F.transform(F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.GRADUATION_DATE_CONTEXT)), of_sentence))))
 
 
 def _assessment_types(c: Column) -> Column:
@@ -234,7 +240,7 @@ def _assessment_types(c: Column) -> Column:
     return F.when((F.size(named) == 0) & c.contains("考试"), F.array(F.lit("考试"))).otherwise(named)
 
 
-def assessment_dates(text: Column) -> Column:
+def assessment_dates(text: Column, lines: Column | None = None) -> Column:
     """kind:certainty=date or range of tests and interviews; language tests, certificates and fees are none."""
 
     def of_clause(c: Column) -> Column:
@@ -246,7 +252,7 @@ def assessment_dates(text: Column) -> Column:
         found = F.flatten(F.transform(types, lambda t: F.transform(when, lambda d: F.concat(t, sure, d))))
         return F.when(out | unclear | (F.size(dates) == 0), F.array().cast(_NONE)).otherwise(found)
 
-    told = F.filter(sentences(text), lambda s: s.rlike("笔试|面试|测评|考试") & s.rlike(rules.ASSESSMENT_CUE))
+    told = F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike("笔试|面试|测评|考试") & s.rlike(rules.ASSESSMENT_CUE))
     return _sorted(F.flatten(F.flatten(F.transform(told, lambda s: F.transform(F.split(s, "[,，]"), of_clause)))))
 
 
@@ -322,7 +328,7 @@ def plain_address(c: Column) -> Column:
     return F.when(host.contains(".") & ~authority.contains("@"), out)
 
 
-def application_channels(text: Column) -> Column:
+def application_channels(text: Column, lines: Column | None = None) -> Column:
     """addresses and mailboxes near words of application, or behind a login and before an application."""
 
     def of_sentence(s: Column) -> Column:
@@ -335,7 +341,7 @@ def application_channels(text: Column) -> Column:
         sites = F.filter(spans(s, rules.URL), lambda t: free(t) & (near(t) | action(t)))
         return F.concat(F.transform(mails, lambda m: F.concat(F.lit("邮箱="), F.lower(m["text"]))), F.transform(sites, lambda t: F.concat(F.lit("网址="), plain_address(t["text"]))))
 
-    told = F.filter(sentences(text), lambda s: s.rlike(rules.CHANNEL_CONTEXT) | s.rlike("报名|投递|网申|申请"))
+    told = F.filter(sentences(text) if lines is None else lines, lambda s: s.rlike(rules.CHANNEL_CONTEXT) | s.rlike("报名|投递|网申|申请"))
     return _sorted(F.array_compact(F.flatten(F.transform(told, of_sentence))))
 
 
@@ -348,14 +354,17 @@ FACETS = [
 def with_facts(docs: DataFrame) -> DataFrame:
     """F16: docs(title, content, ...) with a struct of facets; each a sorted array of texts."""
     docs = docs.withColumn("compact", compact(F.col("content")))
-    c, t = F.col("compact"), F.col("title")
-    degree = minimum_degree(c)
+    docs = docs.withColumn("sentences", sentences(F.col("compact")))
+    c, t, raw, lines = F.col("compact"), F.col("title"), F.col("content"), F.col("sentences")
+    degree = minimum_degree(c, lines)
+    none = F.array().cast(_NONE)
     facts = {
-        "deadlines": deadlines(c), "minimum_degree": F.when(degree.isNotNull(), F.array(degree)).otherwise(F.array().cast(_NONE)), "graduation_years": graduation_years(c), "graduation_dates": graduation_dates(c), "recruitment_audiences": audiences(t, c), "assessment_dates": assessment_dates(c),
+        "deadlines": deadlines(c, lines), "minimum_degree": let(degree, lambda d: F.when(d.isNotNull(), F.array(d)).otherwise(none)), "graduation_years": graduation_years(c, lines), "graduation_dates": graduation_dates(c, lines), "recruitment_audiences": audiences(t, c, lines), "assessment_dates": assessment_dates(c, lines),
         "application_limits": F.transform(application_limits(c), lambda x: x.cast("string")), "age_requirements": age_requirements(c),
-        "experience_requirements": experience_requirements(c), "language_requirements": language_requirements(c), "major_requirements": major_requirements(F.col("content")), "work_locations": work_locations(F.col("content")), "recruitment_headcounts": headcounts(c), "application_channels": application_channels(c), "lifecycle": lifecycle(t, c),
+        "experience_requirements": experience_requirements(c), "language_requirements": language_requirements(c), "major_requirements": major_requirements(raw), "work_locations": work_locations(raw), "recruitment_headcounts": headcounts(c), "application_channels": application_channels(c, lines), "lifecycle": lifecycle(t, c),
     }
-    return docs.withColumn("facts", F.struct(*(v.alias(k) for k, v in facts.items())))
+    gated = {k: F.when(c.rlike(rules.FACET_GATES[k]), v).otherwise(none) if k in rules.FACET_GATES else v for k, v in facts.items()}
+    return docs.withColumn("facts", F.struct(*(v.alias(k) for k, v in gated.items()))).drop("sentences")
 
 
 def fact_table(docs: DataFrame) -> DataFrame:

@@ -383,6 +383,15 @@ EVIDENCE_FACETS = [
     ("城市|地点|地区", ["工作地点", "工作城市", "城市", "地点"]),
 ]
 
+# What a text must hold for a facet's patterns to find anything: they are tried on no other text.
+FACET_GATES = {
+    "application_limits": "每人", "age_requirements": "年龄.*岁", "assessment_dates": "笔试|面试|测评|考试", "language_requirements": "英语|(?i:CET)", "major_requirements": "专业|学科",
+    "experience_requirements": "(?:工作|从业|任职|经验|经历|年限|满|不少于|至少|不低于)[^。；;、，]{0,20}年|年[^。；;、，]{0,20}(?:工作|从业|任职)", "application_channels": "(?i)[A-Z0-9.-]\\.[A-Z]{2}",
+}
+LIFECYCLE_WORDS = {
+    "withdrawn": "撤回|撤销|取消|终止|核减|调减|减少", "resumed": "恢复|重新启动|重启", "paused": "暂停|暂缓", "delayed": "延期|延长|截止时间调整", "corrected": "更正|修订|调整|补充公告|为准",
+}
+
 # Facets that a search request can ask for: what asks, and the labels that answer.
 QUERY_FACETS = [
     ("招聘对象|面向|毕业生|哪一届|年级|届别|应届", ["招聘对象", "面向对象", "高校毕业生", "应届毕业生", "毕业生"]),
