@@ -59,6 +59,63 @@ def evaluate_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
     return a.select("case_id", failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
 
 
+_HOST = "(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+
+
+def evaluate_facts(cases: DataFrame, responses: DataFrame) -> DataFrame:
+    """W01, whole: (case_id, failures, passed) of cases and what was answered.
+
+    cases: rows of the shape FACTUAL_CASE, as columns. responses: (case_id,
+    status int, available, evidence_retrieved boolean, error_code, answer string,
+    citations array<struct<id, url>>, cited_ids array<string>).
+
+    A claim with a scope is judged in its own clause: a clause that names a
+    guard's subject and its claim must hold one of its qualifiers. An inline
+    marker must stand for a citation that the answer declares, and a declared id
+    for a citation. Failures carry what they concern behind a colon. A case
+    without response fails by its status; null lists are empty.
+    """
+    none = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(F.col(c), none)
+    r = cases.join(responses.withColumnRenamed("case_id", "id"), "id", "left")
+    cites = F.coalesce("citations", F.array().cast("array<struct<id:string,url:string>>"))
+    r = r.withColumns({"answer": F.coalesce("answer", F.lit("")), "citations": cites, "cited_ids": words("cited_ids")})
+    r = r.withColumn("used", F.filter("citations", lambda c: F.array_contains("cited_ids", c["id"])))
+    r = r.withColumn("clauses", F.filter(F.transform(F.split("answer", "[\\n。；;]"), F.trim), lambda x: x != ""))
+    grounded = F.coalesce("expectedEvidenceRetrieved", F.lit(False))
+    hidden = ~F.coalesce("expectedAvailable", F.lit(False))
+    named = lambda name, values: F.transform(values, lambda v: F.concat(F.lit(f"{name}:"), v.cast("string")))
+    if_ = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.array(F.lit(name))).otherwise(none)
+    urls = F.array_distinct(F.concat(F.array_compact(F.array("expectedCitationUrlIncludes")), words("requiredCitationUrlIncludes")))
+    has = lambda t: F.col("answer").contains(t)
+    hosts = words("allowedCitationHosts")
+    strange = F.exists("used", lambda c: ~F.coalesce(F.array_contains(hosts, F.nullif(F.lower(F.regexp_extract(c["url"], _HOST, 1)), F.lit(""))), F.lit(False)))
+    guards = F.coalesce("scopedClaimGuards", F.array().cast("array<struct<subjectTerms:array<string>,claimTerm:string,requiredQualifierTerms:array<string>>>"))
+    unqualified = lambda g: F.exists("clauses", lambda s: F.exists(g["subjectTerms"], lambda t: s.contains(t)) & s.contains(g["claimTerm"]) & ~F.exists(g["requiredQualifierTerms"], lambda t: s.contains(t)))
+    bound = lambda i: F.coalesce(F.array_contains("cited_ids", F.get("citations", i - 1)["id"]), F.lit(False))
+    failures = F.concat(
+        if_(~F.col("status").eqNullSafe(F.col("expectedStatus")), "status"),
+        if_(~F.col("available").eqNullSafe(F.col("expectedAvailable")), "available"),
+        if_(F.col("expectedEvidenceRetrieved").isNotNull() & ~F.col("evidence_retrieved").eqNullSafe(F.col("expectedEvidenceRetrieved")), "evidence_retrieved"),
+        if_((F.coalesce("expectedErrorCode", F.lit("")) != "") & ~F.col("error_code").eqNullSafe(F.col("expectedErrorCode")), "error_code"),
+        named("citation_url", F.filter(urls, lambda u: ~F.exists("used", lambda c: F.coalesce(c["url"].contains(u), F.lit(False))))),
+        if_(F.size("used") < F.col("minimumCitationCount"), "citation_count"),
+        if_((F.size(hosts) > 0) & strange, "citation_host"),
+        named("required_term", F.filter(words("requiredAnswerTerms"), lambda t: ~has(t))),
+        named("any_term", F.transform(F.filter(F.coalesce("requiredAnswerAnyOf", F.array().cast("array<array<string>>")), lambda ts: ~F.exists(ts, has)), lambda ts: F.array_join(ts, "/"))),
+        named("forbidden_term", F.filter(words("forbiddenAnswerTerms"), has)),
+        named("scoped_claim", F.transform(F.filter(guards, unqualified), lambda g: g["claimTerm"])),
+        F.when(grounded, F.concat(
+            if_(~F.col("answer").rlike("\\[资料\\d+\\]"), "no_marker"), if_(F.size("cited_ids") == 0, "no_cited_ids"),
+            named("marker", F.filter(cited(F.col("answer")), lambda i: ~bound(i))),
+            named("cited_id", F.filter("cited_ids", lambda x: ~F.exists("citations", lambda c: F.coalesce(c["id"] == x, F.lit(False))))),
+        )).otherwise(none),
+        if_(hidden & (F.size("citations") > 0), "exposed_citations"),
+        if_(hidden & (F.size("cited_ids") > 0), "exposed_cited_ids"),
+    )
+    return r.select(F.col("id").alias("case_id"), failures.alias("failures")).withColumn("passed", F.size("failures") == 0)
+
+
 def evaluation_summary(results: DataFrame) -> DataFrame:
     """Cases passed and failed, and failures of the infrastructure and of decisions."""
     infra = F.arrays_overlap("failures", F.array(F.lit("status"), F.lit("sources")))

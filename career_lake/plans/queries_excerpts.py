@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from career_lake import rules
+from career_lake.operators import evidence as A
 from career_lake.operators import excerpts as X
 from career_lake.plans import queries_retrieval as QK
 from career_lake.plans.bindings import VIEWS, oracle, view
+from career_lake.sources import nested as S
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +174,57 @@ _add(
 SELECT answer_id, grounded, CASE WHEN NOT grounded THEN array_to_string(list_concat(['{X.EVIDENCE_ONLY}'], extra), chr(10)) WHEN len(extra) = 0 THEN answer ELSE array_to_string(list_concat([answer, '', '{X.APPENDIX}'], extra), chr(10)) END AS answer, array_to_string(list_filter(refs, lambda v, i: list_position(refs, v) = i), ',') AS cited_sources FROM o""",
     "evidence_v",
 )
+
+
+# ---- S05 and W01 ---------------------------------------------------------
+
+VIEWS |= {
+    "cases_v": """
+SELECT CAST(c_custkey AS STRING) AS source, c_custkey AS k, CASE WHEN c_custkey % 13 = 0 THEN 'no json' WHEN c_custkey % 19 = 0 THEN '[]' ELSE translate(concat('⟨"version":"1","cases":[⟨"id":"', CASE WHEN c_custkey % 23 = 0 THEN ' ' ELSE CAST(c_custkey AS STRING) END,
+ '","message":"m","profile":⟨"degreeLevel":"bachelor","graduationYear":', CASE WHEN c_custkey % 17 = 0 THEN '"soon"' ELSE CAST(2025 + c_custkey % 4 AS STRING) END, '⟩,"expectedStatus":200,"expectedAvailable":true,"expectedEvidenceRetrieved":', CASE WHEN c_custkey % 4 = 3 THEN 'false' ELSE 'true' END,
+ ',"requiredCitationUrlIncludes":["/c', CAST(c_custkey % 3 AS STRING), '/"],"minimumCitationCount":', CAST(c_custkey % 3 AS STRING), ',"allowedCitationHosts":["h', CAST(c_custkey % 2 AS STRING), '.example.com","g.example.com"],"requiredAnswerTerms":["工作地点","', c_mktsegment, '"],"requiredAnswerAnyOf":[["甲","乙"],["投递","报名"]],"forbiddenAnswerTerms":["保证"],
+"scopedClaimGuards":[⟨"subjectTerms":["甲计划","丙"],"claimTerm":"1次投递","requiredQualifierTerms":["未说明","仅乙"]⟩]⟩,⟨"id":"again"⟩,⟨"id":"again"⟩]⟩'), '⟨⟩', concat(chr(123), chr(125))) END AS text,
+ CASE WHEN c_custkey % 11 = 0 THEN 500 ELSE 200 END AS status, c_custkey % 4 <> 3 AS evidence_retrieved, concat('工作地点：', c_mktsegment, CASE c_custkey % 5 WHEN 0 THEN '。甲计划只有1次投递机会[资料1]；乙另说' WHEN 1 THEN '；甲计划未说明1次投递。[资料2]' WHEN 2 THEN '，丙\n1次投递报名[资料3]' WHEN 3 THEN '保证投递，甲。' ELSE '。仅乙计划限1次投递，甲计划不限。[资料1][资料2]' END) AS answer,
+ concat('https://h', CAST(c_custkey % 4 AS STRING), '.example.com/c', CAST(c_custkey % 6 AS STRING), '/a') AS url_1, CASE WHEN c_custkey % 8 = 0 THEN 'no url' ELSE 'https://G.example.com:443/c1/b' END AS url_2, CASE c_custkey % 3 WHEN 0 THEN 'x' WHEN 1 THEN 'x,y' ELSE 'y,z' END AS cited
+FROM {customer}""",
+}
+
+
+def _cases(s: SparkSession, d: str) -> DataFrame:
+    return S.parse_records(view(s, d, "cases_v").select("source", "text"), S.FACTUAL_CASE)
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    cite = lambda i, u: F.struct(F.lit(i).alias("id"), F.col(u).alias("url"))
+    return view(s, d, "cases_v").select(F.col("source").alias("case_id"), F.col("status").cast("int").alias("status"), F.lit(True).alias("available"), "evidence_retrieved", F.lit(None).cast("string").alias("error_code"), "answer", F.array(cite("x", "url_1"), cite("y", "url_2")).alias("citations"), F.split("cited", ",").alias("cited_ids"))
+
+
+_JSON = """, ok AS (SELECT *, CAST(text AS JSON) AS j FROM cases_v WHERE k % 13 <> 0), c AS (SELECT ok.*, json_extract(j, '$.cases[0]') AS c FROM ok WHERE k % 19 <> 0)"""
+_add(
+    "s05_factual_cases",
+    lambda s, d: _cases(s, d).select("source", "place", F.col("record.id").alias("id"), "rejected", F.col("record.profile.graduationYear").alias("year"), F.array_join("record.requiredAnswerTerms", ",").alias("required"), F.col("record.scopedClaimGuards")[0]["claimTerm"].alias("claim")),
+    _JSON + """, r AS (SELECT source, unnest(range(0, CAST(json_array_length(j, '$.cases') AS BIGINT))) AS place, j FROM c), e AS (SELECT source, place, json_extract(j, concat('$.cases[', place, ']')) AS x FROM r)
+, f AS (SELECT source, place, json_extract_string(x, '$.id') AS id, TRY_CAST(json_extract_string(x, '$.profile.graduationYear') AS INT) AS year, json_extract_string(x, '$.profile.graduationYear') AS year_text, array_to_string(CAST(json_extract(x, '$.requiredAnswerTerms') AS VARCHAR[]), ',') AS required, json_extract_string(x, '$.scopedClaimGuards[0].claimTerm') AS claim FROM e)
+SELECT source, CAST(place AS INT) AS place, id, CASE WHEN year_text IS NOT NULL AND year IS NULL THEN 'shape' WHEN trim(id) = '' OR row_number() OVER (PARTITION BY source, id ORDER BY place) > 1 THEN 'id' END AS rejected, year, required, claim FROM f
+UNION ALL SELECT source, 0, NULL, CASE WHEN k % 13 = 0 THEN 'format' ELSE 'empty' END, NULL, NULL, NULL FROM cases_v WHERE k % 13 = 0 OR k % 19 = 0""",
+    "cases_v",
+)
+_LIST = lambda f: f"CAST(json_extract(c, '$.{f}') AS VARCHAR[])"
+_add(
+    "w01_factual_guards",
+    lambda s, d: A.evaluate_facts(_cases(s, d).where("rejected is null and record.id <> 'again'").select("record.*"), _responses(s, d)).withColumn("failures", F.array_join("failures", "|")),
+    _JSON + f""", b AS (SELECT source, k, c, status, evidence_retrieved, answer, string_split(cited, ',') AS cited, [{{'id': 'x', 'url': url_1}}, {{'id': 'y', 'url': url_2}}] AS cites, CAST(json_extract_string(c, '$.expectedEvidenceRetrieved') AS BOOLEAN) AS grounded, list_filter(list_transform(string_split_regex(answer, '[\\n。；;]'), lambda x: trim(x)), lambda x: x <> '') AS clauses,
+ list_transform(regexp_extract_all(answer, '\\[资料(\\d+)\\]', 1), lambda x: CAST(x AS INT)) AS marks FROM c WHERE trim(json_extract_string(c, '$.id')) <> '' AND TRY_CAST(json_extract_string(c, '$.profile.graduationYear') AS INT) IS NOT NULL)
+, u AS (SELECT *, list_filter(cites, lambda x: list_contains(cited, x.id)) AS used FROM b)
+, f AS (SELECT source, flatten([
+ CASE WHEN status <> CAST(json_extract(c, '$.expectedStatus') AS INT) THEN ['status'] ELSE [] END, CASE WHEN evidence_retrieved <> grounded THEN ['evidence_retrieved'] ELSE [] END,
+ list_transform(list_filter({_LIST("requiredCitationUrlIncludes")}, lambda p: len(list_filter(used, lambda x: contains(x.url, p))) = 0), lambda p: concat('citation_url:', p)), CASE WHEN len(used) < CAST(json_extract(c, '$.minimumCitationCount') AS INT) THEN ['citation_count'] ELSE [] END,
+ CASE WHEN len(list_filter(used, lambda x: NOT list_contains({_LIST("allowedCitationHosts")}, lower(regexp_extract(x.url, '^https?://([^/:]+)', 1))))) > 0 THEN ['citation_host'] ELSE [] END,
+ list_transform(list_filter({_LIST("requiredAnswerTerms")}, lambda t: NOT contains(answer, t)), lambda t: concat('required_term:', t)),
+ list_transform(list_filter(CAST(json_extract(c, '$.requiredAnswerAnyOf') AS VARCHAR[][]), lambda ts: len(list_filter(ts, lambda t: contains(answer, t))) = 0), lambda ts: concat('any_term:', array_to_string(ts, '/'))),
+ list_transform(list_filter({_LIST("forbiddenAnswerTerms")}, lambda t: contains(answer, t)), lambda t: concat('forbidden_term:', t)),
+ CASE WHEN len(list_filter(clauses, lambda s: len(list_filter({_LIST("scopedClaimGuards[0].subjectTerms")}, lambda t: contains(s, t))) > 0 AND contains(s, json_extract_string(c, '$.scopedClaimGuards[0].claimTerm')) AND len(list_filter({_LIST("scopedClaimGuards[0].requiredQualifierTerms")}, lambda t: contains(s, t))) = 0)) > 0 THEN [concat('scoped_claim:', json_extract_string(c, '$.scopedClaimGuards[0].claimTerm'))] ELSE [] END,
+ CASE WHEN grounded AND len(marks) = 0 THEN ['no_marker'] ELSE [] END, CASE WHEN grounded THEN list_transform(list_filter(marks, lambda i: NOT coalesce(list_contains(cited, cites[i].id), false)), lambda i: concat('marker:', i)) ELSE [] END,
+ CASE WHEN grounded THEN list_transform(list_filter(cited, lambda x: NOT list_contains(['x', 'y'], x)), lambda x: concat('cited_id:', x)) ELSE [] END]) AS failures FROM u) SELECT source AS case_id, array_to_string(failures, '|') AS failures, len(failures) = 0 AS passed FROM f""",
+    "cases_v",
+)
