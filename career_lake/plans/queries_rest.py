@@ -22,6 +22,7 @@ from career_lake.session import table
 from career_lake.sources import readers as S
 from career_lake.streaming import ingest as ZI
 from career_lake.streaming import stateful as Z
+from career_lake.streaming import workspace as ZW
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -199,6 +200,17 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("e03_fuzzy_match", lambda s, d: X.fuzzy_match(table(s, d, "part").select(F.col("p_partkey").alias("text_id"), F.concat_ws(" ", F.lit("offer"), "p_name", F.regexp_replace("p_type", "E", "A")).alias("text")), _names(s, d)).groupBy("text_id").agg(F.count("*").alias("entities")))
+def _writes(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    return e.select(F.col("user_id").cast("string").alias("subject"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).cast("int").alias("expected"), F.transform(F.sequence(F.lit(1), (F.col("event_id") % 5).cast("int") + 1), lambda i: F.concat(F.lit("job-"), i.cast("string"))).alias("jobs"), F.array(F.concat(F.lit("task:"), "event_type")).alias("tasks"))
+
+
+# Only the first three revisions can be met by what the events expect, so that the order of a subject's writes tells all.
+_add(
+    "z05_workspace_writes",
+    lambda s, d: ZW.workspace_writes(_writes(s, d)).groupBy("subject").agg(F.count("*").alias("events"), F.count_if(F.col("outcome") == "invalid").alias("invalid"), F.count_if(F.col("outcome") == "accepted").alias("accepted"), F.min_by("event_id", F.when(F.col("outcome") == "accepted", F.struct("ts", "event_id"))).alias("first_accepted")),
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS subject, CAST(event_id AS BIGINT) AS event_id, ts, event_id % 3 AS expected, event_id % 5 + 1 > 3 AS bad FROM events), a AS (SELECT subject, min({'t': ts, 'i': event_id}) AS a FROM e WHERE NOT bad AND expected = 0 GROUP BY 1), b AS (SELECT e.subject, min({'t': ts, 'i': event_id}) AS b FROM e JOIN a USING (subject) WHERE NOT bad AND expected = 1 AND {'t': ts, 'i': event_id} > a GROUP BY 1), c AS (SELECT e.subject, min({'t': ts, 'i': event_id}) AS c FROM e JOIN b USING (subject) WHERE NOT bad AND expected = 2 AND {'t': ts, 'i': event_id} > b GROUP BY 1) SELECT e.subject, count(*) AS events, count(*) FILTER (bad) AS invalid, max(CASE WHEN c IS NOT NULL THEN 3 WHEN b IS NOT NULL THEN 2 WHEN a IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS accepted, any_value(a.a.i) AS first_accepted FROM e LEFT JOIN a USING (subject) LEFT JOIN b USING (subject) LEFT JOIN c USING (subject) GROUP BY 1",
+)
 _add("z05_workspace_state", lambda s, d: Z.workspace_state(table(s, d, "events").select(F.col("user_id").cast("string").alias("subject"), "event_id", "ts", (F.col("event_id") % 3).cast("int").alias("expected")), NOW))
 _add(
     "z01_ingest",
