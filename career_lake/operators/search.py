@@ -150,8 +150,8 @@ def bm25_search(requests: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
-    scored = found.join(df, "term").select("term", "doc_id", part.alias("part"))
-    out = asked.join(scored, "term").groupBy("request_id", "doc_id").agg((-F.round(F.sum("part"), 6)).alias("rank"))
+    scored = found.join(df, "term").select("term", "doc_id", F.round(part * 1e9).cast("long").alias("part"))  # whole numbers, so that no order of addition decides ties
+    out = asked.join(scored, "term").groupBy("request_id", "doc_id").agg((-F.round(F.sum("part") / 1e9, 6)).alias("rank"))
     limit = min(200, max(30, 10 * k))
     return out.withColumn("place", F.row_number().over(Window.partitionBy("request_id").orderBy("rank", "doc_id"))).where(F.col("place") <= limit)
 
