@@ -56,7 +56,7 @@ BM25 = (
 , sc AS (SELECT hit.term, doc_id, greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * {K.K1 + 1} / (tf + {K.K1} * ({1 - K.B} + {K.B} * size / mean)) AS part FROM hit JOIN dfs USING (term) CROSS JOIN st)
 , rk AS (SELECT request_id, doc_id, -round(CAST(sum(CAST(round(part * 1e9) AS BIGINT)) AS DOUBLE) / 1e9, 6) AS rank FROM tq JOIN sc USING (term) GROUP BY ALL), fnd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY rank, doc_id) AS place FROM rk) WHERE place <= 50)"""
 )
-_add("k03_bm25_search", lambda s, d: K.bm25_search(requests(s, d), library(s, d), 5).select("request_id", "doc_id", F.round("rank", 3).alias("rank"), "place"), BM25 + "SELECT request_id, doc_id, round(rank, 3) AS rank, CAST(place AS INT) AS place FROM fnd", "doc_versions_v")
+_add("k03_bm25_search", lambda s, d: K.bm25_search(requests(s, d), library(s, d), 5).select("request_id", "doc_id", F.when(F.round("rank", 3) == 0, 0.0).otherwise(F.round("rank", 3)).alias("rank"), "place"), BM25 + "SELECT request_id, doc_id, CASE WHEN round(rank, 3) = 0 THEN 0.0 ELSE round(rank, 3) END AS rank, CAST(place AS INT) AS place FROM fnd", "doc_versions_v")
 
 
 def _short(s: SparkSession, d: str) -> DataFrame:
