@@ -241,6 +241,13 @@ def resolve_reviews(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when((F.col("status") == "pending") & F.col("hit"), "resolved").otherwise(F.col("status"))).drop("hit")
 
 
+def resolve_url_reviews(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """queue(source_id, kind, url, ...) with pending rows resolved whose source, kind and URL a resolution (source_id, kind, url) names. Blank names and URLs resolve nothing."""
+    r = resolutions.select("source_id", F.trim("kind").alias("kind"), F.trim("url").alias("url")).where("kind <> '' and url <> ''").distinct().withColumn("hit", F.lit(True))
+    out = queue.join(r, ["source_id", "kind", "url"], "left")
+    return out.withColumn("status", F.when((F.col("status") == "pending") & F.col("hit"), "resolved").otherwise(F.col("status"))).drop("hit")
+
+
 def upsert_mappings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Per document the new mapping; remote and batch ids keep the old value where the new is null."""
     keep, rest = ["remote_id", "batch_id"], ["content_hash", "status"]
@@ -268,6 +275,30 @@ def reconcile_mappings(queued: DataFrame, feed: DataFrame) -> DataFrame:
     return queued.join(feed, "remote_id", "left").withColumn("status", status).withColumn("reason", reason)
 
 
+#: Reviews of a mapping that its recovery settles, and what each failure says.
+RECOVERABLE = ["index_failure", "index_check_failure"]
+FAILED_MAPPINGS = {"missing": "索引映射缺少可跟踪的文档", "stale": "已完成的批次对应旧正文版本，需要重新同步", "error": "索引状态为 error", "paused": "索引状态为 paused"}
+
+
+def mapping_reviews(reconciled: DataFrame) -> DataFrame:
+    """The review (document_id, kind, message, payload) that each failed mapping of reconcile_mappings asks for."""
+    message = F.element_at(F.create_map(*(F.lit(x) for kv in FAILED_MAPPINGS.items() for x in kv)), F.col("reason"))
+    payload = F.map_filter(F.create_map(F.lit("remoteDocumentId"), F.col("remote_id"), F.lit("indexingStatus"), F.when(F.col("reason").isin("error", "paused"), F.col("reason"))), lambda k, v: v.isNotNull())
+    return reconciled.where("status = 'error'").select("document_id", F.lit("index_failure").alias("kind"), message.alias("message"), payload.alias("payload"))
+
+
+def recovered_mappings(reconciled: DataFrame) -> DataFrame:
+    """The resolutions (document_id, kind) for R02 that synced mappings bring."""
+    return reconciled.where("status = 'synced'").select("document_id", F.explode(F.array(*map(F.lit, RECOVERABLE))).alias("kind"))
+
+
+def reconcile_summary(reconciled: DataFrame) -> DataFrame:
+    """One row about a run: its status (noop, completed-with-errors or success) and counts."""
+    n = lambda v: F.count_if(F.col("status") == v)
+    status = F.when(F.count("*") == 0, "noop").when(n("error") > 0, "completed-with-errors").otherwise("success")
+    return reconciled.agg(status.alias("run_status"), F.count("*").alias("selected"), n("synced").alias("synced"), n("pending").alias("pending"), n("error").alias("failed"))
+
+
 def retry_plan(errors: DataFrame, docs: DataFrame, blocked: DataFrame) -> DataFrame:
     """Whether each failed mapping is requeued or blocked, and why. docs: (document_id, enabled, status, role, fact_review, ocr_review)."""
     b = blocked.select("document_id").distinct().withColumn("held", F.lit(True))

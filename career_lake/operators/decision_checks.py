@@ -41,3 +41,18 @@ def evaluate_decisions(cases: DataFrame, reports: DataFrame, candidates: DataFra
     ))
     warnings = F.array_compact(F.array(F.when((F.col("m") > 0) & (F.col("expired") >= F.col("m") * 0.5), "mostly_expired"), F.when(F.get("directions", F.lit(0)) == "其他专业相关方向", "broad_direction")))
     return r.select("case_id", failures.alias("failures"), warnings.alias("warnings"))
+
+
+def qualification_counts(assessed: DataFrame) -> DataFrame:
+    """(case_id, counts: map of qualification to assessments; those without one are `unknown`)."""
+    n = assessed.groupBy("case_id", F.coalesce("qualification", F.lit("unknown")).alias("qualification")).agg(F.count("*").alias("n"))
+    return n.groupBy("case_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("qualification", "n")))).alias("counts"))
+
+
+def decision_summary(results: DataFrame) -> DataFrame:
+    """One row about a suite: cases passed and failed, failures of the infrastructure (no report of the contract) and of decisions, and the number of warnings."""
+    failed, infra = F.size("failures") > 0, F.array_contains("failures", "contract")
+    return results.agg(
+        F.count("*").alias("cases"), F.count_if(~failed).alias("passed"), F.count_if(failed).alias("failed"), F.count_if(failed & infra).alias("infrastructure"), F.count_if(failed & ~infra).alias("decision"),
+        F.coalesce(F.sum(F.size("warnings")), F.lit(0)).alias("warnings"),
+    )

@@ -191,16 +191,34 @@ def _queued(s: SparkSession, d: str) -> DataFrame:
     q = _mappings(s, d, 1).join(C.current_versions(versions(s, d)).select("document_id", F.col("content_hash").alias("current_hash")), "document_id")
     n = F.col("version_id").cast("long")
     feed = versions(s, d).where(n % 7 != 0).select(F.concat(F.lit("r"), "version_id").alias("remote_id"), F.when(n % 6 == 0, "error").when(n % 6 == 1, "indexing").when(n % 6 == 2, "paused").otherwise("completed").alias("remote_status"))
-    return C.reconcile_mappings(q.select("document_id", "remote_id", "content_hash", "current_hash"), feed).select("document_id", "status", "reason")
+    return C.reconcile_mappings(q.select("document_id", "remote_id", "content_hash", "current_hash"), feed)
 
 
+_M03 = ROLE + MAPS + """, fd AS (SELECT concat('r', version_id) AS remote_id, CASE CAST(version_id AS BIGINT) % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'indexing' WHEN 2 THEN 'paused' ELSE 'completed' END AS rs FROM doc_versions_v WHERE CAST(version_id AS BIGINT) % 7 <> 0)
+, q AS (SELECT m1.document_id, m1.remote_id, m1.content_hash AS h, cur.content_hash AS ch FROM m1 JOIN cur USING (document_id)), rc AS (SELECT document_id, remote_id, CASE WHEN rs IS NULL THEN 'error' WHEN rs = 'completed' AND h = ch THEN 'synced' WHEN rs IN ('completed', 'error', 'paused') THEN 'error' ELSE 'pending' END AS status, CASE WHEN rs IS NULL THEN 'missing' WHEN rs = 'completed' AND h <> ch THEN 'stale' WHEN rs IN ('error', 'paused') THEN rs END AS reason FROM q LEFT JOIN fd USING (remote_id))"""
+_add("m03_reconcile_mappings", lambda s, d: _queued(s, d).select("document_id", "status", "reason"), _M03 + " SELECT document_id, status, reason FROM rc", _DV)
 _add(
-    "m03_reconcile_mappings",
-    _queued,
-    ROLE + MAPS + """, fd AS (SELECT concat('r', version_id) AS remote_id, CASE CAST(version_id AS BIGINT) % 6 WHEN 0 THEN 'error' WHEN 1 THEN 'indexing' WHEN 2 THEN 'paused' ELSE 'completed' END AS rs FROM doc_versions_v WHERE CAST(version_id AS BIGINT) % 7 <> 0)
-, q AS (SELECT m1.document_id, m1.remote_id, m1.content_hash AS h, cur.content_hash AS ch FROM m1 JOIN cur USING (document_id)) SELECT document_id, CASE WHEN rs IS NULL THEN 'error' WHEN rs = 'completed' AND h = ch THEN 'synced' WHEN rs IN ('completed', 'error', 'paused') THEN 'error' ELSE 'pending' END AS status, CASE WHEN rs IS NULL THEN 'missing' WHEN rs = 'completed' AND h <> ch THEN 'stale' WHEN rs IN ('error', 'paused') THEN rs END AS reason FROM q LEFT JOIN fd USING (remote_id)""",
+    "m03_mapping_reviews",
+    lambda s, d: C.mapping_reviews(_queued(s, d)).select("document_id", "kind", "message", F.element_at("payload", F.lit("remoteDocumentId")).alias("remote_id"), F.element_at("payload", F.lit("indexingStatus")).alias("index_status")),
+    _M03 + f" SELECT document_id, 'index_failure' AS kind, CASE reason {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in C.FAILED_MAPPINGS.items())} END AS message, remote_id, CASE WHEN reason IN ('error', 'paused') THEN reason END AS index_status FROM rc WHERE status = 'error'",
     _DV,
 )
+_add("m03_run_summary", lambda s, d: C.reconcile_summary(_queued(s, d)), _M03 + " SELECT CASE WHEN count(*) = 0 THEN 'noop' WHEN count(*) FILTER (status = 'error') > 0 THEN 'completed-with-errors' ELSE 'success' END AS run_status, count(*) AS selected, count(*) FILTER (status = 'synced') AS synced, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'error') AS failed FROM rc", _DV)
+
+
+def _url_reviews(s: SparkSession, d: str) -> DataFrame:
+    """Reviews with the URL of their document; runs settle those of versions that are active."""
+    queue = view(s, d, "reviews_v").withColumn("url", F.concat(F.lit("https://h/"), (F.col("document_id").cast("long") % 50).cast("string")))
+    done = view(s, d, "doc_versions_v").where("status = 'active'").select(F.concat(F.lit("src"), (F.col("version_id").cast("long") % 20).cast("string")).alias("source_id"), F.lit(" content_quality").alias("kind"), F.concat(F.lit("https://h/"), (F.col("document_id").cast("long") % 50).cast("string")).alias("url"))
+    return C.resolve_url_reviews(queue, done)
+
+
+_add(
+    "r02_resolve_url_reviews",
+    lambda s, d: _url_reviews(s, d).select("document_id", "kind", "url", "status"),
+    ", r AS (SELECT *, concat('https://h/', CAST(CAST(document_id AS BIGINT) % 50 AS VARCHAR)) AS url FROM reviews_v), a AS (SELECT DISTINCT concat('src', CAST(CAST(version_id AS BIGINT) % 20 AS VARCHAR)) AS source_id, concat('https://h/', CAST(CAST(document_id AS BIGINT) % 50 AS VARCHAR)) AS url FROM doc_versions_v WHERE status = 'active') SELECT document_id, kind, r.url, CASE WHEN status = 'pending' AND kind = 'content_quality' AND a.url IS NOT NULL THEN 'resolved' ELSE status END AS status FROM r LEFT JOIN a USING (source_id, url)",
+    "reviews_v", _DV,
+)
 _add(
     "m04_retry_plan",
     lambda s, d: C.retry_plan(_mappings(s, d, 1).where("status = 'error'").select("document_id"), C.with_role(C.current_versions(versions(s, d))).join(view(s, d, "sources_v").select("source_id", "enabled"), "source_id").select("document_id", "enabled", "status", "role", (F.col("version_no") == 9).alias("fact_review"), F.coalesce(F.col("ocr_status") == "required", F.lit(False)).alias("ocr_review")), view(s, d, "reviews_v").where("status = 'pending'")),

@@ -200,6 +200,8 @@ def _names(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("e03_fuzzy_match", lambda s, d: X.fuzzy_match(table(s, d, "part").select(F.col("p_partkey").alias("text_id"), F.concat_ws(" ", F.lit("offer"), "p_name", F.regexp_replace("p_type", "E", "A")).alias("text")), _names(s, d)).groupBy("text_id").agg(F.count("*").alias("entities")))
+
+
 def _writes(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events")
     return e.select(F.col("user_id").cast("string").alias("subject"), F.col("event_id").cast("long").alias("event_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3).cast("int").alias("expected"), F.transform(F.sequence(F.lit(1), (F.col("event_id") % 5).cast("int") + 1), lambda i: F.concat(F.lit("job-"), i.cast("string"))).alias("jobs"), F.array(F.concat(F.lit("task:"), "event_type")).alias("tasks"))

@@ -92,7 +92,7 @@ SELECT doc_id AS pair_id, CAST(CASE WHEN n > 300 THEN st ELSE 0 END AS INT) AS s
 )
 
 
-def _evaluated(s: SparkSession, d: str) -> DataFrame:
+def _evaluated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = QJ.pairs(s, d).where("rank <= 20").select(F.col("profile_id").alias("case_id"), "id", "rank", F.col("profile_id").cast("long").alias("k"))
     grade = F.when(F.col("rank") % 5 == 0, "expired").when((F.col("rank") % 5 == 1) & (F.col("k") % 2 == 0), "high-risk").when(F.col("rank") % 5 == 2, "raw-fields-aligned").otherwise("needs-verification")
     assessed = a.select("case_id", "id", grade.alias("qualification"), (F.col("rank") * (F.col("k") % 7)).alias("score"), ((F.col("rank") % 5 == 2) & (F.col("k") % 9 != 0)).alias("all_pass"), (F.col("k") % 8 != 0).alias("late"))
@@ -101,18 +101,30 @@ def _evaluated(s: SparkSession, d: str) -> DataFrame:
     blockers = F.array(F.struct(F.when(F.col("k") % 6 == 0, "at-once").otherwise("after-target-selected").alias("trigger"), F.when(F.col("k") % 4 == 0, "travel").when(F.col("k") % 4 == 1, "resume").alias("product")))
     reports = p.join(chosen, "case_id", "left").select("case_id", (F.col("k") % 11 != 0).alias("contract"), (F.col("k") % 100).alias("readiness"), F.array(F.when(F.col("k") % 3 == 0, "其他专业相关方向").otherwise("技术")).alias("directions"), F.coalesce("portfolio", F.array()).alias("portfolio"), blockers.alias("blockers"))
     cases = p.select("case_id", F.lit(20).alias("min_candidates"), F.lit(2).alias("min_primary"), F.when(F.col("k") % 5 == 0, 1).otherwise(0).alias("min_high_risk"), F.lit(10).alias("score_min"), F.lit(80).alias("score_max"), F.when(F.col("k") % 2 == 0, F.array(F.lit("技术"))).otherwise(F.array().cast("array<string>")).alias("directions"))
-    out = W.evaluate_decisions(cases, reports, a.select("case_id", "id"), assessed)
-    return out.select("case_id", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+    return W.evaluate_decisions(cases, reports, a.select("case_id", "id"), assessed), assessed
 
 
-_add(
-    "w02_evaluate_decisions",
-    _evaluated,
-    QJ.PAIRS + """, a AS (SELECT profile_id, rank, CAST(profile_id AS BIGINT) AS k, CASE WHEN rank % 5 = 0 THEN 'e' WHEN rank % 5 = 1 AND CAST(profile_id AS BIGINT) % 2 = 0 THEN 'h' WHEN rank % 5 = 2 THEN 'r' ELSE 'v' END AS q FROM pairs WHERE rank <= 20)
+def _told(s: SparkSession, d: str) -> DataFrame:
+    return _evaluated(s, d)[0].select("case_id", F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"))
+
+
+_W02 = QJ.PAIRS + """, a AS (SELECT profile_id, rank, CAST(profile_id AS BIGINT) AS k, CASE WHEN rank % 5 = 0 THEN 'e' WHEN rank % 5 = 1 AND CAST(profile_id AS BIGINT) % 2 = 0 THEN 'h' WHEN rank % 5 = 2 THEN 'r' ELSE 'v' END AS q FROM pairs WHERE rank <= 20)
 , g AS (SELECT profile_id, count(*) AS n, count(*) FILTER (q = 'h') AS hi, count(*) FILTER (q = 'e') AS ex, count(*) FILTER (rank <= 2) AS pr, count(*) FILTER (rank = 1 AND q = 'h') AS ph, count(*) FILTER (rank = 3) AS third, count(*) FILTER (q = 'r') AS al, max(rank * (k % 7)) AS top, count(*) FILTER (rank * (k % 7) = 100 AND NOT (q = 'r' AND k % 9 <> 0)) AS perfect FROM a GROUP BY 1)
 , j AS (SELECT profile_id AS case_id, CAST(profile_id AS BIGINT) AS k, coalesce(n, 0) AS n, coalesce(hi, 0) AS hi, coalesce(ex, 0) AS ex, coalesce(pr, 0) AS pr, coalesce(ph, 0) AS ph, coalesce(third, 0) AS third, coalesce(al, 0) AS al, coalesce(top, 0) AS top, coalesce(perfect, 0) AS perfect FROM profiles_v LEFT JOIN g USING (profile_id))
 SELECT case_id, concat_ws(',', CASE WHEN k % 11 = 0 THEN 'contract' END, CASE WHEN n < 20 THEN 'candidates' END, CASE WHEN k % 10 = 0 AND third > 0 THEN 'unknown_reference' END, CASE WHEN ph > 0 THEN 'risk_in_portfolio' END, CASE WHEN al > 0 AND k % 9 = 0 THEN 'aligned_without_pass' END, CASE WHEN ex > 0 AND k % 8 = 0 THEN 'expired_without_deadline' END, CASE WHEN top > 100 THEN 'score_range' END,
- CASE WHEN k % 6 = 0 THEN 'early_blocker' END, CASE WHEN k % 4 = 0 THEN 'unknown_product' END, CASE WHEN k % 100 NOT BETWEEN 10 AND 80 THEN 'readiness' END, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'direction' END, CASE WHEN k % 5 = 0 AND hi < 1 THEN 'high_risk' END, CASE WHEN pr < 2 THEN 'primary' END, CASE WHEN perfect > 0 THEN 'perfect_without_pass' END) AS failures, CASE WHEN k % 3 = 0 THEN 'broad_direction' ELSE '' END AS warnings FROM j""",
+ CASE WHEN k % 6 = 0 THEN 'early_blocker' END, CASE WHEN k % 4 = 0 THEN 'unknown_product' END, CASE WHEN k % 100 NOT BETWEEN 10 AND 80 THEN 'readiness' END, CASE WHEN k % 2 = 0 AND k % 3 = 0 THEN 'direction' END, CASE WHEN k % 5 = 0 AND hi < 1 THEN 'high_risk' END, CASE WHEN pr < 2 THEN 'primary' END, CASE WHEN perfect > 0 THEN 'perfect_without_pass' END) AS failures, CASE WHEN k % 3 = 0 THEN 'broad_direction' ELSE '' END AS warnings FROM j"""
+_add("w02_evaluate_decisions", _told, _W02, "jobs_v", "profiles_v")
+_W = _W02.replace("SELECT case_id, concat_ws", ", w AS (SELECT case_id, concat_ws", 1) + ")"
+_add(
+    "w03_decision_summary",
+    lambda s, d: W.decision_summary(_evaluated(s, d)[0]),
+    _W + " SELECT count(*) AS cases, count(*) FILTER (failures = '') AS passed, count(*) FILTER (failures <> '') AS failed, count(*) FILTER (regexp_matches(failures, '(^|,)contract(,|$)')) AS infrastructure, count(*) FILTER (failures <> '' AND NOT regexp_matches(failures, '(^|,)contract(,|$)')) AS decision, CAST(sum(len(list_filter(string_split(warnings, ','), lambda x: x <> ''))) AS BIGINT) AS warnings FROM w",
+    "jobs_v", "profiles_v",
+)
+_add(
+    "w03_qualification_counts",
+    lambda s, d: W.qualification_counts(_evaluated(s, d)[1]).select("case_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias("counts")),
+    QJ.PAIRS + """, q AS (SELECT profile_id AS case_id, CASE WHEN rank % 5 = 0 THEN 'expired' WHEN rank % 5 = 1 AND CAST(profile_id AS BIGINT) % 2 = 0 THEN 'high-risk' WHEN rank % 5 = 2 THEN 'raw-fields-aligned' ELSE 'needs-verification' END AS q FROM pairs WHERE rank <= 20), n AS (SELECT case_id, q, count(*) AS n FROM q GROUP BY ALL) SELECT case_id, string_agg(concat(q, '=', n), ',' ORDER BY q) AS counts FROM n GROUP BY 1""",
     "jobs_v", "profiles_v",
 )
 _add("z06_error_rate", lambda s, d: Z.error_rate(view(s, d, "sync_events_v")).select(F.col("start").cast("date").cast("string").alias("day"), "events", F.round("rate", 6).alias("rate")), ", w AS (SELECT CAST(CAST(ts AS DATE) - k AS DATE) AS day, kind FROM sync_events_v CROSS JOIN (SELECT unnest([0, 1]) AS k)) SELECT CAST(day AS VARCHAR) AS day, count(*) AS events, round(count(*) FILTER (kind = 'error') / count(*), 6) AS rate FROM w GROUP BY 1", "sync_events_v")
