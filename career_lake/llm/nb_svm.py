@@ -7,7 +7,7 @@ byte trigrams and 1- to 3-grams of word shapes, where a shape tells kinds of
 characters, punctuation and whether a word repeats the one before. They are
 hashed to a fixed number of features.
 
-The model is fitted on the driver to a bounded sample (SAMPLE documents of
+The model is fitted in one task to a bounded sample (SAMPLE documents of
 either label); every document is scored whole, where it is read. Null and empty
 texts have no n-gram and get the score of the bias alone. If the sample lacks a
 label, scores are that of the label present (0.5 without any). Repeated rows
@@ -142,7 +142,8 @@ def fit_sample(sample: DataFrame) -> Model:
 
 
 def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, ...) with score (0 to 1, higher: label 1 likelier)."""
+    """docs(doc_id, text, ...) with score (0 to 1, higher: label 1 likelier); a column of that name is replaced."""
+    docs = docs.drop("score")
     at, names = docs.columns.index("text"), [*docs.columns, "score"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

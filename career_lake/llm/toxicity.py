@@ -7,7 +7,7 @@ read each window of words in either direction, attention pools their states,
 and a logistic unit scores the window. Windows overlap by half and cover the
 whole text; a document's score is that of its worst window.
 
-All is trained in numpy on the driver, on a bounded sample (SAMPLE documents of
+All is trained in numpy in one task, on a bounded sample (SAMPLE documents of
 either label). Table inputs for training come from the other half of the
 sample, so that no document is judged by its own words. Null and empty texts
 are one window without words. If the sample lacks a label, scores are that of
@@ -276,7 +276,8 @@ def fit_sample(sample: DataFrame) -> Model:
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text, ...) with score (0 to 1, higher: label 1 likelier)."""
+    """docs(doc_id, text, ...) with score (0 to 1, higher: label 1 likelier); a column of that name is replaced."""
+    docs = docs.drop("score")
     at, names = docs.columns.index("text"), [*docs.columns, "score"]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

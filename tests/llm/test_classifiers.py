@@ -1,9 +1,11 @@
 import random
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from career_lake.llm import registry
+from career_lake.llm import nb_svm, registry, toxicity
 
 QUERIES = [("op2_quality_classifier", 3, 1, 0.5, "quality"), ("op7_toxicity", 4, 2, 0.3, "toxic")]
 
@@ -57,3 +59,59 @@ def test_without_labels_or_rows(spark, corpus, tmp_path, name):
     docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
     labels.write.parquet(str(tmp_path / "b/labels.parquet"))
     assert registry.QUERIES[name](spark, str(tmp_path / "b")).count() == 0
+
+
+def test_a_score_column_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "the end", 7, 0.25), (2, None, 8, None)], "doc_id long, text string, other int, Score double")
+    for scores, model in ((nb_svm.quality_scores, nb_svm.fit([], np.zeros(0, int))), (toxicity.toxicity_scores, toxicity.fit(pa.array([], pa.string()), np.zeros(0, int)))):
+        got = scores(docs, model)
+        assert got.columns == ["doc_id", "text", "other", "score"] and [(r.other, r.score) for r in got.orderBy("doc_id").collect()] == [(7, 0.5), (8, 0.5)]
+
+
+def test_fit_reaches_the_least_hinge_loss():
+    """Against a plain subgradient descent on the whole objective; the bias is regularised like a weight."""
+    r = np.random.default_rng(3)
+    y = np.array([0, 1] * 20)
+    rows = [np.unique(np.concatenate((r.integers(0, 6, 3) + 6 * k * (r.random() < 0.8), [12]))) for k in y]
+    model = nb_svm.fit(rows, y, passes=60)
+    count = [np.array([1 + sum(j in x for x, k in zip(rows, y, strict=True) if k == label) for j in range(13)]) for label in (0, 1)]
+    total = [nb_svm.FEATURES + sum(len(x) for x, k in zip(rows, y, strict=True) if k == label) for label in (0, 1)]
+    ratio = np.log(count[1] / total[1]) - np.log(count[0] / total[0])
+    assert np.allclose(ratio**2, model.ratio2[:13], atol=1e-5)
+    x = np.array([[ratio[j] if j in ids else 0.0 for j in range(13)] for ids in rows])
+    x = np.c_[x / np.linalg.norm(x, axis=1, keepdims=True), np.ones(len(y))]
+    sign, cost = np.where(y == 1, 1.0, -1.0), 1.0
+    loss = lambda w: 0.5 * w @ w + cost * np.maximum(0, 1 - sign * (x @ w)).sum()
+    w, best = np.zeros(14), np.inf
+    for t in range(1, 20_001):
+        w -= (w - cost * ((sign * (x @ w) < 1) * sign) @ x) / (10 + t)
+        best = min(best, loss(w))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mine = np.append(np.nan_to_num(model.weight[:13] / ratio), model.bias)
+    assert loss(mine) <= best * 1.01 and best < loss(np.zeros(14)) * 0.9
+
+
+def test_gradients_equal_differences_of_the_loss():
+    r = np.random.default_rng(2)
+    net = toxicity.Network.fresh(3)
+    net.p["o"] += 0.1
+    x = r.normal(0, 1, (toxicity.WINDOW, 5, toxicity.INPUTS)).astype(np.float32)
+    mask = np.arange(toxicity.WINDOW)[:, None] < np.array([toxicity.WINDOW, 7, 1, 3, 5])[None, :]
+    x *= mask[:, :, None]
+    y = np.array([1, 0, 1, 0, 1], np.float32)
+
+    def loss():
+        z = net.logits(x, mask).astype(np.float64)
+        return float(np.mean(np.log1p(np.exp(-z * (2 * y - 1)))))
+
+    got = net.gradients(x, mask, y)
+    for name, p in net.p.items():
+        flat = p.reshape(-1)
+        for i in r.choice(len(flat), min(6, len(flat)), replace=False):
+            kept, step = flat[i], np.float32(0.02)
+            flat[i] = kept + step
+            up = loss()
+            flat[i] = kept - step
+            down = loss()
+            flat[i] = kept
+            assert abs((up - down) / 0.04 - np.asarray(got[name]).reshape(-1)[i]) < 2e-3, (name, i)
