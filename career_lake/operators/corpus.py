@@ -214,6 +214,12 @@ def sync_run_rollup(events: DataFrame) -> DataFrame:
     return out.select("run_id", "seen", "changed", "errors", "finished_at", status.alias("status"), F.substring("m", 1, 4000).alias("message"))
 
 
+def last_synced(sources: DataFrame, events: DataFrame) -> DataFrame:
+    """Sources with last_synced_at, the end of their last run, whatever its outcome; null without a run. events: (run_id, source_id, ts, ...)."""
+    ended = events.groupBy("source_id").agg(F.max("ts").alias("last_synced_at"))
+    return sources.join(ended, "source_id", "left")
+
+
 def batch_summary(runs: DataFrame, sources: DataFrame, limit: int) -> DataFrame:
     """Outcome of the first enabled sources (50 at most). runs: (source_id, status, seen, changed)."""
     first = sources.where("enabled").orderBy("source_id").limit(min(50, max(1, limit)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -121,6 +121,16 @@ def valid_profiles(raw: DataFrame) -> DataFrame:
     return raw.withColumn("rejected", bad)
 
 
+LEVELS = ["missing", "developing", "ready"]
+CAPABILITY_KEYS = ["resume", "application", "interview", "project_evidence", "internship", "competition", "qualification"]
+
+
+def known_capabilities(levels: Column) -> Column:
+    """A profile's levels (map) of the known capabilities; other keys and values are left out, without any it is null."""
+    known = F.map_filter(levels, lambda k, v: k.isin(CAPABILITY_KEYS) & F.coalesce(v.isin(LEVELS), F.lit(False)))
+    return F.when(F.size(known) > 0, known)
+
+
 def minimised(profiles: DataFrame) -> DataFrame:
     """Only degree, major and year; vocational counts as associate."""
     return profiles.select("profile_id", F.when(F.col("degree_level") == "vocational", "associate").otherwise(F.col("degree_level")).alias("degree_level"), "major", "graduation_year")

@@ -91,3 +91,31 @@ def route_lanes(candidates: DataFrame, lanes: int = 3, events: int = 4) -> DataF
     lane = F.dense_rank().over(Window.partitionBy("profile_id").orderBy(F.desc("head"), "company"))
     place = F.row_number().over(Window.partitionBy("profile_id", "company").orderBy(F.asc_nulls_last("date"), "job_id"))
     return c.withColumn("lane", lane).withColumn("place", place).where((F.col("lane") <= lanes) & (F.col("place") <= events)).select("profile_id", "company", "job_id", "lane", "place", F.when(F.col("date").isNull(), "pending").otherwise("dated").alias("kind"))
+
+
+#: Candidates of a profile that a route takes.
+MOST_CANDIDATES = 24
+
+
+def first_candidates(candidates: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
+    """The first candidates of each profile (the selected one, then by place), each id and each opening (company, title, location, deadline) once.
+
+    candidates: (profile_id, id, company, title, location, date, selected, place).
+    A posting is dropped if an earlier one has its id, or if an earlier one of those that are
+    left has its opening.
+    """
+    order = [F.desc(F.coalesce("selected", F.lit(False))), F.asc("place"), F.asc("id")]
+    plain = lambda c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    once = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy("profile_id", *by).orderBy(*order))).where("k = 1").drop("k")
+    c = once(once(candidates, "id"), *(plain(x) for x in ("company", "title", "location", "date")))
+    return c.withColumn("k", F.row_number().over(Window.partitionBy("profile_id").orderBy(*order))).where(F.col("k") <= most).drop("k")
+
+
+def planned_lanes(candidates: DataFrame, today: str, horizon: str) -> DataFrame:
+    """route_lanes of first_candidates, with each event's place between today and the horizon in percent (4 to 94; 88 where it has no date)."""
+    c = first_candidates(candidates).withColumn("company", F.coalesce(F.nullif(F.trim("company"), F.lit("")), F.lit("企业名称待核验")))
+    lanes = route_lanes(c.select("profile_id", "company", F.col("id").alias("job_id"), "date", "selected"))
+    span = F.greatest(F.lit(1), F.datediff(F.lit(horizon).cast("date"), F.lit(today).cast("date")))
+    at = F.greatest(F.lit(4.0), F.least(F.lit(94.0), F.datediff(F.col("date"), F.lit(today).cast("date")) / span * 100))
+    dates = c.select("profile_id", F.col("id").alias("job_id"), "date")
+    return lanes.join(dates, ["profile_id", "job_id"]).withColumn("position", F.when(F.col("date").isNull(), 88.0).otherwise(F.round(at, 6))).drop("date")

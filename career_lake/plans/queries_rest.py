@@ -160,6 +160,29 @@ _add(
     "SELECT profile_id, CASE degree_level WHEN 'vocational' THEN 'associate' ELSE degree_level END AS degree_level, major, graduation_year FROM profiles_v WHERE graduation_year BETWEEN 2020 AND 2040 AND (weekly_hours IS NULL OR weekly_hours BETWEEN 0 AND 168)",
     "profiles_v",
 )
+_add(
+    "b05_known_capabilities",
+    lambda s, d: QJ.profiles(s, d).select("profile_id", L.known_capabilities(F.create_map(F.lit("resume"), F.col("resume"), F.lit("interview"), F.col("application"), F.lit("charm"), F.col("resume"), F.lit("competition"), F.when(F.col("profile_id").cast("long") % 4 == 0, "expert").otherwise(F.col("competition")))).alias("m")).select("profile_id", *(F.element_at("m", F.lit(k)).alias(k) for k in ("resume", "interview", "charm", "competition")), F.coalesce(F.size("m"), F.lit(0)).alias("n")),
+    "SELECT profile_id, resume, application AS interview, CAST(NULL AS VARCHAR) AS charm, CASE WHEN CAST(profile_id AS BIGINT) % 4 <> 0 THEN competition END AS competition, CAST((resume IS NOT NULL)::INT + (application IS NOT NULL)::INT + (CAST(profile_id AS BIGINT) % 4 <> 0 AND competition IS NOT NULL)::INT AS INT) AS n FROM profiles_v",
+    "profiles_v",
+)
+_add("v09_last_synced", lambda s, d: C.last_synced(view(s, d, "sync_events_v").select("source_id").distinct().union(s.sql("SELECT 'none'")), view(s, d, "sync_events_v")).select("source_id", F.col("last_synced_at").cast("string").alias("last_synced_at")), "SELECT source_id, CAST(max(ts) AS VARCHAR) AS last_synced_at FROM sync_events_v GROUP BY 1 UNION ALL SELECT 'none', NULL", "sync_events_v")
+
+
+def _wished(s: SparkSession, d: str) -> DataFrame:
+    """The candidates of each profile's code, each told twice; the tenth is the selected one."""
+    p = QJ.pairs(s, d).select("profile_id", "id", F.col("company_name").alias("company"), F.col("job_title").alias("title"), F.col("work_location").alias("location"), F.col("apply_end_date").alias("date"), (F.col("rank") == 10).alias("selected"), F.col("rank").alias("place"))
+    return p.union(p.withColumn("place", F.col("place") + 500).withColumn("selected", F.lit(False)))
+
+
+_add(
+    "n08_planned_lanes",
+    lambda s, d: N.planned_lanes(_wished(s, d), NOW, "2027-07-22"),
+    QJ.PAIRS + f""", o AS (SELECT *, row_number() OVER (PARTITION BY profile_id, company_name, job_title, coalesce(work_location, ''), coalesce(CAST(apply_end_date AS VARCHAR), '') ORDER BY rank <> 10, rank, id) AS u FROM pairs), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY rank <> 10, rank, id) AS n FROM o WHERE u = 1) WHERE n <= 24)
+, h AS (SELECT *, max((rank = 10)::INT) OVER (PARTITION BY profile_id, company_name) AS head FROM f), l AS (SELECT profile_id, company_name AS company, id AS job_id, CAST(dense_rank() OVER (PARTITION BY profile_id ORDER BY head DESC, company_name) AS INT) AS lane, CAST(row_number() OVER (PARTITION BY profile_id, company_name ORDER BY apply_end_date NULLS LAST, id) AS INT) AS place, CASE WHEN apply_end_date IS NULL THEN 'pending' ELSE 'dated' END AS kind,
+ CASE WHEN apply_end_date IS NULL THEN 88.0 ELSE round(greatest(4.0, least(94.0, CAST(date_diff('day', DATE '{NOW}', apply_end_date) AS DOUBLE) / 365 * 100)), 6) END::DOUBLE AS position FROM h) SELECT * FROM l WHERE lane <= 3 AND place <= 4""",
+    "jobs_v", "profiles_v",
+)
 _add(
     "k06_metadata_filters",
     lambda s, d: view(s, d, "doc_versions_v").select("version_id", K.meets_filters(F.create_map(F.lit("status"), F.col("status"), F.lit("valid_from"), F.col("published_at"), F.lit("sourceId"), F.col("source_id")), F.create_map(F.lit("Status"), F.lit("open"), F.lit("validAt"), F.lit("2026-04-01"), F.lit("sourceIds"), F.lit("src1|src2|src3"))).alias("meets")),
