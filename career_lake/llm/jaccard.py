@@ -233,13 +233,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _possible(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """Pairs of a branch's block that are not connected and that lengths, places and sketches allow.
+    """Pairs of a branch's block that are not connected, whose first shared n-gram is this branch's, and that lengths, places and sketches allow.
 
-    place: the n-gram's place among the set's stored elements; alone: the set's elements that no other set has.
+    place: the n-gram's place among the set's stored elements; earlier: those
+    before it; alone: the set's elements that no other set has. A pair meets in
+    every branch that both sets have, but is put out by the first of them only.
     """
     pdf = pdf.sort_values(["size", "id"])
     ids, root, size, alone, place, side = (pdf[c].to_numpy() for c in ("id", "root", "size", "alone", "place", "side"))
     bits = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)
+    earlier = [frozenset(x) for x in pdf["earlier"]]
     cross = side.any() and not side.all()
     out_a, out_b = [], []
     for lo in range(0, len(ids), ROWS):
@@ -253,26 +256,27 @@ def _possible(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         if cross:
             ok &= side[r, None] != side[None, c]
         after = size - alone - place
-        room = np.minimum(place[r, None], place[None, c]) + np.minimum(after[r, None], after[None, c])
+        room = np.minimum(after[r, None], after[None, c])  # nothing shared comes before the first shared n-gram
         ok &= room * (den + num) >= num * both
         i, j = np.nonzero(ok)
         for k in range(0, len(i), 1 << 17):
             x, y = i[k : k + (1 << 17)] + lo, j[k : k + (1 << 17)] + lo + 1
             differ = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) + alone[x] + alone[y]
-            fits = differ * (den + num) <= (den - num) * (size[x] + size[y])
-            out_a.append(ids[x[fits]])
-            out_b.append(ids[y[fits]])
+            fits = np.flatnonzero(differ * (den + num) <= (den - num) * (size[x] + size[y]))
+            first = np.fromiter((earlier[p].isdisjoint(earlier[q]) for p, q in zip(x[fits].tolist(), y[fits].tolist(), strict=True)), bool, len(fits))
+            out_a.append(ids[x[fits[first]]])
+            out_b.append(ids[y[fits[first]]])
     a, b = (np.concatenate(o) if o else ids[:0] for o in (out_a, out_b))
     return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}, dtype="int64")
 
 
 def _blocks(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """The possible pairs (a, b) of entries(gram, id, root, size, alone, place, sketch)."""
+    """The possible pairs (a, b) of entries(gram, id, root, size, alone, place, earlier, sketch)."""
     count = entries.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     e = entries.join(count, "gram").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     # Every two blocks of a branch meet in one cell, and each block with itself.
     e = e.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    e = e.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "size", "alone", "place", "sketch")
+    e = e.select("gram", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "id", "root", "size", "alone", "place", "earlier", "sketch")
     return e.groupBy("gram", "low", "high").applyInPandas(lambda pdf: _possible(pdf, num, den), "a long, b long").distinct()
 
 
@@ -302,7 +306,7 @@ def _links(sets: DataFrame, num: int, den: int, label: str) -> DataFrame:
         last, turn, least = n, turn + 1, 3
     if links is None or not n:
         return links if links is not None else sets.sparkSession.createDataFrame([], "a long, b long")
-    pairs = _blocks(live.join(sets.select("id", "sketch"), "id"), num, den)
+    pairs = _blocks(live.join(sets.select("id", "sketch", "heads"), "id").withColumn("earlier", F.slice("heads", F.lit(1), F.col("place"))), num, den)
     done = tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = settle(pairs.join(done, ["a", "b"], "left_anti"), f"{label}-rest")
     return links.union(settle(_verified(pairs, sets, num, den), f"{label}-links"))
