@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from career_lake import rules
 from career_lake.operators.market import preferred_regions
-from career_lake.operators.search import candidates
+from career_lake.operators.search import texts_with
+from career_lake.session import settle
 
 MISSING = "待补充"
 
@@ -141,20 +142,28 @@ def relevant_pool(jobs: DataFrame, profiles: DataFrame, now: str, most: int = 50
     profiles: (profile_id, degree_text, graduation_year, keywords: 12 at most).
     Broad: state-owned, campus or intern, not over, with the degree and the
     year or no limit ("*"), so that jobs and profiles meet by equal keys; words
-    find jobs by their rarest gram.
+    find titles by their rarest gram. Jobs of the same degrees, years and found
+    words are one group, profiles of the same degree, year and words one kind:
+    only kinds meet groups, by a group's count and its first `most` jobs.
     """
     j = jobs.where(F.col("company_type").isin("央企", "国企") & F.col("job_type").isin("校招", "实习") & (F.col("apply_end_date").isNull() | (F.col("apply_end_date") >= F.lit(now).cast("date"))))
-    named = lambda c, p: F.when((F.coalesce(F.col(c), F.lit("")) == "") | F.col(c).contains("不限"), F.array(F.lit("*"))).otherwise(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(0))))
-    j = j.select("id", "apply_end_date", F.lower(F.concat_ws(" ", "job_title", "major_requirements")).alias("title"), named("education_level", rules.NAMED_DEGREES).alias("degrees"), named("graduate_year", "20\\d{2}").alias("years"))
-    keyed = j.select("id", "apply_end_date", F.explode("degrees").alias("degree"), "years").withColumn("year", F.explode("years")).drop("years")
-    mine = profiles.select("profile_id", F.explode(F.array("degree_text", F.lit("*"))).alias("degree"), "graduation_year").withColumn("year", F.explode(F.array(F.col("graduation_year").cast("string"), F.lit("*")))).drop("graduation_year")
-    broad = mine.join(keyed.groupBy("degree", "year").agg(F.count("*").alias("n")), ["degree", "year"]).groupBy("profile_id").agg(F.sum("n").alias("broad"))
-    words = profiles.select("profile_id", F.explode(F.slice(F.array_distinct(F.transform("keywords", F.lower)), 1, 12)).alias("term")).where("term <> ''")
-    texts = j.select(F.col("id").alias("doc_id"), "title", F.lit("").alias("content"))
-    hits = candidates(words.select("term").distinct(), texts, (3, 2, 1)).join(texts, "doc_id").where(F.col("title").contains(F.col("term"))).select("term", F.col("doc_id").alias("id"))
-    hits = hits.join(keyed, "id")
-    kept = words.join(mine, "profile_id").join(hits, ["term", "degree", "year"]).select("profile_id", "id", "apply_end_date").distinct()
-    place = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.asc_nulls_last("apply_end_date"), "id"))
-    totals = profiles.select("profile_id").join(broad, "profile_id", "left").join(kept.groupBy("profile_id").agg(F.count("*").alias("relevant")), "profile_id", "left")
+    named = lambda c, p: F.when((F.coalesce(F.col(c), F.lit("")) == "") | F.col(c).contains("不限"), F.array(F.lit("*"))).otherwise(F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(p), F.lit(0)))))
+    j = j.select("id", "apply_end_date", F.lower(F.concat_ws(" ", "job_title", "major_requirements")).alias("t"), named("education_level", rules.NAMED_DEGREES).alias("degrees"), named("graduate_year", "20\\d{2}").alias("years"))
+    words = F.array_sort(F.filter(F.slice(F.array_distinct(F.transform("keywords", F.lower)), 1, 12), lambda w: w != ""))
+    p = profiles.select("profile_id", "degree_text", F.col("graduation_year").cast("string").alias("year"), words.alias("words")).withColumn("kind", F.to_json(F.struct("degree_text", "year", "words")))
+    kinds = p.drop("profile_id").distinct()
+    terms = texts_with(kinds.select(F.explode("words").alias("word")), j).groupBy("t").agg(F.array_sort(F.collect_set("word")).alias("terms"))
+    group = ["degrees", "years", "terms"]
+    grouped = j.join(terms, "t", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    grouped = settle(grouped.select("id", "apply_end_date", *group, F.to_json(F.struct(*group)).alias("group")), "report-relevant")
+    keyed = grouped.groupBy("group", *group).agg(F.count("*").alias("n")).withColumn("degree", F.explode("degrees")).withColumn("year", F.explode("years")).drop("degrees", "years")
+    mine = kinds.select("kind", F.explode(F.array("degree_text", F.lit("*"))).alias("degree"), "year", "words").withColumn("year", F.explode(F.array("year", F.lit("*"))))
+    broad = mine.join(keyed.groupBy("degree", "year").agg(F.sum("n").alias("n")), ["degree", "year"]).groupBy("kind").agg(F.sum("n").alias("broad"))
+    meets = mine.withColumn("term", F.explode("words")).join(keyed.withColumn("term", F.explode("terms")), ["degree", "year", "term"]).select("kind", "group", "n").distinct()
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.asc_nulls_last("apply_end_date"), "id"))
+    first = grouped.select("group", "id", "apply_end_date").withColumn("place", place("group")).where(F.col("place") <= most).drop("place")
+    kept = meets.join(first, "group").select("kind", "id", "apply_end_date").withColumn("place", place("kind")).where(F.col("place") <= most)
+    kept = kept.groupBy("kind").agg(F.collect_list(F.struct("id", "apply_end_date", "place")).alias("kept"))  # at most `most`
+    totals = p.select("profile_id", "kind").join(broad, "kind", "left").join(meets.groupBy("kind").agg(F.sum("n").alias("relevant")), "kind", "left")
     totals = totals.select("profile_id", F.coalesce("relevant", F.lit(0)).alias("relevant"), F.coalesce("broad", F.lit(0)).alias("broad"))
-    return totals, kept.withColumn("place", place).where(F.col("place") <= most)
+    return totals, p.select("profile_id", "kind").join(kept, "kind").select("profile_id", F.inline("kept"))
