@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from career_lake.operators import report as R
+from career_lake.plans import queries_excerpts, queries_report  # noqa: F401  their views
 from career_lake.plans.bindings import view
 
 SF = "/root/testdata/sf0.001"
