@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from career_lake.operators import decision as D
+from career_lake.operators import relations as X
 from career_lake.operators import report as R
 from career_lake.plans import queries_excerpts, queries_report  # noqa: F401  their views
 from career_lake.plans.bindings import view
@@ -45,3 +47,19 @@ def test_relevant_pool_joins_kinds_not_profiles_and_jobs(spark):
 def test_small_files_are_dealt_over_the_cores(spark):
     for name in ("profiles_v", "evidence_v", "cases_v", "snapshots_v", "jobs_v"):
         assert view(spark, SF, name).rdd.getNumPartitions() > 1
+
+
+def test_fuzzy_match_compares_equal_texts_once(spark):
+    texts = spark.range(500).selectExpr("id AS text_id", "'offer large copper ring' AS text").union(spark.sql("SELECT 900L, 'small tin'"))
+    rows, most = collected(X.fuzzy_match(texts, spark.sql("SELECT 'Large Copper Ring' AS entity UNION ALL SELECT 'Another Name'")))
+    assert sorted(r.text_id for r in rows) == list(range(500)) and {r.entity for r in rows} == {"Large Copper Ring"} and most <= 2000
+
+
+def test_pairs_are_assessed_once_a_kind(spark):
+    same = ["'bachelor' AS degree_level", "'会计学' AS major", "2027 AS graduation_year", "'北京' AS preferred_cities", "CAST(NULL AS STRING) AS city", "'0203' AS code"]
+    p = spark.range(400).selectExpr("CAST(id AS STRING) AS profile_id", *same, *(f"'ready' AS {k}" for k in ("resume", "application", "interview", "project_evidence", "internship", "competition")))
+    pool = job_rows(spark, 50).selectExpr("*", "'0203' AS code", "'a' AS company_name", "'北京' AS work_location", "array('0203') AS major_category_ids", "CAST(NULL AS DATE) AS updated_at")
+    rows, most = collected(D.portfolio(D.assessed_kinds(p, pool, "2026-07-22")))
+    assert len(rows) == 50 and most <= 400
+    told, _ = collected(D.told_to_profiles(p, D.assessed_kinds(p, pool, "2026-07-22").select("profile_id", "id", "score"), D.KIND))
+    assert len(told) == 20_000 and len({(r.profile_id, r.id) for r in told}) == 20_000
