@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from career_lake.operators import decision as D
+from career_lake.operators import facts as N
 from career_lake.operators import relations as X
 from career_lake.operators import report as R
-from career_lake.plans import queries_excerpts, queries_report  # noqa: F401  their views
+from career_lake.plans import queries_excerpts, queries_facts, queries_report  # noqa: F401  their views
 from career_lake.plans.bindings import view
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,26 @@ def test_pairs_are_assessed_once_a_kind(spark):
     assert len(rows) == 50 and most <= 400
     told, _ = collected(D.told_to_profiles(p, D.assessed_kinds(p, pool, "2026-07-22").select("profile_id", "id", "score"), D.KIND))
     assert len(told) == 20_000 and len({(r.profile_id, r.id) for r in told}) == 20_000
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lengths_need_no_facts_and_texts_are_not_dealt_again(spark):
+    assert "regexp_extract" not in plan(queries_facts.QUERIES["f18_length_regimes"](spark, SF))
+    for name in ("f01_deadlines", "f08_ages", "f10_languages"):
+        df = queries_facts.QUERIES[name](spark, SF)
+        assert plan(df).count("REPARTITION_BY_NUM") <= 2 and not any("document_id" in x or "version_id" in x for x in plan(df).split("\n") if "REPARTITION_BY_NUM" in x)
+
+
+def test_coverage_counts_facts_before_they_are_dealt(spark):
+    docs = spark.range(300).selectExpr("CAST(id AS STRING) AS document_id", "CAST(id AS STRING) AS version_id", "'校园招聘公告' AS title", "'报名截止2027年1月2日。报名截止2027年1月3日。招聘人数：5人。' AS content")
+    rows, most = collected(N.fact_coverage(docs.union(docs.limit(1))))
+    assert {(r.facet, r.versions, r.facts) for r in rows} == {("deadlines", 300, 602), ("recruitment_headcounts", 300, 301), ("recruitment_audiences", 300, 301)} and most <= 1000
+
+
+def test_sentences_are_the_matches_of_their_pattern(spark):
+    texts = ["", "。", "a。。b！c", "长" * 220 + "。x", "长" * 221 + "；", "长" * 500 + "\n。y", "a\nb；"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(N.sentences(F.col("t")).alias("a"), N._all(F.col("t"), N.rules.SENTENCE).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
