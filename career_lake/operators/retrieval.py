@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,14 +129,19 @@ def _places(text: Column, t: Column) -> Column:
 
 
 def window_start(text: Column, terms: Column, most: Column) -> Column:
-    """Where the window of `most` characters begins that holds the most terms."""
-    n = F.length(text)
+    """Where the window of `most` characters begins that holds the most terms.
+
+    For short texts: each start reads the text up to its window. `best_windows` is for long ones.
+    """
+    held = lambda w: F.aggregate(F.filter(terms, lambda t: w.contains(t)), F.lit(0).cast("long"), lambda a, t: a + 1_000_000 + F.length(t) * F.length(t))
     back = F.floor(most * 0.28).cast("int")
-    long = F.filter(terms, lambda t: F.length(t) >= 2)
-    starts = F.array_distinct(F.transform(F.concat(F.array(F.lit(0)), F.flatten(F.transform(long, lambda t: _places(text, t)))), lambda a: F.greatest(F.lit(0), F.least(n - most, a - back))))
-    score = lambda s: F.aggregate(F.filter(terms, lambda t: text.substr(s + 1, most).contains(t)), F.lit(0).cast("long"), lambda a, t: a + 1_000_000 + F.length(t) * F.length(t))
-    best = F.array_min(F.transform(starts, lambda s: F.struct((-score(s)).alias("score"), s.alias("start"))))["start"]
-    return F.when(n > most, best).otherwise(0)
+
+    def best(last: Column) -> Column:
+        places = F.concat(F.array(F.lit(0)), F.flatten(F.transform(F.filter(terms, lambda t: F.length(t) >= 2), lambda t: _places(text, t))))
+        starts = F.array_distinct(F.transform(places, lambda a: F.greatest(F.lit(0), F.least(last, a - back))))
+        return F.array_min(F.transform(starts, lambda s: F.struct((-let(text.substr(s + 1, most), held)).alias("score"), s.alias("start"))))["start"]
+
+    return let(F.length(text) - most, lambda last: F.when(last > 0, best(last)).otherwise(0))
 
 
 def cut_window(text: Column, start: Column, most: Column) -> Column:
@@ -148,11 +157,43 @@ def window_of(text: Column, terms: Column, most: Column) -> Column:
     return let(window_start(text, terms, most), lambda s: cut_window(text, s, most))
 
 
+def _best_start(text: str, terms: list[str], most: int) -> int:
+    """window_start of a text longer than `most`; as starts ascend, each term's next place is looked for only once."""
+    back, last = math.floor(most * 0.28), len(text) - most
+    starts = {0}
+    for t in {t for t in terms if len(t) >= 2}:
+        at = text.find(t)
+        while at >= 0:
+            starts.add(max(0, min(last, at - back)))
+            at = text.find(t, at + len(t))
+    after, best = [-1] * len(terms), (0, 0)
+    for s in sorted(starts):
+        score = 0
+        for i, t in enumerate(terms):
+            if after[i] < s:
+                found = text.find(t, s)
+                after[i] = found if found >= 0 else len(text) + 1
+            if after[i] + len(t) <= s + most:
+                score += 1_000_000 + len(t) ** 2
+        best = min(best, (-score, s))
+    return best[1]
+
+
+def _starts(most: int):  # noqa: ANN202
+    @F.pandas_udf("int")
+    def starts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, terms in parts:
+            rows = zip(texts, terms, strict=True)
+            yield pd.Series([0 if x is None or ts is None or len(x) <= most else _best_start(x, [t for t in ts if t is not None], most) for x, ts in rows], dtype="int32")
+
+    return starts
+
+
 def best_windows(pairs: DataFrame, most: int) -> DataFrame:
     """pairs(pair_id, content, terms) with the window of `most` characters that holds the most terms.
 
     A window begins 28 % before an occurrence of a term, or at the start; more
     terms win, then longer ones, then the earlier window. Ellipses mark cuts.
     """
-    p = pairs.withColumn("start", window_start(F.col("content"), F.col("terms"), F.lit(most)))
+    p = pairs.withColumn("start", _starts(most)("content", "terms"))
     return p.select("pair_id", "start", cut_window(F.col("content"), F.col("start"), F.lit(most)).alias("window"))

@@ -1,11 +1,14 @@
 """How many rows steps make, and over how many tasks they are dealt: for what must not grow faster than the input."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from career_lake.operators import decision as D
 from career_lake.operators import facts as N
 from career_lake.operators import relations as X
 from career_lake.operators import report as R
+from career_lake.operators import retrieval as K
 from career_lake.plans import queries_excerpts, queries_facts, queries_report  # noqa: F401  their views
 from career_lake.plans.bindings import view
 
@@ -87,3 +90,13 @@ def test_sentences_are_the_matches_of_their_pattern(spark):
     texts = ["", "。", "a。。b！c", "长" * 220 + "。x", "长" * 221 + "；", "长" * 500 + "\n。y", "a\nb；"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(N.sentences(F.col("t")).alias("a"), N._all(F.col("t"), N.rules.SENTENCE).alias("b"))
     assert all(r.a == r.b for r in df.collect())
+
+
+def test_windows_of_a_long_text_take_no_quadratic_time(spark):
+    terms = F.array(F.lit("aa"), F.lit("end"), F.lit("x"), F.lit(None))
+    long = spark.range(1).select(F.col("id").alias("pair_id"), F.concat(F.expr("repeat('aaab ', 100000)"), F.lit("aax end")).alias("content"), terms.alias("terms"))
+    at = time.time()
+    (row,) = K.best_windows(long, 50).collect()
+    assert row.start == 499_957 and "aax end" in row.window and time.time() - at < 20
+    short = spark.range(400).select(F.col("id").alias("pair_id"), F.concat(*(F.element_at(F.array(*map(F.lit, ("aa", "a", "bend", "x ", "招聘"))), ((F.col("id") * p) % 5 + 1).cast("int")) for p in (1, 2, 3, 7, 11, 13, 17, 19)), F.lit("aaaend")).alias("content"), terms.alias("terms"))
+    assert all(r.start == r.want for r in K.best_windows(short, 9).join(short.select("pair_id", K.window_start(F.col("content"), F.col("terms"), F.lit(9)).alias("want")), "pair_id").collect())
