@@ -100,3 +100,11 @@ def test_windows_of_a_long_text_take_no_quadratic_time(spark):
     assert row.start == 499_957 and "aax end" in row.window and time.time() - at < 20
     short = spark.range(400).select(F.col("id").alias("pair_id"), F.concat(*(F.element_at(F.array(*map(F.lit, ("aa", "a", "bend", "x ", "招聘"))), ((F.col("id") * p) % 5 + 1).cast("int")) for p in (1, 2, 3, 7, 11, 13, 17, 19)), F.lit("aaaend")).alias("content"), terms.alias("terms"))
     assert all(r.start == r.want for r in K.best_windows(short, 9).join(short.select("pair_id", K.window_start(F.col("content"), F.col("terms"), F.lit(9)).alias("want")), "pair_id").collect())
+
+
+def test_candidates_are_ordered_once_a_source_and_host(spark):
+    docs = spark.range(400).selectExpr("concat('d', id) AS document_id", "concat('s', id % 2) AS source_id", "concat('https://h/', id) AS canonical_url", "'t' AS title", "true AS official", "'active' AS status", "lpad(id, 4, '0') AS updated_at")
+    notices = spark.range(300).selectExpr("concat('n', id) AS notice_id", "concat('s', id % 2) AS source_id", "concat('https://h/', 399 - id % 3) AS url", "true AS official", "array('https://h/5') AS links")
+    rows, most = collected(X.candidate_pairs(notices, docs, 10))
+    of = lambda n: {r.document_id: r.linked for r in rows if r.notice_id == n}
+    assert of("n0") == {f"d{i}": False for i in range(389, 399)} | {"d5": True} and len(rows) == 3300 and most <= 3300
