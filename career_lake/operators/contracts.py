@@ -53,7 +53,8 @@ def forbidden_keys(snapshots: DataFrame) -> DataFrame:
 
 
 def parsed(snapshots: DataFrame) -> DataFrame:
-    return snapshots.withColumn("s", F.from_json("snapshot", SNAPSHOT))
+    """Snapshots with s, parsed once: a generator keeps the text from being parsed again by each field and filter that reads s."""
+    return snapshots.withColumn("s", F.explode(F.array(F.from_json("snapshot", SNAPSHOT))))
 
 
 def profile_contract(snapshots: DataFrame, source: str, version: str) -> DataFrame:
@@ -97,11 +98,13 @@ def normalise_profiles(snapshots: DataFrame) -> DataFrame:
 def entitlements(snapshots: DataFrame, most: int = 8) -> DataFrame:
     """The first `most` allowed features of a snapshot with a safe route and a category; a code counts once."""
     f = parsed(snapshots).select("snapshot_id", F.posexplode(F.slice("s.access.features", 1, 80)).alias("place", "f"))
-    f = f.select("snapshot_id", "place", text(F.col("f.code"), 64).alias("code"), text(F.col("f.name"), 80).alias("name"), text(F.col("f.routePath"), 160).alias("route"), "f.allowed", F.col("f.dailyLimit").try_cast("bigint").alias("limit"))
+    cleaned = F.struct(text(F.col("f.code"), 64).alias("code"), text(F.col("f.name"), 80).alias("name"), text(F.col("f.routePath"), 160).alias("route"), F.col("f.dailyLimit").try_cast("bigint").alias("limit"))
+    # Generators again: texts are cleaned, and their category is found, once.
+    f = f.where("f.allowed").select("snapshot_id", "place", F.inline(F.array(cleaned)))
     r = F.col("route")
     safe = r.startswith("/") & ~r.startswith("//") & ~r.contains("://") & ~r.contains("\\")
-    f = f.where(F.col("allowed") & F.col("code").rlike("(?i)^[a-z0-9_.-]{2,80}$") & F.col("name").isNotNull() & safe)
-    f = f.withColumn("category", _label(F.concat_ws(" ", "code", "name", "route"), rules.FEATURE_CATEGORIES, "")).where("category <> ''")
+    f = f.where(F.col("code").rlike("(?i)^[a-z0-9_.-]{2,80}$") & F.col("name").isNotNull() & safe)
+    f = f.withColumn("category", F.explode(F.array(_label(F.concat_ws(" ", "code", "name", "route"), rules.FEATURE_CATEGORIES, "")))).where("category <> ''")
     first = f.groupBy("snapshot_id", "code").agg(F.min_by(F.struct("place", "name", "category", "route", "limit"), "place").alias("x")).select("snapshot_id", "code", "x.*")
     k = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("place"))
     return first.withColumn("k", k).where(F.col("k") <= most).select("snapshot_id", "code", "name", "category", "route", F.when(F.col("limit") >= -1, F.least("limit", F.lit(100_000))).alias("daily_limit"), "k")

@@ -2,14 +2,16 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from career_lake.operators import decision as D
+from career_lake.operators import decision_checks as W
 from career_lake.operators import facts as N
 from career_lake.operators import relations as X
 from career_lake.operators import report as R
 from career_lake.operators import retrieval as K
-from career_lake.plans import queries_excerpts, queries_facts, queries_report  # noqa: F401  their views
+from career_lake.plans import queries_excerpts, queries_facts, queries_report, registry  # noqa: F401  their views
 from career_lake.plans.bindings import view
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +110,21 @@ def test_candidates_are_ordered_once_a_source_and_host(spark):
     rows, most = collected(X.candidate_pairs(notices, docs, 10))
     of = lambda n: {r.document_id: r.linked for r in rows if r.notice_id == n}
     assert of("n0") == {f"d{i}": False for i in range(389, 399)} | {"d5": True} and len(rows) == 3300 and most <= 3300
+
+
+def below_deals(df):
+    """The plans below the steps that deal rows over a number of tasks."""
+    found, todo = [], [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.getClass().getSimpleName() == "RepartitionByExpression":
+            found += [c.toString() for c in children]
+        todo += children
+    return found
+
+
+@pytest.mark.parametrize("name", ["b03_normalise_profiles", "b04_entitlements", "s05_factual_cases", "w01_factual_guards", "j01_normalise_jobs"])
+def test_no_filter_runs_in_the_one_task_that_reads_a_small_file(spark, name):
+    below = [x for x in below_deals(registry.QUERIES[name](spark, SF)) if "parquet" in x and "RepartitionByExpression" not in x]
+    assert below and not any("from_json" in x or "parse_json" in x or "regexp_replace" in x for x in below)
