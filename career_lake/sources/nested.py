@@ -45,16 +45,18 @@ CHANGE_CASE = (
 
 def parse_records(texts: DataFrame, shape: str) -> DataFrame:
     """The items of texts(source, text) as rows of a shape, and why some are rejected."""
-    v = texts.select("source", F.expr("try_parse_json(text)").alias("v"))
+    # Generators, which filters do not pass: texts and items are parsed once.
+    v = texts.select("source", F.explode(F.array(F.expr("try_parse_json(text)"))).alias("v"))
     items = F.expr("coalesce(try_variant_get(v, '$.cases', 'array<variant>'), try_variant_get(v, '$', 'array<variant>'), array(v))")
-    parsed = v.where("v is not null").withColumn("items", items)
-    rows = parsed.select("source", F.posexplode("items").alias("place", "item"))
-    rows = rows.withColumn("record", F.from_json(F.to_json("item"), f"{shape}, unfit string", {"columnNameOfCorruptRecord": "unfit"}))
+    rows = v.select("source", F.col("v").isNull().alias("bad"), F.posexplode_outer(items).alias("place", "item"))
+    rows = rows.withColumn("record", F.explode(F.array(F.from_json(F.to_json("item"), f"{shape}, unfit string", {"columnNameOfCorruptRecord": "unfit"}))))
     again = F.row_number().over(Window.partitionBy("source", F.col("record.id")).orderBy("place")) > 1
-    why = F.when(F.col("record").isNull() | F.col("record.unfit").isNotNull(), "shape").when(F.coalesce(F.trim("record.id"), F.lit("")) == "", "id").when(again, "id")
-    told = rows.withColumn("rejected", why).select("source", "place", F.col("record").dropFields("unfit").alias("record"), "rejected")
-    none = lambda df, name: df.select("source", F.lit(0).alias("place"), F.lit(None).cast(f"struct<{shape}>").alias("record"), F.lit(name).alias("rejected"))
-    return told.union(none(v.where("v is null"), "format")).union(none(parsed.where(F.size("items") == 0), "empty"))
+    why = (
+        F.when(F.col("bad"), "format").when(F.col("place").isNull(), "empty").when(F.col("record").isNull() | F.col("record.unfit").isNotNull(), "shape")
+        .when(F.coalesce(F.trim("record.id"), F.lit("")) == "", "id").when(again, "id")
+    )
+    told = rows.drop("item").withColumn("rejected", why)
+    return told.select("source", F.coalesce("place", F.lit(0)).alias("place"), F.col("record").dropFields("unfit").alias("record"), "rejected")
 
 
 def load_records(spark: SparkSession, path: str, shape: str) -> DataFrame:

@@ -128,3 +128,9 @@ def below_deals(df):
 def test_no_filter_runs_in_the_one_task_that_reads_a_small_file(spark, name):
     below = [x for x in below_deals(registry.QUERIES[name](spark, SF)) if "parquet" in x and "RepartitionByExpression" not in x]
     assert below and not any("from_json" in x or "parse_json" in x or "regexp_replace" in x for x in below)
+
+
+def test_texts_are_parsed_once(spark):
+    for name, what in (("b03_normalise_profiles", "from_json("), ("b04_entitlements", "from_json("), ("s05_factual_cases", "from_json("), ("s05_factual_cases", "parsejson(")):
+        text = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert text.count(what) == 1, (name, what)
