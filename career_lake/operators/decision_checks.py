@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from career_lake.session import together
+
 PRODUCTS = ["resume", "application", "interview"]
 
 
@@ -17,19 +19,31 @@ def evaluate_decisions(cases: DataFrame, reports: DataFrame, candidates: DataFra
     array<struct<trigger, product>>). candidates: (case_id, id). assessments:
     (case_id, id, qualification, score, all_pass, late).
     """
-    c = candidates.groupBy("case_id").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
     q = F.col("qualification")
     wrong = ((q == "raw-fields-aligned") & ~F.col("all_pass"), (q == "expired") & ~F.col("late"), F.col("score").isNull() | ~F.col("score").between(0, 100), (F.col("score") == 100) & ~F.col("all_pass"))
-    a = assessments.groupBy("case_id").agg(
-        F.count("*").alias("m"), F.count_distinct("id").alias("m_ids"), F.count_if(q == "expired").alias("expired"), F.count_if(q == "high-risk").alias("high_risk"),
-        *(F.count_if(F.coalesce(w, F.lit(False))).alias(f"wrong{i}") for i, w in enumerate(wrong)),
-    )
-    p = reports.select("case_id", F.explode("portfolio").alias("p")).select("case_id", "p.tier", "p.id")
-    p = p.join(assessments.groupBy("case_id", "id").agg(F.max("qualification").alias("qualification")), ["case_id", "id"], "left").groupBy("case_id").agg(
-        F.count("*").alias("chosen"), F.count_distinct("id").alias("chosen_ids"), F.count_if(q.isNull()).alias("unknown"), F.count_if(q == "expired").alias("p_expired"), F.count_if(q == "high-risk").alias("p_risk"), F.count_if(F.col("tier") == "primary").alias("primary"),
+    one, picked = F.lit(1), F.col("p.tier") == "primary"
+    told = [
+        candidates.select("case_id", "id", one.alias("n")),
+        assessments.select(
+            "case_id", "id", one.alias("m"), q.isNotNull().cast("int").alias("graded"),
+            *(c.cast("int").alias(k) for k, c in (("expired", q == "expired"), ("high_risk", q == "high-risk"), ("over_expired", q > "expired"), ("over_risk", q > "high-risk"))), *(w.cast("int").alias(f"wrong{i}") for i, w in enumerate(wrong)),
+        ),
+        reports.select("case_id", F.explode("portfolio").alias("p")).select("case_id", "p.id", one.alias("chosen"), picked.cast("int").alias("primary")),
+    ]
+    # What a case says of an id meets in one row, and a case's rows in one task: they are shuffled once.
+    rows = together(told[0].unionByName(told[1], allowMissingColumns=True).unionByName(told[2], allowMissingColumns=True), "case_id")
+    sums = ["n", "m", "chosen", "primary", "expired", "high_risk", *(f"wrong{i}" for i in range(len(wrong)))]
+    # An id that is assessed again has the greatest qualification; sums tell it, as they need no sorting.
+    ids = rows.groupBy("case_id", "id").agg(*(F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in [*sums, "graded", "over_expired", "over_risk"]))
+    known = (F.col("graded") > 0) & F.col("id").isNotNull()
+    distinct = lambda c: F.count_if((F.col(c) > 0) & F.col("id").isNotNull())
+    chosen = lambda c: F.sum(F.when(c, F.col("chosen")).otherwise(0))
+    per = ids.groupBy("case_id").agg(
+        *(F.sum(s).alias(s) for s in sums), distinct("n").alias("ids"), distinct("m").alias("m_ids"), distinct("chosen").alias("chosen_ids"),
+        chosen(~known).alias("unknown"), chosen(known & (F.col("expired") > 0) & (F.col("over_expired") == 0)).alias("p_expired"), chosen(known & (F.col("high_risk") > 0) & (F.col("over_risk") == 0)).alias("p_risk"),
     )
-    r = cases.withColumnRenamed("directions", "wanted").join(reports, "case_id", "left").join(c, "case_id", "left").join(a, "case_id", "left").join(p, "case_id", "left")
-    r = r.fillna(0, ["n", "ids", "m", "m_ids", "expired", "high_risk", "wrong0", "wrong1", "wrong2", "wrong3", "chosen", "chosen_ids", "unknown", "p_expired", "p_risk", "primary"])
+    r = together(cases.withColumnRenamed("directions", "wanted"), "case_id").join(together(reports, "case_id").hint("merge"), "case_id", "left").join(per.hint("merge"), "case_id", "left")
+    r = r.fillna(0, [*sums, "ids", "m_ids", "chosen_ids", "unknown", "p_expired", "p_risk"])
     blockers = F.coalesce("blockers", F.array())
     failures = F.array_compact(F.array(
         F.when(~F.coalesce("contract", F.lit(False)), "contract"), F.when(F.col("n") < F.col("min_candidates"), "candidates"), F.when(F.col("n") != F.col("ids"), "repeated_candidates"), F.when(F.col("m") != F.col("m_ids"), "repeated_assessments"),

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from career_lake import rules
 from career_lake.operators import decision_checks as W
+from career_lake.operators import jobs as J
 from career_lake.operators import retrieval as K
 from career_lake.plans import queries_jobs as QJ
 from career_lake.plans.bindings import VIEWS, oracle, view
+from career_lake.session import settle
 from career_lake.streaming import folds as Z
 
 QUERIES: dict = {}
@@ -93,13 +95,17 @@ SELECT doc_id AS pair_id, CAST(CASE WHEN n > 300 THEN st ELSE 0 END AS INT) AS s
 
 
 def _evaluated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = QJ.pairs(s, d).where("rank <= 20").select(F.col("profile_id").alias("case_id"), "id", "rank", F.col("profile_id").cast("long").alias("k"))
+    # The lists of the few codes are made once; what profiles take of them is told in joins with small tables.
+    pool = settle(J.code_pool(QJ.jobs(s, d), 20).select("code", "id", "rank"), "decision-pool")
+    p = QJ.profiles(s, d).select(F.col("profile_id").alias("case_id"), F.col("profile_id").cast("long").alias("k"), J.inferred_code(F.col("major")).alias("code"))
+    a = p.join(pool, "code").select("case_id", "id", "rank", "k")
     grade = F.when(F.col("rank") % 5 == 0, "expired").when((F.col("rank") % 5 == 1) & (F.col("k") % 2 == 0), "high-risk").when(F.col("rank") % 5 == 2, "raw-fields-aligned").otherwise("needs-verification")
     assessed = a.select("case_id", "id", grade.alias("qualification"), (F.col("rank") * (F.col("k") % 7)).alias("score"), ((F.col("rank") % 5 == 2) & (F.col("k") % 9 != 0)).alias("all_pass"), (F.col("k") % 8 != 0).alias("late"))
-    chosen = a.where("rank <= 4").groupBy("case_id").agg(F.collect_list(F.struct(F.when(F.col("rank") <= 2, "primary").otherwise("steady").alias("tier"), F.when((F.col("k") % 10 == 0) & (F.col("rank") == 3), "gone").otherwise(F.col("id")).alias("id"))).alias("portfolio"))
-    p = QJ.profiles(s, d).select(F.col("profile_id").alias("case_id"), F.col("profile_id").cast("long").alias("k"))
+    first = pool.where("rank <= 4").groupBy("code").agg(F.collect_list(F.struct("rank", "id")).alias("first"))
+    pick = lambda x: F.struct(F.when(x["rank"] <= 2, "primary").otherwise("steady").alias("tier"), F.when((F.col("k") % 10 == 0) & (x["rank"] == 3), "gone").otherwise(x["id"]).alias("id"))
+    portfolio = F.coalesce(F.transform("first", pick), F.array())
     blockers = F.array(F.struct(F.when(F.col("k") % 6 == 0, "at-once").otherwise("after-target-selected").alias("trigger"), F.when(F.col("k") % 4 == 0, "travel").when(F.col("k") % 4 == 1, "resume").alias("product")))
-    reports = p.join(chosen, "case_id", "left").select("case_id", (F.col("k") % 11 != 0).alias("contract"), (F.col("k") % 100).alias("readiness"), F.array(F.when(F.col("k") % 3 == 0, "其他专业相关方向").otherwise("技术")).alias("directions"), F.coalesce("portfolio", F.array()).alias("portfolio"), blockers.alias("blockers"))
+    reports = p.join(first, "code", "left").select("case_id", (F.col("k") % 11 != 0).alias("contract"), (F.col("k") % 100).alias("readiness"), F.array(F.when(F.col("k") % 3 == 0, "其他专业相关方向").otherwise("技术")).alias("directions"), portfolio.alias("portfolio"), blockers.alias("blockers"))
     cases = p.select("case_id", F.lit(20).alias("min_candidates"), F.lit(2).alias("min_primary"), F.when(F.col("k") % 5 == 0, 1).otherwise(0).alias("min_high_risk"), F.lit(10).alias("score_min"), F.lit(80).alias("score_max"), F.when(F.col("k") % 2 == 0, F.array(F.lit("技术"))).otherwise(F.array().cast("array<string>")).alias("directions"))
     return W.evaluate_decisions(cases, reports, a.select("case_id", "id"), assessed), assessed
 

@@ -134,3 +134,22 @@ def test_texts_are_parsed_once(spark):
     for name, what in (("b03_normalise_profiles", "from_json("), ("b04_entitlements", "from_json("), ("s05_factual_cases", "from_json("), ("s05_factual_cases", "parsejson(")):
         text = registry.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().lower()
         assert text.count(what) == 1, (name, what)
+
+
+def test_rows_of_a_case_are_shuffled_once(spark):
+    n = 300
+    profile = spark.range(n).selectExpr("CAST(id AS STRING) AS case_id")
+    listed = profile.crossJoin(spark.range(20).selectExpr("CAST(id AS STRING) AS id"))
+    assessed = listed.selectExpr("*", "CASE id WHEN '0' THEN 'expired' WHEN '1' THEN 'high-risk' ELSE 'needs-verification' END AS qualification", "50 AS score", "true AS all_pass", "true AS late")
+    reports = profile.selectExpr("case_id", "true AS contract", "50 AS readiness", "array('技术') AS directions", "array(named_struct('tier', 'primary', 'id', CASE case_id WHEN '7' THEN '0' WHEN '8' THEN '1' WHEN '9' THEN 'gone' WHEN '10' THEN NULL ELSE '2' END), named_struct('tier', 'steady', 'id', CASE case_id WHEN '11' THEN '2' ELSE '3' END)) AS portfolio", "array(named_struct('trigger', 'after-target-selected', 'product', 'resume')) AS blockers")
+    cases = profile.selectExpr("case_id", "20 AS min_candidates", "1 AS min_primary", "1 AS min_high_risk", "10 AS score_min", "80 AS score_max", "array('技术') AS directions")
+    again = listed.where("case_id = '12' AND id < 3")
+    got = W.evaluate_decisions(cases, reports, listed.union(again), assessed.union(assessed.where("case_id = '13' AND id = '5'")).union(assessed.where("case_id = '10' AND id = '5'").selectExpr("case_id", "CAST(NULL AS STRING)", "'expired'", "50", "true", "true")))
+    text = plan(got)
+    assert "Aggregate(key=" not in text.replace("Hash", "") and text.count("REPARTITION_BY_NUM") == 3  # cases, reports and what is said of them
+    assert not any(f"Exchange hashpartitioning({c}" in x and "ENSURE" in x for c in ("case_id", "id") for x in text.split("\n"))
+    told = {r.case_id: r.failures for r in got.collect() if r.failures}
+    assert told == {
+        "7": ["expired_in_portfolio"], "8": ["risk_in_portfolio"], "9": ["unknown_reference"], "10": ["repeated_assessments", "counts_differ", "unknown_reference", "repeated_reference"],
+        "11": ["repeated_reference"], "12": ["repeated_candidates", "counts_differ"], "13": ["repeated_assessments", "counts_differ"],
+    }
