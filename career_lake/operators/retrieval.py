@@ -14,6 +14,7 @@ from career_lake import rules
 from career_lake.functions.text import let
 from career_lake.operators.facts import compact
 from career_lake.operators.relations import entity_text, entity_variants, names_entity
+from career_lake.session import settle, together
 
 QUERY, SECTION, MERGED, SEGMENTS = 250, 56, 1200, 3
 #: Sources of a query, and terms of its evidence.
@@ -40,11 +41,10 @@ def compose_index_query(requests: DataFrame) -> DataFrame:
 
 def merged_snippet(snippets: Column) -> Column:
     """The first 3 distinct segments within 1200 characters."""
-    plain = F.filter(F.transform(snippets, compact), lambda v: v != "")
-    folded = F.transform(plain, F.lower)
-    first = F.slice(F.filter(plain, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1), 1, SEGMENTS)
-    each = F.greatest(F.lit(1), F.floor((MERGED - 3 * (F.size(first) - 1)) / F.greatest(F.lit(1), F.size(first)))).cast("int")
-    return F.substring(F.array_join(F.transform(first, lambda t: F.substring(t, F.lit(1), each)), " … "), 1, MERGED)
+    distinct = lambda plain: let(F.transform(plain, F.lower), lambda folded: F.slice(F.filter(plain, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1), 1, SEGMENTS))
+    each = lambda first: F.greatest(F.lit(1), F.floor((MERGED - 3 * (F.size(first) - 1)) / F.greatest(F.lit(1), F.size(first)))).cast("int")
+    cut = lambda first: let(each(first), lambda n: F.array_join(F.transform(first, lambda t: F.substring(t, F.lit(1), n)), " … "))
+    return F.substring(let(let(F.filter(F.transform(snippets, compact), lambda v: v != ""), distinct), cut), 1, MERGED)
 
 
 def ground_external_hits(hits: DataFrame, mappings: DataFrame, documents: DataFrame, k: int) -> DataFrame:
@@ -58,8 +58,10 @@ def ground_external_hits(hits: DataFrame, mappings: DataFrame, documents: DataFr
     """
     known = mappings.where("status = 'synced'").select("remote_id", "document_id", "content_hash")
     live = documents.where((F.col("status") == "active") & ~F.col("blocked")).select("document_id", "title", "content_hash")
-    h = hits.where("remote_id is not null").join(known, "remote_id").join(live, ["document_id", "content_hash"])
-    h = h.withColumn("plain", F.lower(compact(F.col("snippet"))))
+    # Hits meet one small table of what may count, then their request in one task; groups and windows follow there.
+    counting = settle(known.join(live, ["document_id", "content_hash"]).drop("content_hash"), "grounded-documents")
+    h = hits.where("remote_id is not null").join(counting, "remote_id").withColumn("snippet", compact(F.col("snippet")))
+    h = together(h.select("request_id", "remote_id", "document_id", "title", "place", "score", "snippet"), "request_id").withColumn("plain", F.lower("snippet"))
     first = h.groupBy("request_id", "remote_id", "document_id", "title", "plain").agg(F.min("place").alias("place"), F.min_by("snippet", F.struct("place", "score")).alias("snippet"), F.min_by("score", F.struct("place", "score")).alias("score"))
     first = first.withColumn("segment", F.row_number().over(Window.partitionBy("request_id", "remote_id").orderBy(F.col("plain") == "", "place", "score", "plain"))).where(F.col("segment") <= SEGMENTS)
     docs = first.groupBy("request_id", "remote_id", "document_id", "title").agg(F.min("place").alias("at"), F.min_by("score", F.struct("place", "score")).alias("score"), F.transform(F.array_sort(F.collect_list(F.struct("place", "score", "snippet"))), lambda x: x["snippet"]).alias("snippets"))

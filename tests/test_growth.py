@@ -153,3 +153,11 @@ def test_rows_of_a_case_are_shuffled_once(spark):
         "7": ["expired_in_portfolio"], "8": ["risk_in_portfolio"], "9": ["unknown_reference"], "10": ["repeated_assessments", "counts_differ", "unknown_reference", "repeated_reference"],
         "11": ["repeated_reference"], "12": ["repeated_candidates", "counts_differ"], "13": ["repeated_assessments", "counts_differ"],
     }
+
+
+def test_hits_are_shuffled_once_and_snippets_cleaned_once(spark):
+    text = plan(registry.QUERIES["k11_grounded_hits"](spark, SF))
+    assert text.count("Exchange hashpartitioning(request_id") == 1 and "Exchange hashpartitioning(remote_id" not in text
+    df = spark.range(1).select(K.merged_snippet(F.array(F.lit(" A  b "), F.lit("a B"), F.lit(""), F.lit("c"))).alias("s"))
+    assert df.first().s == "A b … c"
+    assert plan(spark.range(1).selectExpr("array(string(id)) AS x").select(K.merged_snippet(F.col("x")).alias("s"))).count("regexp_replace") == 1
