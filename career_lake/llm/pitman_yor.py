@@ -47,7 +47,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from career_lake.llm.text import Words, batches, mix
+from career_lake.llm.text import Words, batches, mix, row_slices
 from career_lake.session import settle
 
 #: A frequent word holds at least one of so many training tokens; hence there are at most so many.
@@ -59,6 +59,8 @@ EXACT = 32
 #: Bytes of text whose tokens a bucket holds on average, and the fewest buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 12_000_000, 40
 SLICE = 4 << 20
+#: Bytes of a slice that are hashed at once, and tokens that are scored at once: temporary arrays are a multiple of them.
+PART, SCORED = 1 << 19, 1 << 17
 END = np.uint64(0x5EED0FE2D5EED0FE)
 
 
@@ -173,7 +175,12 @@ def token_logs(dish: np.ndarray, ctx: np.ndarray, d: Dishes, pairs: np.ndarray,
 
 
 def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, of the token before it or END, row) of some rows."""
+    """(hash of each token, of the token before it or END, row) of some rows, a part at a time."""
+    parts = [(lo, _part_tokens(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])) for lo, hi in row_slices(off, PART)]
+    return tuple(np.concatenate(x) for x in zip(*((h, before, row + lo) for lo, (h, before, row) in parts), strict=True))
+
+
+def _part_tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     w = Words(buf, off, lower=True)
     h, n = w.hashes(), w.counts()
     row = np.repeat(np.arange(len(n)), n + 1)
@@ -483,11 +490,14 @@ def document_scores(docs: DataFrame, learn: Column, text: str = "text", key: str
             out.append(_sum_rows(k.mark, ids, k.of, count, logs if v.n_tokens else np.zeros(len(logs))))
 
         k = Tokens(t, FREQUENT)
-        add(k, v.counts[k.near - 1], token_logs(k.near - 1, k.ctx, d, *predictions(d, samples, sums, context_c, v.n_words)) if n_frequent else np.zeros(0), k.ids)
+        p = predictions(d, samples, sums, context_c, v.n_words) if n_frequent else ()
+        logs = [token_logs(k.near[i : i + SCORED] - 1, k.ctx[i : i + SCORED], d, *p) for i in range(0, len(k.near), SCORED)]
+        add(k, v.counts[k.near - 1], np.concatenate([np.zeros(0), *logs]), k.ids)
+        del k, p, logs  # before the next kind's tokens take memory
         b = ByWord(t, told, v)
         p = predictions(b.dishes, b.samples(), sums, context_c, v.n_words)[0]
         add(b.tokens, b.count[b.dish], np.log10(p[b.pair]))
-        del k, b, p  # before the next kind's tokens take memory
+        del b, p
         b = Contexts(t, v)
         count, p, u = np.concatenate((v.counts, root[-1])), 0, b.dishes.pair_ctx
         for i, (tables, _, _) in enumerate(b.samples()):

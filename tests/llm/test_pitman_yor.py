@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -139,3 +140,13 @@ def test_probabilities_after_every_context_add_up_to_one(spark, monkeypatch, con
     p = {t: 10 ** got[1000 + i] for i, t in enumerate(texts)}
     m = np.array([[p[""], *(1.0 for _ in states)], *([p[a], *(p[f"{a} {b}"] / p[b] for b in states)] for a in states)])
     assert math.isclose(np.abs(np.linalg.eigvals(m)).max(), 1, rel_tol=1e-9)
+
+
+def test_hashing_takes_memory_by_the_part_not_by_the_slice():
+    buf = np.frombuffer(b"One more long word or two " * 80_000, np.uint8)
+    off = np.arange(0, len(buf) + 1, 260)
+    tracemalloc.start()
+    got = pitman_yor._tokens(buf, off)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 15 * len(buf) and all((a == b).all() for a, b in zip(got, pitman_yor._part_tokens(buf, off), strict=True))
