@@ -2,14 +2,14 @@
 
 Vectors are lists of integers. Rows are dealt into blocks by a hash. A block's
 index keeps, for each dimension and each quantised impact (the component
-divided by STEP, rounded down), the posting segment of its rows. A query takes
-segments score-at-a-time: in rounds of descending contribution, each posting
-adds its quantised impact times the query's component to its row's
-accumulator. After a round, what a row can still gain is bounded by the largest
-contributions left in its dimensions. A row that cannot reach the k-th lower
-bound any more is no possible member; processing stops when the possible
-members are few, or all segments are done. Possible members are rescored
-exactly.
+divided by STEP, rounded down), the posting segment of its rows. Queries take
+segments score-at-a-time, TOGETHER at once: in rounds of descending
+contribution, each posting adds its quantised impact times a query's component
+to its row's accumulator for that query, as one matrix product a round. After a
+round, what a row can still gain is bounded by the largest contributions left
+in its dimensions. A row that cannot reach the k-th lower bound any more is no
+possible member; a query is done when its possible members are few, or all
+segments are. Possible members are rescored exactly.
 
 Blocks of queries meet blocks of rows, so a task holds one of each; the k best
 of each block are merged by a window over (query). Vectors that are null, empty
@@ -29,6 +29,8 @@ from pyspark.sql.window import Window
 
 #: Rows and queries of a block on average.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
+#: Queries of a block that read segments together.
+TOGETHER = 128
 #: Width of a quantised impact; shares of the largest contribution at which rounds end.
 STEP = 16
 ROUNDS = (0.5, 0.25, 0.12, 0.05, 0.0)
@@ -58,43 +60,68 @@ class ImpactIndex:
         self.begin = np.flatnonzero(np.append(True, np.diff(code[order]) != 0))
         self.size = np.diff(np.append(self.begin, len(order)))
         first = code[order][self.begin]
-        self.dim, self.level = first // width, first % width + low
-
-    def search(self, q: np.ndarray, k: int, ban: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, exact scores) of possible members, among them the k best rows that aren't banned."""
-        n = len(self.m)
-        part = q[self.dim]
-        ends = part * self.level * STEP, part * (self.level * STEP + STEP - 1)
-        low, high, middle = np.minimum(*ends), np.maximum(*ends), (ends[0] + ends[1]) / 2
+        self.dim = first // width
+        self.low = (first % width + low) * STEP  # a segment's components are low to high
+        self.high = self.low + STEP - 1
+        ends = np.flatnonzero(np.append(True, np.diff(self.dim) != 0))  # of the dimensions; segments go by level
+        self.least, self.most = self.low[ends], self.high[np.append(ends[1:], len(self.dim)) - 1]
+
+    def search(self, q: np.ndarray, k: int, ban: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, exact scores) of possible members, for each query of q (queries, dimensions).
+
+        Among them are the k best rows that aren't banned (queries, rows). The
+        queries read segments together: a round's are those that can still give
+        any of the queries so much.
+        """
+        x = q.astype(np.float64)
         # Contributions count from the dimension's least one on, so that none is negative.
-        floor = np.full(len(q), np.iinfo(np.int64).max)
-        np.minimum.at(floor, self.dim, low)
-        high, middle = high - floor[self.dim], middle - floor[self.dim]
-        top = int(high.max(initial=0))
-        width = np.abs(q) * (STEP - 1) / 2
-        total, read = np.zeros(n), np.zeros(self.m.shape, np.float32)
+        floor = np.minimum(x * self.least, x * self.most)
+        width = np.abs(x) * (STEP - 1) / 2
+        up, down = np.maximum(q, 0).max(0)[self.dim], np.maximum(-q, 0).max(0)[self.dim]
+        gain = np.maximum(up * (self.high - self.least[self.dim]), down * (self.most[self.dim] - self.low))
+        top = int(gain.max(initial=0))
+        # What sums of doubles may be off by, generously.
+        error = 1e-13 * len(self.least) * (np.abs(x) @ np.maximum(np.abs(self.least), np.abs(self.most)))
+        total, read = np.zeros((len(q), len(self.m))), np.zeros(self.m.shape)
         done = np.zeros(len(self.dim), bool)
-        possible = np.flatnonzero(~ban)
+        open_, out = np.arange(len(q)), [(np.zeros(0, np.int64),) * 2] * len(q)
         for share in ROUNDS:
-            segs = np.flatnonzero(~done & (high >= share * top))
+            segs = np.flatnonzero(~done & (gain >= share * top))
             done[segs] = True
             if len(segs):
                 size = self.size[segs]
                 at = np.repeat(self.begin[segs] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                rows = self.rows[at]
-                total += np.bincount(rows, np.repeat(middle[segs], size), n)
-                read[rows, np.repeat(self.dim[segs], size)] = 1
-            rest = np.zeros(len(q), np.int64)  # the largest contribution not read yet, by dimension
-            np.maximum.at(rest, self.dim[~done], high[~done])
-            some = read[possible].astype(np.float64)
-            slack = some @ width
-            lower = total[possible] - slack
-            upper = total[possible] + slack + (rest.sum() - some @ rest)
-            if len(possible) > k:
-                possible = possible[upper >= np.partition(lower, len(possible) - k)[len(possible) - k]]
-            if len(possible) <= FEW * k:
+                rows, dims = self.rows[at], np.repeat(self.dim[segs], size)
+                impact = np.zeros(self.m.shape)
+                impact[rows, dims] = np.repeat((self.low[segs] + self.high[segs]) / 2, size)
+                read[rows, dims] = 1
+                total += x[open_] @ impact.T
+            if done.all():
+                sure = (width - floor)[open_].sum(1)[:, None], (width + floor)[open_].sum(1)[:, None]
+            else:  # rest: the largest contribution not read yet, by query and dimension
+                some = np.flatnonzero(~done)
+                low, high = np.full(len(self.least), np.iinfo(np.int64).max), np.full(len(self.least), np.iinfo(np.int64).min)
+                np.minimum.at(low, self.dim[some], self.low[some])
+                np.maximum.at(high, self.dim[some], self.high[some])
+                left = low <= high
+                rest = np.where(left, np.maximum(x * np.where(left, low, 0), x * np.where(left, high, 0)) - floor, 0.0)[open_]
+                sure = ((width - floor)[open_] - rest) @ read.T + rest.sum(1)[:, None], (width + floor)[open_] @ read.T
+            upper, lower = total + sure[0] + error[open_, None], total - sure[1] - error[open_, None]
+            upper[ban[open_]] = lower[ban[open_]] = -np.inf
+            going = []
+            for i, j in enumerate(open_):
+                least = -np.inf
+                if lower.shape[1] > k and (share == ROUNDS[-1] or lower[i].max() > upper[i].min()):  # else nothing can be told apart
+                    least = np.partition(lower[i], -k)[-k]
+                possible = np.flatnonzero((upper[i] >= least) & ~ban[j])
+                if len(possible) <= FEW * k or share == ROUNDS[-1]:
+                    out[j] = possible, self.m[possible] @ q[j]
+                else:
+                    going.append(i)
+            open_, total = open_[going], total[going]
+            if not len(open_):
                 break
-        return possible, self.m[possible] @ q
+        return out
 
 
 CELL = "query_id long, mark long, vec_id long, score long"
@@ -107,10 +134,13 @@ def _cell(k: int):  # noqa: ANN202
             mine = rows[rows["v"].map(len) == size]
             index, ids = ImpactIndex(np.stack(mine["v"].to_list()).astype(np.int64)), mine["id"].to_numpy()
             asked = queries[queries["v"].map(len) == size]
-            for qid, mark, v in zip(asked["id"], asked["mark"], asked["v"], strict=True):
-                at, scores = index.search(np.asarray(v, np.int64), k, ids == qid)
-                best = np.lexsort((ids[at], -scores))[:k]
-                out.append((np.full(len(best), qid), np.full(len(best), mark), ids[at][best], scores[best]))
+            for lo in range(0, len(asked), TOGETHER):
+                some = asked.iloc[lo : lo + TOGETHER]
+                qids = some["id"].to_numpy()
+                found = index.search(np.stack(some["v"].to_list()).astype(np.int64), k, qids[:, None] == ids)
+                for qid, mark, (at, scores) in zip(qids, some["mark"], found, strict=True):
+                    best = np.lexsort((ids[at], -scores))[:k]
+                    out.append((np.full(len(best), qid), np.full(len(best), mark), ids[at][best], scores[best]))
         cols = [np.concatenate(c) if out else [] for c in (zip(*out, strict=True) if out else [()] * 4)]
         return pd.DataFrame(dict(zip(("query_id", "mark", "vec_id", "score"), cols, strict=True)), dtype="int64")
 

@@ -39,3 +39,26 @@ def test_query_equals_oracle(spark, tmp_path):
     assert [tuple(r) for r in registry.op1_topk_search(spark, str(tmp_path)).collect()] == [(300, 1, 2, 102 * 1024 + 204 * 2048)]
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "e/embeddings.parquet"))
     assert registry.op1_topk_search(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.mark.parametrize("scale", [1, 10**6])
+def test_queries_read_segments_together(scale):
+    r = np.random.default_rng(3)
+    m = np.vstack([r.normal(0, 120 * scale, (300, 8)), 40 * np.eye(8) * 120 * scale, np.zeros((3, 8))]).astype(np.int64)
+    q = np.vstack([m[:20], m[300:], -m[:5]])
+    ban = np.zeros((len(q), len(m)), bool)
+    ban[np.arange(20), np.arange(20)] = True
+    found = topk.ImpactIndex(m).search(q, 10, ban)
+    assert len(found) == len(q)
+    for v, no, (at, scores) in zip(q, ban, found, strict=True):
+        assert (scores == m[at] @ v).all() and not no[at].any()
+        assert sorted(scores)[::-1][:10] == sorted((m @ v)[~no])[::-1][:10]
+    assert min(len(at) for at, _ in found) < 50  # bounds leave few rows to rescore
+
+
+def test_a_cell_of_several_lots_of_queries_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TOGETHER", 7)
+    r = np.random.default_rng(4)
+    rows = [(i, r.integers(-600, 600, 6).tolist()) for i in range(150)]
+    df = lambda x: spark.createDataFrame(x, "id long, v array<long>")
+    assert sorted(tuple(x) for x in topk.top_k(df(rows), df(rows[:40]), 10).collect()) == brute(rows, rows[:40], 10)
