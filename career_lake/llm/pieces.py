@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding by streaming Viterbi (operator 8).
 
 A text's ids are those of the segmentation into pieces of the model with the
-highest sum of scores (ties: the longest last piece). A text is read forward;
-a piece has at most `longest` characters, so only a window of so many
-boundaries is open. When the backpointer paths of all of them meet in one
+highest sum of scores (ties: the longest last piece). A text is read forward
+by an automaton over the beginnings of pieces (Aho-Corasick): a character is
+one step, its state names the pieces that end there, and its depth how far back
+a piece can begin that is not complete. Only the boundaries of that window are
+open, at most `longest`. When the backpointer paths of all of them meet in one
 boundary, everything before it is settled: its ids are committed and forgotten.
 
-A boundary between a character and a space that no piece of the model spans is
-such a meeting point for any text; texts are cut there into runs, which all go
-through the stream. The ids that it gave for runs of up to REMEMBERED
-characters are remembered in each Python worker in a table of bounded size.
+A boundary between two characters that are neighbours in no piece of the model
+is such a meeting point for any text; texts are cut there into runs, at spaces
+and other marks, and the runs all go through the stream. The ids that it gave
+for runs of up to REMEMBERED characters are remembered in each Python worker in
+two tables of bounded size: when one is full it becomes the older one, and runs
+that are asked for again move on.
 
 As the model has it, a space is written U+2581 and one is put before the text.
 Characters without a piece, and U+2581 itself, become the byte pieces of their
@@ -27,7 +31,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries of the table of remembered runs, and the longest run in it.
+#: Entries of the two tables of remembered runs (and of remembered steps), and the longest run in them.
 REMEMBER, REMEMBERED = 400_000, 48
+#: Letters and digits that may count as marks; with more, only spaces cut.
+MARKS = 64
 #: How much worse than the worst piece a character without a piece is.
 UNKNOWN = 10.0
 
@@ -53,60 +59,73 @@ class Model:
         self.vocab = {self.piece[i]: (m.get_score(i), i) for i in range(n) if i not in self.silent and i not in self.byte_of and not m.is_unused(i)}
         self.longest = max(map(len, self.vocab))
         self.unknown = min(s for s, _ in self.vocab.values()) - UNKNOWN
-        spans = any(SPACE in p.lstrip(SPACE) for p in self.vocab)
-        self.cut = re.compile(r"(?s).+") if spans else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        #: Every beginning of a piece: the score where it is one (none is above 0), else None.
-        self.begun: dict[str, float | None] = {p[:k]: None for p in self.vocab for k in range(1, len(p))} | {p: s for p, (s, _) in self.vocab.items()}
+        self.cut = re.compile(_runs_pattern(self.vocab))
+        #: A state: steps by character, the state of the longest ending that is a state, (length, score) of the pieces that end here from the longest on (the last: of one character, or none), depth.
+        self.root: tuple = ({}, None, ((1, self.unknown),), 0)
+        made = {"": self.root}
+        for p in sorted({p[:k] for p in self.vocab for k in range(1, len(p) + 1)}, key=len):
+            before, ch = made[p[:-1]], p[-1]
+            end = self.root if before is self.root else self._step(before[1], ch)
+            mine = ((len(p), self.vocab[p][0]),) if p in self.vocab else ()
+            made[p] = before[0][ch] = ({}, end, mine if mine and len(p) == 1 else mine + end[2], len(p))
+        self.room = REMEMBER
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.said = [b"" if i in self.silent else bytes([self.byte_of[i]]) if i in self.byte_of else self.piece[i].replace(SPACE, " ").encode() for i in range(n)]
 
+    def _step(self, state: tuple, ch: str) -> tuple:
+        while (to := state[0].get(ch)) is None:
+            if state is self.root:
+                return state
+            state = state[1]
+        return to
+
     def stream(self, run: str) -> Iterator[list[int]]:
         """Ids of a run of characters, in the parts in which they are settled.
 
-        Boundary `at` is final when all starts before it were extended; only
-        boundaries of the window [at, at + longest) are open. When the
-        backpointers of all open ones meet, what lies before is committed.
+        Open are the boundaries at which a piece can begin that ends behind
+        `at`, and `at` itself. From `longest` boundaries after the last commit
+        on, it is looked whether their backpointers meet; what lies before that
+        is committed. While they don't, looks become rarer as the window grows,
+        so that they cost no more than reading.
         """
-        begun, longest, unknown, n = self.begun, self.longest, self.unknown, len(run)
-        low, due = 0, 2 * longest  # score and back begin at boundary low
-        size = min(n, due + longest) + 1
-        score, back = [-1e300] * size, [0] * size
-        score[0] = 0.0
-        for at in range(n):
-            if at == due:
-                live = {e for e in range(at, min(n, at + longest - 1) + 1) if score[e - low] > -1e300}
+        state, low, due = self.root, 0, self.longest
+        score, back = [0.0], [0]  # from boundary low on; back is the length of the last piece
+        for at, ch in enumerate(run, 1):
+            to = state[0].get(ch)
+            if to is None:
+                to = self._step(state, ch)
+                if self.room:
+                    self.room -= 1
+                    state[0][ch] = to
+            state = to
+            best, length = -1e300, 1
+            for k, worth in state[2]:
+                worth += score[-k]
+                if worth > best:
+                    best, length = worth, k
+            score.append(best)
+            back.append(length)
+            if at >= due:
+                live = set(range(at - state[3], at + 1))
                 while len(live) > 1:
                     last = max(live)
                     live.discard(last)
-                    live.add(back[last - low])
+                    live.add(last - back[last - low])
                 meet = live.pop()
                 if meet > low:
                     yield self._ids(run, back, low, meet)
                     del score[: meet - low], back[: meet - low]
                     low = meet
-                due = at + longest
-                more = min(n, due + longest) + 1 - low - len(score)
-                score += [-1e300] * more
-                back += [0] * more
-            base = score[at - low]
-            if base + unknown > score[at + 1 - low]:
-                score[at + 1 - low], back[at + 1 - low] = base + unknown, at
-            for end in range(at + 1, min(n, at + longest) + 1):
-                worth = begun.get(run[at:end], 1.0)
-                if worth is None:  # pieces begin so, but none is this
-                    continue
-                if worth == 1.0:  # no piece begins so
-                    break
-                if base + worth > score[end - low]:
-                    score[end - low], back[end - low] = base + worth, at
-        if n > low:
-            yield self._ids(run, back, low, n)
+                due = max(low + self.longest, at + max(1, (at - low) // self.longest))
+        if len(run) > low:
+            yield self._ids(run, back, low, len(run))
 
     def _ids(self, run: str, back: list[int], low: int, high: int) -> list[int]:
         """Ids between two boundaries on the best path; back begins at boundary low."""
         out, first = [], low
         while high > low:
-            start = back[high - first]
+            start = high - back[high - first]
             found = self.vocab.get(run[start:high])
             if found is not None:
                 out.append(found[1])
@@ -128,21 +147,25 @@ class Model:
         return self._runs(" " + text)
 
     def _runs(self, text: str) -> bytes:
-        known, runs = self.known, self.cut.findall(text.replace(" ", SPACE))
-        out = list(map(known.get, runs))
+        runs = self.cut.findall(text.replace(" ", SPACE))
+        out = list(map(self.known.get, runs))
         if None in out:
-            for i, run in enumerate(runs):
-                if out[i] is None:
-                    ids = known.get(run)
-                    if ids is None:
-                        ids = b"".join(map(_pack, self.stream(run)))
-                        if len(run) <= REMEMBERED:
-                            if len(known) >= REMEMBER:
-                                known.clear()
-                            known[run] = ids
-                    out[i] = ids
+            out = [self._told(run) if ids is None else ids for run, ids in zip(runs, out, strict=True)]
         return b"".join(out)
 
+    def _told(self, run: str) -> bytes:
+        ids = self.known.get(run)
+        if ids is not None:
+            return ids
+        ids = self.older.get(run)
+        if ids is None:
+            ids = b"".join(map(_pack, self.stream(run)))
+        if len(run) <= REMEMBERED:
+            if len(self.known) >= REMEMBER // 2:
+                self.known, self.older = {}, self.known
+            self.known[run] = ids
+        return ids
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<i4").tolist()
 
@@ -150,6 +173,25 @@ class Model:
         return b"".join(map(self.said.__getitem__, ids)).decode(errors="replace").removeprefix(" ")
 
 
+def _runs_pattern(pieces: Iterable[str]) -> str:
+    """Runs of a text: spaces, then letters and digits or else marks, where pieces hold to that.
+
+    Letters and digits that are next to a mark in a piece count as marks.
+    """
+    inside = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
+    if any(b == SPACE != a for a, b in inside):
+        return "(?s:.+)"
+    near = {(a, b) for a, b in inside if a != SPACE}
+    marks: set[str] = set()
+    letter = lambda c: c.isalnum() and c not in marks
+    while odd := {a if letter(a) else b for a, b in near if letter(a) != letter(b)}:
+        marks |= odd
+    if len(marks) > MARKS:
+        return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+    marks_ = re.escape("".join(sorted(marks)))
+    return f"{SPACE}*(?:[^\\W_{marks_}]+|(?:(?!{SPACE})[\\W_{marks_}])+)|{SPACE}+"
+
+
 def _pack(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 

@@ -4,6 +4,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from career_lake.llm import pieces
 from career_lake.llm.pieces import SPACE, Model, decoded, piece_ids
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,3 +70,36 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and all(r.round_trip for r in got)
     assert {r.doc_id: r.ids for r in got}[1] is None and {r.doc_id: r.ids for r in got}[2] == []
     assert piece_ids(docs.limit(0), PATH).count() == 0
+
+
+def test_a_word_is_streamed_once_whatever_marks_are_beside_it():
+    m, seen = Model(PATH), []
+    stream = m.stream
+    m.stream = lambda run: seen.append(run) or stream(run)
+    t = 'say worde, worde. (worde)\nworde; "worde" worde!? worde ² worde².'
+    assert m.encode(t) == brute(t)
+    assert seen.count(SPACE + "worde") == seen.count("worde") == 1 and not any("worde" in x and x.strip(SPACE) != "worde" for x in seen)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("aeth1²³_.,-\ńé日 "), max_size=60))
+def test_marks_between_letters_equal_full_viterbi(t):
+    assert M.encode(t) == brute(t)
+
+
+def test_runs_in_use_stay_remembered(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBER", 8)
+    m, seen = Model(PATH), []
+    stream = m.stream
+    m.stream = lambda run: seen.append(run) or stream(run)
+    for i in range(40):
+        t = f"often {'x' * i}y{'z' * i}"
+        assert m.encode(t) == brute(t)
+    assert seen.count(SPACE + "often") == 1 and len(m.known) + len(m.older) <= 8
+
+
+def test_window_stays_small_in_a_long_run():
+    run = "unbelievablyinternational" * 300
+    parts = list(M.stream(run))
+    assert [i for p in parts for i in p] == whole(run)
+    assert max(map(len, parts)) <= 2 * M.longest
