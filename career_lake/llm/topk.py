@@ -3,7 +3,7 @@
 Vectors are lists of integers. Rows are dealt into blocks by a hash. A block's
 index keeps, for each dimension and each quantised impact (the component
 divided by STEP, rounded down), the posting segment of its rows. Queries take
-segments score-at-a-time, TOGETHER at once: in rounds of descending
+segments score-at-a-time, BLOCK_QUERIES at once: in rounds of descending
 contribution, each posting adds its quantised impact times a query's component
 to its row's accumulator for that query, as one matrix product a round. After a
 round, what a row can still gain is bounded by the largest contributions left
@@ -11,7 +11,8 @@ in its dimensions. A row that cannot reach the k-th lower bound any more is no
 possible member; a query is done when its possible members are few, or all
 segments are. Possible members are rescored exactly.
 
-Blocks of queries meet blocks of rows, so a task holds one of each; the k best
+A block of rows is indexed once; all queries are sent to each block and stream
+through its index, so a task holds one block and one lot of queries. The k best
 of each block are merged by a window over (query). Vectors that are null, empty
 or of another length than the query's, or that hold null or non-finite
 components, take no part. Rows that share the query's id are no candidates for
@@ -21,16 +22,16 @@ empty table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows and queries of a block on average.
-BLOCK_ROWS, BLOCK_QUERIES = 8192, 1024
-#: Queries of a block that read segments together.
-TOGETHER = 128
+#: Rows of a block on average, and queries that read its segments together.
+BLOCK_ROWS, BLOCK_QUERIES = 8192, 128
 #: Width of a quantised impact; shares of the largest contribution at which rounds end.
 STEP = 16
 ROUNDS = (0.5, 0.25, 0.12, 0.05, 0.0)
@@ -127,22 +128,42 @@ class ImpactIndex:
 CELL = "query_id long, mark long, vec_id long, score long"
 
 
-def _cell(k: int):  # noqa: ANN202
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, ...]] = []
-        for size in sorted(set(map(len, queries["v"])) & set(map(len, rows["v"]))):
-            mine = rows[rows["v"].map(len) == size]
-            index, ids = ImpactIndex(np.stack(mine["v"].to_list()).astype(np.int64)), mine["id"].to_numpy()
-            asked = queries[queries["v"].map(len) == size]
-            for lo in range(0, len(asked), TOGETHER):
-                some = asked.iloc[lo : lo + TOGETHER]
-                qids = some["id"].to_numpy()
+class _Block:
+    """A block of rows, by length of vector; searched for lots of queries."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.of = {size: (ImpactIndex(np.stack(some["v"].to_list()).astype(np.int64)), some["id"].to_numpy()) for size, some in rows.groupby(rows["v"].map(len))}
+
+    def best(self, queries: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+        for size, asked in queries.groupby(queries["v"].map(len)):
+            index, ids = self.of.get(size, (None, None))
+            if index is None:
+                continue
+            for lo in range(0, len(asked), BLOCK_QUERIES):
+                some = asked.iloc[lo : lo + BLOCK_QUERIES]
+                qids, out = some["id"].to_numpy(), []
                 found = index.search(np.stack(some["v"].to_list()).astype(np.int64), k, qids[:, None] == ids)
                 for qid, mark, (at, scores) in zip(qids, some["mark"], found, strict=True):
                     best = np.lexsort((ids[at], -scores))[:k]
                     out.append((np.full(len(best), qid), np.full(len(best), mark), ids[at][best], scores[best]))
-        cols = [np.concatenate(c) if out else [] for c in (zip(*out, strict=True) if out else [()] * 4)]
-        return pd.DataFrame(dict(zip(("query_id", "mark", "vec_id", "score"), cols, strict=True)), dtype="int64")
+                yield pd.DataFrame(dict(zip(("query_id", "mark", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)), dtype="int64")
+
+
+def _searched(k: int):  # noqa: ANN202
+    """Rows of one block after another, each time followed by the queries; the k best of each block."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, rows, block = None, [], None
+        for batch in it:
+            for (r, asks), some in batch.groupby(["r", "asks"]):
+                if r != at:
+                    at, rows, block = r, [], None
+                if not asks:
+                    rows.append(some)
+                elif rows or block:
+                    if block is None:
+                        block, rows = _Block(pd.concat(rows)), []
+                    yield from block.best(some, k)
 
     return run
 
@@ -154,11 +175,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """
     rows, queries = (x.where("id is not null and v is not null").select("id", "v") for x in (rows, queries))
     queries = queries.distinct().withColumn("mark", F.xxhash64("v"))  # a repeated id with another vector is a query of its own
-    row_blocks, query_blocks = max(1, -(-rows.count() // BLOCK_ROWS)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("r", deal(row_blocks, 1)).withColumn("q", every(query_blocks))
-    right = queries.withColumn("q", deal(query_blocks, 2)).withColumn("r", every(row_blocks))
-    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInPandas(_cell(k), CELL)
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    left = rows.select(F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int").alias("r"), F.lit(False).alias("asks"), "id", F.lit(0).cast("long").alias("mark"), "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("r"), F.lit(True).alias("asks"), "id", "mark", "v")
+    # A number of tasks that adaptive execution keeps: a block is few bytes and much work.
+    tasks = max(2 * blocks, 4 * rows.sparkSession.sparkContext.defaultParallelism)
+    found = left.union(right).repartition(tasks, "r").sortWithinPartitions("r", "asks").mapInPandas(_searched(k), CELL)
     place = F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,5 +1,6 @@
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from career_lake.llm import registry, topk
@@ -57,8 +58,22 @@ def test_queries_read_segments_together(scale):
 
 
 def test_a_cell_of_several_lots_of_queries_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "TOGETHER", 7)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
     r = np.random.default_rng(4)
     rows = [(i, r.integers(-600, 600, 6).tolist()) for i in range(150)]
     df = lambda x: spark.createDataFrame(x, "id long, v array<long>")
     assert sorted(tuple(x) for x in topk.top_k(df(rows), df(rows[:40]), 10).collect()) == brute(rows, rows[:40], 10)
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 1000])
+def test_a_block_is_indexed_once_for_all_queries(monkeypatch, size):
+    built, real = [], topk.ImpactIndex
+    monkeypatch.setattr(topk, "ImpactIndex", lambda m: built.append(len(m)) or real(m))
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 5)
+    r = np.random.default_rng(5)
+    rows, queries = [(i, r.integers(-600, 600, 6)) for i in range(90)], [(1000 + i, r.integers(-600, 600, 6)) for i in range(12)]
+    said = pd.DataFrame([(b, asks, i, 0, v) for b in (0, 1, 3) for asks, some in ((False, rows[b::4]), (True, queries)) for i, v in some], columns=["r", "asks", "id", "mark", "v"])
+    out = pd.concat(topk._searched(3)(said.iloc[i : i + size] for i in range(0, len(said), size)))
+    assert sorted(built) == [22, 23, 23]
+    want = [x for b in (0, 1, 3) for x in brute(rows[b::4], queries, 3)]
+    assert sorted(zip(out["query_id"], out["vec_id"], out["score"], strict=True)) == sorted((q, i, s) for q, _, i, s in want)
