@@ -1,6 +1,10 @@
-"""Relations: what is shuffled, and that cuts before shuffles change no row."""
+"""Relations: what is shuffled, and that cuts before shuffles and the comparison of many pairs together change no row."""
+
+import random
+from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from career_lake.operators import relations as X
 
@@ -66,3 +70,38 @@ def test_candidates_equal_plain_python(spark, url):
     rows = X.candidate_pairs(notices, docs, 10).collect()
     assert len(rows) == len({(r.notice_id, r.document_id) for r in rows})
     assert {(r.notice_id, r.document_id, r.linked) for r in rows} == plain_pairs(notices, docs, 10)
+
+
+def test_pairs_are_in_no_shuffle_before_the_best_are_cut(spark, no_broadcast):
+    notices, docs = tables(spark)
+    pairs = X.scored_pairs(notices, docs, 10)
+    assert not [c for c in shuffled(pairs) if "core" in c and "n_core" in c]
+    columns = ["notice_id", "document_id", "score", F.array_join("evidence", ",").alias("evidence"), "linked"]
+    want = X.score_pairs(X.candidate_pairs(notices, docs, 10), notices, docs)
+    assert sorted(pairs.select(columns).collect()) == sorted(want.select(columns).collect()) and want.count() > 500
+    best = X.top_targets(pairs)
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "row_number(), 5, Partial" in plan and {r["rank"] for r in best.collect()} == {1, 2, 3, 4, 5}
+
+
+def test_short_cores_take_places(spark):
+    notices, docs = tables(spark)
+    docs = docs.withColumn("title", F.expr("CASE WHEN updated_at >= '0040' THEN '公告' ELSE title END"))
+    want = X.score_pairs(X.candidate_pairs(notices, docs, 10), notices, docs).select("notice_id", "document_id").collect()
+    assert sorted(X.scored_pairs(notices, docs, 10).select("notice_id", "document_id").collect()) == sorted(want)
+
+
+def test_ratios_of_many_pairs_are_those_of_each():
+    pick = random.Random(4)
+    text = lambda letters, most: "".join(pick.choice(letters) for _ in range(pick.randint(0, most)))
+    a = [text(pick.choice(["ab", "abc0", "招聘公告20", "\x00\x01￿\U00020000"]), 30) for _ in range(3000)] + [text("ab", 400) for _ in range(20)]
+    b = [text(pick.choice(["ab", "abc0", "招聘公告20", "\x00\x01￿\U00020000"]), 40) for _ in range(3000)] + [text("abc", 199) for _ in range(20)]
+    assert list(X.matching_ratios(a, b)) == [SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)]
+    assert list(X.matching_ratios([], [])) == [] and list(X.matching_ratios([""], [""])) == [1.0]
+
+
+def test_long_cores_are_compared_as_before(spark):
+    a, b = "某集团" + "招聘甲乙" * 30, "某集团" + "招聘甲丙" * 60
+    assert len(b) >= X.AUTOJUNK
+    (row,) = spark.createDataFrame([(a, b)], "a string, b string").select(X._similarity("a", "b").alias("r")).collect()
+    assert row.r == SequenceMatcher(None, a, b).ratio()
