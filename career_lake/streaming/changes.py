@@ -84,7 +84,7 @@ def document_events(versions: DataFrame, decisions: DataFrame) -> DataFrame:
     ocr = F.coalesce("ocr_needs_review", F.lit(False)) if "ocr_needs_review" in versions.columns else F.lit(False)
     v = versions.withColumns({"content": F.coalesce("content", F.lit("")), "title": F.coalesce("title", F.lit("")), "ocr": ocr})
     v = N.with_facts(v.withColumn("digest", F.sha2("content", 256)))
-    v = v.select("document_id", F.col("seq").cast("long").alias("seq"), F.lit("version").alias("kind"), "version_id", "digest", F.to_json("facts").alias("facts"), F.length("compact").alias("n"), "ocr")
+    v = v.select("document_id", F.col("seq").cast("long").alias("seq"), F.lit("version").alias("kind"), "version_id", "digest", F.to_json("facts").alias("facts"), F.col("compact_length").alias("n"), "ocr")
     d = decisions.select("document_id", F.col("seq").cast("long").alias("seq"), "kind", F.lit(None).cast("string").alias("version_id"), "digest", F.lit(None).cast("string").alias("facts"), F.lit(0).alias("n"), F.lit(False).alias("ocr"))
     return v.union(d).where("document_id is not null")
 
