@@ -8,6 +8,7 @@ from career_lake.operators import fact_pieces as P
 from career_lake.operators import facts as N
 from career_lake.plans import queries_facts  # noqa: F401  its views
 from career_lake.plans.bindings import view
+from career_lake.streaming import stateful as Z
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -54,3 +55,12 @@ def test_unlike_texts_are_not_shuffled_as_a_whole(monkeypatch):
     batches = [pa.record_batch([pa.array([f"{b}-{i}。同。" for i in range(200)] + [None])], ["content"]) for b in range(3)]
     told = [(p, n) for rb in P._frequent(iter(batches)) for p, n in zip(*(c.to_pylist() for c in rb.columns), strict=True)]
     assert sum(n for p, n in told if p == "同。") == 600 and len([p for p, n in told if n == 1]) == 10 and sum(n for p, n in told if p is None) == 603
+
+
+def test_changes_need_no_table_a_document(spark):
+    v = spark.createDataFrame([(d, f"v{i}", i, "公告", t) for d in ("a", "b", None) for i, t in enumerate(["招聘公告", "招聘公告。决定取消财务岗位招聘计划", "招聘公告。"])], "document_id string, version_id string, version_no int, title string, content string")
+    changes = Z.version_changes(v)
+    plan = changes._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    got = sorted((r.document_id or "", r.version_id, r.held) for r in changes.collect())
+    assert got == [(d, x, h) for d in ("", "a", "b") for x, h in (("v0", False), ("v1", True), ("v2", False))]
